@@ -13,21 +13,27 @@ RELEVANT_MINIMUM = 2
 PAGE_MARK = "--- Page"
 VALUE_EDGES = " :-;,._"
 
-# Roll number labels, the value follows the label.
-ROLL_LABELS = (
-    r"seat\s*number", r"seat\s*no\.?", r"roll\s*no\.?", r"roll",
-    r"registration\s*no\.?", r"enrollment\s*no\.?", r"s\.i\.d\.\s*no\.?",
+# Roll number patterns, headings above a number, and values that are none.
+ROLL_PATTERNS = (
+    r"seat\s*number\s*[:\-]?\s*([A-Z0-9\/\-\s]+)",
+    r"seat\s*no\.?\s*[:\-]?\s*([A-Z0-9\/\-\s]+)",
+    r"roll\s*no\.?\s*[:\-]?\s*([A-Z0-9\/\-\s]+)",
+    r"roll\s*[:\-]?\s*([A-Z0-9\/\-\s]+)",
+    r"registration\s*no\.?\s*[:\-]?\s*([A-Z0-9\/\-\s]+)",
+    r"enrollment\s*no\.?\s*[:\-]?\s*([A-Z0-9\/\-\s]+)",
+    r"s\.i\.d\.\s*no\.?\s*[:\-]?\s*([A-Z0-9\/\-\s]+)",
 )
-ROLL_PATTERNS = tuple(label + r"\s*[:\-]?\s*([A-Z0-9\/\-\s]+)" for label in ROLL_LABELS)
 ROLL_HEADINGS = ("seat no.", "seat no", "roll", "roll no", "roll no.", "s.i.d. no.")
 ROLL_REJECTS = ("name", "centre", "center", "course", "code", "index", "number")
 
-# Candidate name labels and words that rule a line or value out.
-NAME_LABELS = (
-    r"candidate'?s?\s*name", r"student'?s?\s*name", r"name\s+of\s+the\s+candidate",
-    r"shri\s*/\s*smt\.?", r"^name",
+# Candidate name patterns and words that rule a line or value out.
+NAME_PATTERNS = (
+    r"candidate'?s?\s*name\s*[:\-]?\s*(.+)",
+    r"student'?s?\s*name\s*[:\-]?\s*(.+)",
+    r"name\s+of\s+the\s+candidate\s*[:\-]?\s*(.+)",
+    r"shri\s*/\s*smt\.?\s*[:\-]?\s*(.+)",
+    r"^name\s*[:\-]?\s*(.+)",
 )
-NAME_PATTERNS = tuple(label + r"\s*[:\-]?\s*(.+)" for label in NAME_LABELS)
 NAME_LINE_EXCLUDES = ("mother", "father", "guardian", "course", "institute", "university")
 NAME_REJECTS = (
     "university", "board", "council", "school", "college", "institute", "course", "result",
@@ -39,11 +45,15 @@ NAME_LINE_REJECTS = ("university", "board", "college", "education", "distance")
 UNIVERSITY_WORDS = ("university", "board", "council", "open university")
 UNIVERSITY_REJECTS = ("admitted by", "members of", "recognised by", "chancellor")
 
-# Course labels, headings and values that are no course.
-COURSE_LABELS = ("discipline", "stream", r"course\s*name", "programme", "degree", "trade")
+# Course patterns, values that are no course, headings above one.
 COURSE_PATTERNS = (
     r"statement of marks for (.+?) examination",
-    *(label + r"\s*[:\-]?\s*(.+)" for label in COURSE_LABELS),
+    r"discipline\s*[:\-]?\s*(.+)",
+    r"stream\s*[:\-]?\s*(.+)",
+    r"course\s*name\s*[:\-]?\s*(.+)",
+    r"programme\s*[:\-]?\s*(.+)",
+    r"degree\s*[:\-]?\s*(.+)",
+    r"trade\s*[:\-]?\s*(.+)",
 )
 COURSE_REJECTS = ("name", "result", "pass", "fail", "centre", "center", "(theoretical)")
 COURSE_HEADINGS = ("discipline", "stream", "course", "trade", "programme")
