@@ -27,6 +27,18 @@ def as_text(df: DataFrame, blank_nulls: bool = True) -> DataFrame:
     return df.select([cell(name) for name in df.columns])
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Append costly columns so that later filters read them instead of repeating them.
+
+    A filter on a plain projected column is pushed below the projection together with a
+    copy of the whole expression, which for nested rules multiplies both plan and work.
+    Nothing is pushed below a generator, and one with a single-element array adds no rows.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [named(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def first_item(items: Column) -> Column:
     """First element of an array, '' when there is none."""
     return F.coalesce(F.get(items, F.lit(0)), F.lit(""))

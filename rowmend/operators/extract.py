@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.columns import contains_any, first_item, named
+from rowmend.columns import computed_once, contains_any, first_item, named
 from rowmend.functions import document_rules as rules
 from rowmend.functions.text import BLANK_CLASS, LINE_BREAK, strip
 
@@ -211,7 +211,7 @@ def extract_fields(df: DataFrame, name: str, text: str, confidence: str,
         "Passing Status": passing_status, "Institute Name": institute_name,
     }
     blank = {"Passing Status": "Unknown"}
-    found = split.withColumns({
+    found = computed_once(split, {
         field: F.when(F.col("__relevant"), rule(lines)).otherwise(F.lit(blank.get(field, "")))
         for field, rule in detect.items()
     })

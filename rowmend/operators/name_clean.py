@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.columns import contains_any, named
+from rowmend.columns import computed_once, contains_any, named
 from rowmend.functions.text import digit_count, squash, to_ascii
 from rowmend.functions.word_lists import ADDRESS_WORDS, BUSINESS_WORDS, GENERIC_WORDS, HONORIFICS
 from rowmend.sources.files import write_csv, write_report
@@ -105,7 +105,7 @@ def clean_names(df: DataFrame, column: str, cleaned: str = "cleaned_name",
         .when(size > MAX_TOKENS, F.lit("too_long"))
         .otherwise(business_or_address(original, size))
     )
-    judged = staged.withColumn("__verdict", verdict)
+    judged = computed_once(staged, {"__verdict": verdict, "__name": name})
     return judged.select(
         *[named(c) for c in df.columns if c not in (cleaned, reason)],
         F.when(F.col("__verdict") == "", name).otherwise(F.lit("")).alias(cleaned),

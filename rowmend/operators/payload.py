@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.columns import named
+from rowmend.columns import computed_once, named
 from rowmend.operators.numbering import number_rows
+from rowmend.sources.workspace import written
 
 # Wrappers taken out of the text before decoding.
 WRAPPERS = (
@@ -44,22 +45,25 @@ def decode_payloads(df: DataFrame, path: str = "path", content: str = "content")
     """`path`, `folder`, `ext`, decoded `content` and `error`; rows without payload are left out."""
     where = named(path)
     parent = F.regexp_extract(where, r"([^/]*)/[^/]*$", 1)
-    payloads = df.select(
-        where.alias("path"), parent.alias("folder"), bare_payload(named(content)).alias("__payload"),
-    ).filter(F.col("__payload") != "")
-    decoded = F.try_to_binary(padded(F.col("__payload")), F.lit("base64"))
-    return payloads.select(
-        "path", "folder", payload_extension(F.col("__payload")).alias("ext"), decoded.alias("content"),
-    ).withColumn("error", F.when(F.col("content").isNull(), F.lit("invalid base64")).otherwise(F.lit("")))
+    texts = df.select(where.alias("path"), parent.alias("folder"), named(content).alias("__text"))
+    payload = F.col("__payload")
+    payloads = computed_once(texts, {"__payload": bare_payload(F.col("__text"))}).filter(payload != "")
+    decoded = computed_once(payloads, {
+        "ext": payload_extension(payload),
+        "content": F.try_to_binary(padded(payload), F.lit("base64")),
+    })
+    failed = F.when(F.col("content").isNull(), F.lit("invalid base64")).otherwise(F.lit(""))
+    return decoded.select("path", "folder", "ext", "content", failed.alias("error"))
 
 
 def name_payloads(decoded: DataFrame) -> DataFrame:
-    """File names for decoded rows: the folder, then `_1`, `_2`… in path order.
+    """File names for decoded rows: the folder, then `_1`, `_2` ... in path order.
 
     Numbers come from the distributed row numbering, so one folder may hold any share of
-    the files. Only names are numbered; content joins back by path.
+    the files. Payloads are decoded and written once; only paths are numbered, and the
+    content joins back by path.
     """
-    good = decoded.filter(F.col("error") == "")
+    good = written(decoded.filter(F.col("error") == ""), "payloads")
     numbered = number_rows(good.select("path", "folder", "ext"), ["path"], ["folder", "ext"],
                            column="__nth", start=0)
     suffix = F.when(F.col("__nth") == 0, F.lit("")).otherwise(

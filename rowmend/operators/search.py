@@ -67,9 +67,9 @@ def search(df: DataFrame, terms: Iterable[str], row_number: Column, source_file:
         raise ValueError("no search terms")
     where = [x if isinstance(x, Column) else F.lit(x) for x in (source_file, sheet_name)]
     row_text = F.concat_ws(" | ", *[F.coalesce(named(c).cast("string"), F.lit("")) for c in columns])
-    hits = df.select(
-        terms_found(columns, prepared).alias("__terms"),
+    # Exploding the expression itself: rows without a hit vanish, and it is evaluated once.
+    return df.select(
+        F.explode(terms_found(columns, prepared)).alias("Matched_Term"),
         where[0].alias("Source_File"), where[1].alias("Sheet_Name"),
         row_number.cast("long").alias("Excel_Row_Number"), row_text.alias("Row_Data"),
-    ).filter(F.size("__terms") > 0)
-    return hits.withColumn("Matched_Term", F.explode("__terms")).select(RESULT)
+    ).select(RESULT)
