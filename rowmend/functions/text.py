@@ -17,7 +17,8 @@ BLANKS = "".join(
     [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680)]
     + [chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 )
-BLANK_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in BLANKS) + "]"
+BLANK_POINTS = "".join(f"\\u{ord(c):04x}" for c in BLANKS)
+BLANK_CLASS = f"[{BLANK_POINTS}]"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 

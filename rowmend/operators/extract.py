@@ -7,14 +7,16 @@ only for documents that pass the relevance test.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmend.columns import computed_once, contains_any, first_item, named
 from rowmend.functions import document_rules as rules
-from rowmend.functions.text import BLANK_CLASS, LINE_BREAK, strip
+from rowmend.functions.text import BLANK_CLASS, BLANK_POINTS, LINE_BREAK, strip
 
 REPORT = [
     "File Name", "Roll No", "University Name", "Course Name", "Passing Year", "Candidate Name",
@@ -37,11 +39,20 @@ def is_relevant(text: Column) -> Column:
     return hits >= rules.RELEVANT_MINIMUM
 
 
+@dataclass(frozen=True)
+class Lines:
+    """Parallel arrays over a document's lines, computed once for all detectors."""
+
+    line: Column
+    low: Column
+    folded: Column
+    value: Column
+
+
 def clean_lines(text: Column) -> Column:
     """Lines without bars and blank ones, page marks left out."""
-    lines = F.transform(
-        F.split(text, LINE_BREAK),
-        lambda line: strip(F.regexp_replace(clean_text(line), r"[|]+", " ")))
+    bare = F.regexp_replace(F.regexp_replace(text, "[\\x00 \\t]+", " "), r"[|]+", " ")
+    lines = F.transform(F.split(bare, LINE_BREAK), strip)
     return F.filter(lines, lambda line: (line != "") & ~F.startswith(line, F.lit(rules.PAGE_MARK)))
 
 
@@ -50,98 +61,134 @@ def clean_value(c: Column) -> Column:
     return F.btrim(text, F.lit(rules.VALUE_EDGES))
 
 
+def line_arrays(lines: Column) -> dict[str, Column]:
+    return {
+        "__low": F.transform(lines, F.lower),
+        # Folding both ways also brings together letters a caseless pattern equates.
+        "__folded": F.transform(lines, lambda line: F.lower(F.upper(line))),
+        "__value": F.transform(lines, clean_value),
+    }
+
+
 def word_count(c: Column) -> Column:
-    return F.when(strip(c) == "", F.lit(0)).otherwise(F.regexp_count(strip(c), F.lit(BLANK_CLASS + "+")) + 1)
+    return F.regexp_count(c, F.lit(f"[^{BLANK_POINTS}]+"))
 
 
-def first_match(lines: Column, patterns: Iterable[str], excluded: Iterable[str] = ()) -> Column:
-    """First non-empty cleaned group: lines in order, within a line patterns in order."""
-    def in_line(line: Column) -> Column:
-        groups = [F.nullif(clean_value(F.regexp_extract(line, f"(?iU){p}", 1)), F.lit(""))
-                  for p in patterns]
-        return F.coalesce(*groups, F.lit(""))
+def lead(pattern: str) -> str:
+    """Literal text a pattern starts with; a line without it cannot match."""
+    return re.match(r"\^?((?:[a-z ]|\\\.)+)", pattern).group(1).replace("\\.", ".").strip()
 
-    excluded = tuple(excluded)
-    if excluded:
-        lines = F.filter(lines, lambda line: ~contains_any(F.lower(line), excluded))
-    return first_item(F.filter(F.transform(lines, in_line), lambda value: value != ""))
 
+def first_match(lines: Lines, patterns: Iterable[str], excluded: Iterable[str] = ()) -> Column:
+    """First non-empty cleaned group: lines in order, within a line patterns in order.
 
-def like_name(c: Column) -> Column:
-    value = clean_value(c)
-    return (word_count(value) >= 2) & ~value.rlike(r"\p{Nd}") & ~contains_any(F.lower(value), rules.NAME_REJECTS)
+    A plain substring test comes before each pattern, so most lines run none.
+    """
+    patterns, excluded = tuple(patterns), tuple(excluded)
 
+    def in_line(line: Column, i: Column) -> Column:
+        folded, low = F.get(lines.folded, i), F.get(lines.low, i)
+        groups = [
+            F.when(F.contains(folded, F.lit(lead(p))),
+                   F.nullif(clean_value(F.regexp_extract(line, f"(?iU){p}", 1)), F.lit("")))
+            for p in patterns
+        ]
+        found = F.coalesce(*groups)
+        return F.when(~contains_any(low, excluded), found) if excluded else found
+
+    return first_item(F.array_compact(F.transform(lines.line, in_line)))
+
+
+def like_name(value: Column) -> Column:
+    return (
+        (word_count(value) >= 2) & ~value.rlike(r"\p{Nd}")
+        & ~F.lower(value).rlike(any_word(rules.NAME_REJECTS))
+    )
 
-def like_roll(c: Column) -> Column:
-    value = clean_value(c)
+
+def like_roll(value: Column) -> Column:
     return (F.length(value) >= 4) & value.rlike("[A-Za-z0-9]") & ~F.lower(value).isin(*rules.ROLL_REJECTS)
 
 
-def like_institute(c: Column) -> Column:
-    return contains_any(F.lower(c), rules.INSTITUTE_WORDS)
+def like_institute(value: Column) -> Column:
+    return F.lower(value).rlike(any_word(rules.INSTITUTE_WORDS))
+
+
+def any_word(words: Iterable[str]) -> str:
+    """Pattern for any of the texts; tests an inner value without evaluating it per word."""
+    return "|".join(re.escape(w) for w in words)
 
 
-def next_line(lines: Column, headings: Iterable[str], accept) -> Column:
+def next_line(lines: Lines, headings: Iterable[str], accept) -> Column:
     """Cleaned line below the first heading line whose follower is accepted."""
     followers = F.transform(
-        lines, lambda line, i: F.when(F.lower(line).isin(*headings), clean_value(F.get(lines, i + 1))))
-    return first_item(F.filter(followers, lambda v: F.coalesce((v != "") & accept(v), F.lit(False))))
+        lines.low, lambda low, i: F.when(low.isin(*headings), F.get(lines.value, i + 1)))
+    return first_item(F.filter(F.array_compact(followers), lambda v: (v != "") & accept(v)))
+
+
+def labelled_values(lines: Lines) -> dict[str, Column]:
+    """What stands behind a label, before it is judged."""
+    return {
+        "__roll": first_match(lines, rules.ROLL_PATTERNS),
+        "__name": first_match(lines, rules.NAME_PATTERNS, rules.NAME_LINE_EXCLUDES),
+        "__course": first_match(lines, rules.COURSE_PATTERNS),
+        "__institute": first_match(lines, rules.INSTITUTE_PATTERNS),
+    }
 
 
-def roll_number(lines: Column) -> Column:
-    value = first_match(lines, rules.ROLL_PATTERNS)
-    return F.when(like_roll(value), value).otherwise(next_line(lines, rules.ROLL_HEADINGS, like_roll))
+def roll_number(labelled: Column, lines: Lines) -> Column:
+    return F.when(like_roll(labelled), labelled).otherwise(next_line(lines, rules.ROLL_HEADINGS, like_roll))
 
 
-def candidate_name(lines: Column) -> Column:
+def candidate_name(labelled: Column, lines: Lines) -> Column:
     """Labelled name, else the first short line in capitals that reads like a name."""
-    labelled = first_match(lines, rules.NAME_PATTERNS, rules.NAME_LINE_EXCLUDES)
+    short = f"^[^{BLANK_POINTS}]+(?:[{BLANK_POINTS}]+[^{BLANK_POINTS}]+){{1,3}}[{BLANK_POINTS}]*$"
 
     def in_capitals(value: Column) -> Column:
         letters = F.greatest(F.regexp_count(value, F.lit(r"\p{L}")), F.lit(1))
         capitals = F.regexp_count(value, F.lit(r"\p{Lu}"))
         return (
-            like_name(value) & (capitals / letters > 0.8) & (word_count(value) <= 4)
-            & ~contains_any(F.lower(value), rules.NAME_LINE_REJECTS)
+            value.rlike(short) & like_name(value) & (capitals / letters > 0.8)
+            & ~F.lower(value).rlike(any_word(rules.NAME_LINE_REJECTS))
         )
 
-    plain = first_item(F.filter(F.transform(lines, clean_value), in_capitals))
-    return F.when(like_name(labelled), labelled).otherwise(plain)
+    return F.when(like_name(labelled), labelled).otherwise(
+        first_item(F.filter(lines.value, in_capitals)))
 
 
-def university_name(lines: Column) -> Column:
+def university_name(lines: Lines) -> Column:
     """Longest suitable line, the alphabetically first among equals."""
-    suitable = F.filter(lines, lambda line: (
-        contains_any(F.lower(line), rules.UNIVERSITY_WORDS)
-        & ~contains_any(F.lower(line), rules.UNIVERSITY_REJECTS)
-        & word_count(clean_value(line)).between(2, 10)))
-    ranked = F.transform(suitable, lambda line: F.struct(
-        (-F.length(clean_value(line))).alias("rank"), clean_value(line).alias("name")))
-    return F.coalesce(F.array_min(ranked)["name"], F.lit(""))
-
-
-def course_name(lines: Column) -> Column:
-    value = first_match(lines, rules.COURSE_PATTERNS)
-    usable = (value != "") & ~F.lower(value).isin(*rules.COURSE_REJECTS)
-    return F.when(usable, value).otherwise(
+    def ranked(low: Column, i: Column) -> Column:
+        value = F.get(lines.value, i)
+        suitable = (
+            contains_any(low, rules.UNIVERSITY_WORDS) & ~contains_any(low, rules.UNIVERSITY_REJECTS)
+            & word_count(value).between(2, 10)
+        )
+        return F.when(suitable, F.struct((-F.length(value)).alias("rank"), value.alias("name")))
+
+    return F.coalesce(F.array_min(F.array_compact(F.transform(lines.low, ranked)))["name"], F.lit(""))
+
+
+def course_name(labelled: Column, lines: Lines) -> Column:
+    usable = (labelled != "") & ~F.lower(labelled).isin(*rules.COURSE_REJECTS)
+    return F.when(usable, labelled).otherwise(
         next_line(lines, rules.COURSE_HEADINGS, lambda v: F.length(v) > 2))
 
 
-def institute_name(lines: Column) -> Column:
+def institute_name(labelled: Column, lines: Lines) -> Column:
     """Labelled institute, else one of the two lines below a heading, numbering removed."""
-    value = first_match(lines, rules.INSTITUTE_PATTERNS)
-    usable = like_institute(value) & ~F.lower(value).isin(*rules.INSTITUTE_REJECTS)
+    usable = like_institute(labelled) & ~F.lower(labelled).isin(*rules.INSTITUTE_REJECTS)
 
-    def below(line: Column, i: Column) -> Column:
-        found = [F.regexp_replace(clean_value(F.get(lines, i + k)), r"(?U)^\d+\s*", "") for k in (1, 2)]
-        return F.when(contains_any(F.lower(line), rules.INSTITUTE_HEADINGS), F.array(*found))
+    def below(low: Column, i: Column) -> Column:
+        found = [F.regexp_replace(F.get(lines.value, i + k), r"(?U)^\d+\s*", "") for k in (1, 2)]
+        return F.when(contains_any(low, rules.INSTITUTE_HEADINGS), F.array_compact(F.array(*found)))
 
-    candidates = F.flatten(F.filter(F.transform(lines, below), lambda pair: pair.isNotNull()))
-    return F.when(usable, value).otherwise(first_item(F.filter(candidates, like_institute)))
+    candidates = F.flatten(F.array_compact(F.transform(lines.low, below)))
+    return F.when(usable, labelled).otherwise(first_item(F.filter(candidates, like_institute)))
 
 
-def passing_status(lines: Column) -> Column:
-    blob = F.lower(F.array_join(lines, " "))
+def passing_status(blob: Column) -> Column:
+    """Status by the first rule that fits; `blob` is all lines in lower case as one text."""
     out = F.lit("Unknown")
     for status, pattern in reversed(rules.STATUS_RULES):
         out = F.when(blob.rlike(f"(?U){pattern}"), F.lit(status)).otherwise(out)
@@ -152,11 +199,12 @@ def year_in(c: Column) -> Column:
     return F.regexp_extract(c, f"(?U){rules.YEAR_PATTERN}", 1)
 
 
-def passing_year(lines: Column) -> Column:
+def passing_year(lines: Lines) -> Column:
     """First year in a line that speaks of results, else the first year anywhere."""
-    preferred = F.filter(lines, lambda line: contains_any(F.lower(line), rules.YEAR_LINE_WORDS))
-    years = F.transform(F.concat(preferred, lines), year_in)
-    return first_item(F.filter(years, lambda year: year != ""))
+    preferred = F.filter(
+        lines.line, lambda line, i: contains_any(F.get(lines.low, i), rules.YEAR_LINE_WORDS))
+    first = F.nullif(year_in(F.array_join(preferred, "\n")), F.lit(""))
+    return F.coalesce(first, year_in(F.array_join(lines.line, "\n")))
 
 
 def normal_status(c: Column) -> Column:
@@ -197,26 +245,34 @@ def needs_review() -> Column:
 def extract_fields(df: DataFrame, name: str, text: str, confidence: str,
                    max_chars: int | None = None) -> DataFrame:
     """The report, one row per document. Whole texts are read unless `max_chars` is set."""
-    lines = F.col("__lines")
-    body = clean_text(named(text).cast("string"))
+    body, relevant = clean_text(named(text).cast("string")), F.col("__relevant")
     read = df.select(
         named(name).cast("string").alias("File Name"),
         F.bround(F.coalesce(named(confidence).cast("double"), F.lit(0.0)), 4).alias("OCR Confidence"),
         (body if max_chars is None else F.left(body, F.lit(max_chars))).alias("__text"),
     ).withColumn("__relevant", is_relevant(F.col("__text")))
-    split = read.withColumn("__lines", F.when(F.col("__relevant"), clean_lines(F.col("__text"))))
-    detect = {
-        "Roll No": roll_number, "University Name": university_name, "Course Name": course_name,
-        "Passing Year": passing_year, "Candidate Name": candidate_name,
-        "Passing Status": passing_status, "Institute Name": institute_name,
+    # Later steps see null arrays, and so do nothing, where the document is not relevant.
+    split = computed_once(read, {"__lines": F.when(relevant, clean_lines(F.col("__text")))})
+    arrays = computed_once(split, line_arrays(F.col("__lines")))
+    lines = Lines(*[F.col(c) for c in ("__lines", "__low", "__folded", "__value")])
+    labelled = computed_once(arrays, labelled_values(lines) | {
+        "__blob": F.array_join(lines.low, " ")})
+    detected = {
+        "Roll No": roll_number(F.col("__roll"), lines),
+        "University Name": university_name(lines),
+        "Course Name": course_name(F.col("__course"), lines),
+        "Passing Year": passing_year(lines),
+        "Candidate Name": candidate_name(F.col("__name"), lines),
+        "Passing Status": passing_status(F.col("__blob")),
+        "Institute Name": institute_name(F.col("__institute"), lines),
     }
     blank = {"Passing Status": "Unknown"}
-    found = computed_once(split, {
-        field: F.when(F.col("__relevant"), rule(lines)).otherwise(F.lit(blank.get(field, "")))
-        for field, rule in detect.items()
+    found = computed_once(labelled, {
+        field: F.when(relevant, value).otherwise(F.lit(blank.get(field, "")))
+        for field, value in detected.items()
     })
     scored = normalise_fields(found.withColumn("__fields", field_confidence()))
-    empty, relevant = F.col("__text") == "", F.col("__relevant")
+    empty = F.col("__text") == ""
     combined = combined_confidence(F.col("OCR Confidence"), F.col("__fields"))
     return scored.withColumns({
         "Confidence": F.when(relevant, combined).otherwise(F.lit(0.0)),
