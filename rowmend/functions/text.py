@@ -28,7 +28,9 @@ def strip(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Collapse white space to single spaces and trim; null becomes ''."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), BLANK_CLASS + "+", " ")
+    # Single plain blanks match nothing, so ordinary text is returned as it is.
+    text = F.regexp_replace(
+        F.coalesce(c, F.lit("")), f"{BLANK_CLASS}{{2,}}|[{BLANK_POINTS}&&[^ ]]", " ")
     return F.btrim(text)
 
 
@@ -70,7 +72,7 @@ def to_number(c: Column) -> Column:
 
 
 def no_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 # Letters that have no Unicode decomposition and their usual ASCII spelling.

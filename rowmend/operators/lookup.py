@@ -34,7 +34,8 @@ PREFIX = "__lookup_"
 INVALID, NO_MATCH = "INVALID_OR_BLANK_KEY", "NO_MATCH_FOUND"
 PRIORITY = {"special_lookup": 1, "main_lookup": 2}
 MAX_HOT_KEYS = 1000
-TRACKED_KEYS = 100_000
+TRACKED_KEYS = 8192
+SKETCH_GROUPS = 512
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -109,14 +110,22 @@ def measure_index(index: DataFrame) -> IndexSize:
 def frequent_keys(keys: DataFrame, column: str = KEY, limit: int = MAX_HOT_KEYS) -> list[str]:
     """Non-blank values holding more than 1/limit of all rows: at most `limit` of them.
 
-    One narrow scan merging fixed-size sketches; no row is shuffled. The answer steers
-    the plan only, results are the same for any answer.
+    One narrow scan into fixed-size sketches, merged in two steps so that no task receives
+    one from every scan task; no row is shuffled. The answer steers the plan only, results
+    are the same for any answer.
     """
-    found = keys.filter(named(column) != "").agg(
-        F.call_function("approx_top_k", named(column), F.lit(limit), F.lit(TRACKED_KEYS)).alias("top"),
-        F.count("*").alias("n"),
-    ).first()
-    share = max(found.n / limit, 2)
+    def sketch(function: str, *args: Column | int) -> Column:
+        return F.call_function(function, *[F.lit(a) if isinstance(a, int) else a for a in args])
+
+    partial = keys.filter(named(column) != "").groupBy(
+        (F.spark_partition_id() % SKETCH_GROUPS).alias("part")
+    ).agg(sketch("approx_top_k_accumulate", named(column), TRACKED_KEYS).alias("sketch"),
+          F.count("*").alias("n"))
+    found = partial.agg(
+        sketch("approx_top_k_combine", F.col("sketch"), TRACKED_KEYS).alias("sketch"),
+        F.sum("n").alias("n"),
+    ).select("n", sketch("approx_top_k_estimate", F.col("sketch"), limit).alias("top")).first()
+    share = max((found.n or 0) / limit, 2)
     return [item["item"] for item in found.top or [] if item["count"] >= share]
 
 

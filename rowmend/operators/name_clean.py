@@ -38,9 +38,14 @@ def letters_only(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"[^A-Za-z]+", " "))
 
 
-def word_hits(c: Column, words: Iterable[str]) -> Column:
-    """How many words of the text are in the list, repeats counted."""
-    return F.regexp_count(F.lower(c), F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"))
+def latin_words(c: Column) -> Column:
+    return F.split(F.lower(c), "[^a-z]+")
+
+
+def word_hits(words: Column, listed: Iterable[str]) -> Column:
+    """How many of the words are in the list, repeats counted."""
+    listed = list(listed)
+    return F.size(F.filter(words, lambda w: w.isin(listed)))
 
 
 def has_email_or_url(c: Column) -> Column:
@@ -60,10 +65,10 @@ def drop_leading_generic(words: Column) -> Column:
     return F.when(lead.isin(GENERIC_WORDS), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
 
 
-def business_or_address(original: Column, token_count: Column) -> Column:
+def business_or_address(original: Column, token_count: Column, address: Column, business: Column,
+                        digits: Column) -> Column:
     """Reason for a name that reads like a business or an address, else ''."""
-    address, business = word_hits(original, ADDRESS_WORDS), word_hits(original, BUSINESS_WORDS)
-    digits, comma = digit_count(original), F.contains(original, F.lit(","))
+    comma = F.contains(original, F.lit(","))
     located = (
         (address >= 2)
         | ((address >= 1) & ((digits >= 1) | comma))
@@ -91,21 +96,27 @@ def clean_names(df: DataFrame, column: str, cleaned: str = "cleaned_name",
         .withColumn("__name", F.initcap(F.array_join(words, " ")))
     )
     original, name = F.col("__original"), F.col("__name")
+    counted = computed_once(staged.withColumn("__latin", latin_words(original)), {
+        "__address": word_hits(F.col("__latin"), ADDRESS_WORDS),
+        "__business": word_hits(F.col("__latin"), BUSINESS_WORDS),
+        "__digits": digit_count(original),
+    })
+    address, business, digits = (F.col(c) for c in ("__address", "__business", "__digits"))
     verdict = (
         F.when(original == "", F.lit("empty_original"))
         .when(has_email_or_url(original), F.lit("contains_email_or_url"))
         .when(F.col("__letters") == "", F.lit("empty_after_cleaning"))
         .when(F.size(F.col("__untitled")) == 0, F.lit("only_honorific"))
         .when(F.size(F.col("__named")) == 0, F.lit("generic_non_name"))
-        .when(digit_count(original) >= 6, F.lit("contains_many_digits"))
+        .when(digits >= 6, F.lit("contains_many_digits"))
         .when(F.length(name) <= 1, F.lit("too_short"))
         .when((size == 1) & F.lower(name).isin(GENERIC_WORDS), F.lit("generic_non_name"))
         # n one-letter words joined by blanks are exactly 2n - 1 characters long
         .when(F.length(name) == 2 * size - 1, F.lit("initials_only"))
         .when(size > MAX_TOKENS, F.lit("too_long"))
-        .otherwise(business_or_address(original, size))
+        .otherwise(business_or_address(original, size, address, business, digits))
     )
-    judged = computed_once(staged, {"__verdict": verdict, "__name": name})
+    judged = computed_once(counted, {"__verdict": verdict, "__name": name})
     return judged.select(
         *[named(c) for c in df.columns if c not in (cleaned, reason)],
         F.when(F.col("__verdict") == "", name).otherwise(F.lit("")).alias(cleaned),

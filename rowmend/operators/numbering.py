@@ -30,7 +30,9 @@ def place_rows(df: DataFrame, order_by: Sequence[Column], group_by: Sequence[Col
     """
     group = F.struct(*[c.alias(f"g{i}") for i, c in enumerate(group_by)]) if group_by else (
         F.struct(F.lit(0).alias("g0")))
-    ordered = df.withColumn(GROUP, group).orderBy(F.col(GROUP), *order_by)
+    # Sort keys are columns of their own: a sort evaluates an expression at every comparison.
+    keys = {f"__order{i}": c for i, c in enumerate(order_by)}
+    ordered = df.withColumns({GROUP: group} | keys).orderBy(GROUP, *keys).drop(*keys)
     placed = ordered.withColumns({
         PART: F.spark_partition_id(),
         POS: F.monotonically_increasing_id().bitwiseAND(F.lit(WITHIN)),

@@ -123,7 +123,8 @@ def plan_url_manifest(df: DataFrame, url: str, name: str, row_index: Column, fol
 
 def natural_sort(df: DataFrame, column: str, then_by: Sequence[str] = ()) -> DataFrame:
     """Total order in which `f2` comes before `f10`."""
-    return df.orderBy(natural_key(named(column)), *[named(c) for c in then_by])
+    keyed = df.withColumn("__natural", natural_key(named(column)))
+    return keyed.orderBy("__natural", *[named(c) for c in then_by]).drop("__natural")
 
 
 def natural_position(df: DataFrame, column: str, then_by: Sequence[str] = (),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from rowmend.columns import as_text
 from rowmend.operators.clean import clean, clean_counts, dry_run
 from rowmend.plans.registry import query, table
+from rowmend.sources.files import spread
 from rowmend.specs import CleanSpec
 
 LINES = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -102,7 +103,7 @@ WHOLE_JOB_CTE = """
 
 
 def lines(spark, sf_dir):
-    return as_text(table(spark, sf_dir, "lineitem").select(LINES))
+    return as_text(spread(table(spark, sf_dir, "lineitem").select(LINES)))
 
 
 def events(spark, sf_dir):

@@ -155,7 +155,8 @@ REPORT_CTE = f"""
 
 
 def report(spark, sf_dir):
-    return extract_fields(derived(spark, sf_dir, "documents", DOCS), "file", "body", "confidence")
+    docs = derived(spark, sf_dir, "documents", DOCS, needs=["doc_id", "text"])
+    return extract_fields(docs, "file", "body", "confidence")
 
 
 @query("extracted_fields", f"WITH {REPORT_CTE} SELECT * FROM report")

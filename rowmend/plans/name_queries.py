@@ -79,7 +79,8 @@ NAMES_CTE = f"""
 
 
 def consolidate(spark, sf_dir):
-    return categorise(derived(spark, sf_dir, "orders", CONTACTS), "phone", "response", "state")
+    contacts = derived(spark, sf_dir, "orders", CONTACTS, needs=["o_orderkey", "o_custkey", "o_orderpriority"])
+    return categorise(contacts, "phone", "response", "state")
 
 
 @query("names_consolidate", f"WITH {NAMES_CTE} SELECT * FROM consolidate")

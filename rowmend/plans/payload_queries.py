@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowmend.operators.payload import decode_payloads, name_payloads
 from rowmend.plans.registry import query, table
+from rowmend.sources.files import spread
 
 # A third of all files lie in one folder.
 FOLDER = "CASE WHEN doc_id % 3 = 0 THEN 'scans' ELSE source END"
@@ -47,7 +48,7 @@ def files(spark, sf_dir):
     def coded(lead: str):
         return F.base64(F.concat(F.unhex(F.lit(lead)), F.encode("text", "UTF-8")))
 
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "source", coded("").alias("plain"), coded("FFD8FF").alias("jpg"),
         coded("255044462D").alias("pdf"), coded("89504E470D0A1A0A").alias("png"))
     return docs.selectExpr(f"{PATH} AS path", f"{CONTENT} AS content".replace("rtrim(pdf, '=')", "rtrim('=', pdf)"))

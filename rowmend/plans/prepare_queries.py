@@ -13,6 +13,7 @@ from rowmend.operators.prepare import (
     assign_unique_id, natural_position, plan_url_manifest, repeated_ids, stagger_timestamps,
 )
 from rowmend.plans.registry import derived, derived_sql, query, table
+from rowmend.sources.files import spread
 
 TICKETS = {
     "o_orderkey": "o_orderkey", "o_custkey": "o_custkey",
@@ -83,7 +84,7 @@ FORMATS = ("'%d-%m-%Y', '%d/%m/%Y', '%d.%m.%Y', '%d %m %Y', '%d-%b-%Y', '%d %b %
 
 
 def dated(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("d")))
     return orders.selectExpr(*[f"{t} AS `{a}`" for a, t in DATED.items()])
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowmend.sources.files import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -29,10 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str],
-            where: str | None = None) -> DataFrame:
-    """Projection written in the SQL both engines read."""
+            where: str | None = None, needs: list[str] | None = None) -> DataFrame:
+    """Projection written in the SQL both engines read.
+
+    `needs` marks costly row-wise work and names the source columns it takes.
+    """
     source = table(spark, sf_dir, name)
     source = source.where(where) if where else source
+    if needs:
+        source = spread(source.select(needs))
     return source.selectExpr(*[f"{text} AS `{alias}`" for alias, text in columns.items()])
 
 

@@ -10,7 +10,7 @@ from rowmend.operators.profile import ENTIRE_ROW, SKIP, profile, table_summary,
 from rowmend.operators.search import search
 from rowmend.operators.union import union_folder, union_tables
 from rowmend.plans.registry import derived, derived_sql, query, table
-from rowmend.sources.files import csv_scan, list_files, write_csv
+from rowmend.sources.files import csv_scan, list_files, spread, write_csv
 from rowmend.sources.workspace import new_path
 
 TERMS = [" BUILDING ", "Customer#00000012", "40-21", "4021", "tool", "", "HOUSEHOLD", "77", "MACHINERY "]
@@ -47,7 +47,7 @@ TEXT_TERMS = ["data", "2019", "the", "9-9-9", "information", "zzzz", "@"]
 @query("search_documents", search_sql(
     TEXT_TERMS, "documents", ["CAST(doc_id AS VARCHAR)", "text", "source"], "doc_id + 2", "documents"))
 def search_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return search(docs, TEXT_TERMS, F.col("doc_id") + 2, "documents", columns=["doc_id", "text", "source"])
 
 

@@ -109,6 +109,17 @@ def smart_read(spark: SparkSession, path: str, **options) -> DataFrame:
         raise ValueError("Unsupported or corrupted file") from error
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """One piece per core for costly row-wise work on an input that scans as fewer pieces.
+
+    A small file of one row group is a single task otherwise. Inputs that already have as
+    many scan tasks as the session has cores are returned unchanged, so large tables are
+    never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def preview(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df.limit(rows)
 
