@@ -121,12 +121,14 @@ def frequent_keys(keys: DataFrame, column: str = KEY, limit: int = MAX_HOT_KEYS)
         (F.spark_partition_id() % SKETCH_GROUPS).alias("part")
     ).agg(sketch("approx_top_k_accumulate", named(column), TRACKED_KEYS).alias("sketch"),
           F.count("*").alias("n"))
-    found = partial.agg(
+    # Grouped by a constant: combining sketches fails on no input at all.
+    found = partial.groupBy(F.lit("all")).agg(
         sketch("approx_top_k_combine", F.col("sketch"), TRACKED_KEYS).alias("sketch"),
         F.sum("n").alias("n"),
     ).select("n", sketch("approx_top_k_estimate", F.col("sketch"), limit).alias("top")).first()
-    share = max((found.n or 0) / limit, 2)
-    return [item["item"] for item in found.top or [] if item["count"] >= share]
+    if found is None:
+        return []
+    return [item["item"] for item in found.top if item["count"] >= max(found.n / limit, 2)]
 
 
 def _pick(spec: LookupSpec, column: str, columns: set[str]) -> Column:

@@ -11,22 +11,19 @@ from rowmend.sources.files import spread
 # A third of all files lie in one folder.
 FOLDER = "CASE WHEN doc_id % 3 = 0 THEN 'scans' ELSE source END"
 PATH = f"'/in/' || {FOLDER} || '/doc_' || CAST(doc_id AS STRING) || '.txt'"
+LEAD = """CASE doc_id % 9 WHEN 0 THEN 'FFD8FF' WHEN 1 THEN '255044462D' WHEN 2 THEN '89504E470D0A1A0A'
+    WHEN 3 THEN '255044462D' WHEN 5 THEN '89504E470D0A1A0A' ELSE '' END"""
 CONTENT = """CASE doc_id % 9
-    WHEN 0 THEN '<img src="data:image/jpeg;base64,' || jpg
-    WHEN 1 THEN 'data:application/pdf;base64,' || rtrim(pdf, '=')
-    WHEN 2 THEN 'data:image/png;base64,' || png
-    WHEN 3 THEN rtrim(pdf, '=') || ' ' || chr(10) || chr(9)
-    WHEN 4 THEN plain
-    WHEN 5 THEN '<img src="data:image/png;base64,' || png || '" />'
+    WHEN 0 THEN '<img src="data:image/jpeg;base64,' || coded
+    WHEN 1 THEN 'data:application/pdf;base64,' || replace(coded, '=', '')
+    WHEN 2 THEN 'data:image/png;base64,' || coded
+    WHEN 3 THEN replace(coded, '=', '') || ' ' || chr(10) || chr(9)
+    WHEN 4 THEN coded
+    WHEN 5 THEN '<img src="data:image/png;base64,' || coded || '" />'
     WHEN 6 THEN '  ' || chr(10) || ' -- '
-    WHEN 7 THEN 'abc=def' || plain
-    ELSE left(plain, 40) || chr(13) || chr(10) || substr(plain, 41) END"""
-ENCODED_SQL = """
-    SELECT doc_id, source, to_base64(encode(text)) AS plain,
-           to_base64(unhex('FFD8FF') || encode(text)) AS jpg,
-           to_base64(unhex('255044462D') || encode(text)) AS pdf,
-           to_base64(unhex('89504E470D0A1A0A') || encode(text)) AS png
-    FROM documents"""
+    WHEN 7 THEN 'abc=def' || coded
+    ELSE left(coded, 40) || chr(13) || chr(10) || substr(coded, 41) END"""
+ENCODED_SQL = f"SELECT doc_id, source, to_base64(unhex({LEAD}) || encode(text)) AS coded FROM documents"
 DECODED_CTE = f"""
     encoded AS ({ENCODED_SQL}),
     files AS (SELECT {PATH} AS path, {FOLDER} AS folder, {CONTENT} AS content FROM encoded),
@@ -45,13 +42,9 @@ DECODED_CTE = f"""
 
 
 def files(spark, sf_dir):
-    def coded(lead: str):
-        return F.base64(F.concat(F.unhex(F.lit(lead)), F.encode("text", "UTF-8")))
-
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
-        "doc_id", "source", coded("").alias("plain"), coded("FFD8FF").alias("jpg"),
-        coded("255044462D").alias("pdf"), coded("89504E470D0A1A0A").alias("png"))
-    return docs.selectExpr(f"{PATH} AS path", f"{CONTENT} AS content".replace("rtrim(pdf, '=')", "rtrim('=', pdf)"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    coded = F.base64(F.concat(F.unhex(F.expr(LEAD)), F.encode("text", "UTF-8")))
+    return docs.withColumn("coded", coded).selectExpr(f"{PATH} AS path", f"{CONTENT} AS content")
 
 
 @query("payloads_decoded", f"""WITH {DECODED_CTE}
