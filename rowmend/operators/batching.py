@@ -66,7 +66,7 @@ def exits(sizes: np.ndarray, cap: int) -> list[tuple[int, int, int | None]]:
 
 
 def _exit_table(cap: int):
-    def table(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows.sort_values(POS)[SIZE].to_numpy(np.int64)
         out = pd.DataFrame(exits(sizes, cap), columns=["above", "opened", "level"])
         out["level"] = out["level"].astype("Int64")
@@ -120,7 +120,7 @@ def size_batches(df: DataFrame, size: str, cap: int, order_by: Sequence[Column |
     last_segments = slim.join(F.broadcast(tails), PART).join(F.broadcast(ends), PART).filter(
         F.col(POS) > F.col("end") - F.col("n"))
 
-    def fresh_exit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fresh_exit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         index, level = fill(rows.sort_values(POS)[SIZE].to_numpy(np.int64), cap)
         return pd.DataFrame({PART: [key[0]], "opened": [int(index[-1])], "level": [level]})
 
@@ -137,7 +137,7 @@ def size_batches(df: DataFrame, size: str, cap: int, order_by: Sequence[Column |
     states = spark.createDataFrame(
         _entry_states(edges, fresh, tables), f"{PART} int, {BATCHES} long, {LEVEL} long")
 
-    def number(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def number(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(POS)
         entered = int(rows[POS].iloc[0]) == 0
         level = int(rows[LEVEL].iloc[0]) if entered else 0

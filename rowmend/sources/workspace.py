@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="rowmend-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    return local_folder()
+
+
+@cache
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="rowmend-")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

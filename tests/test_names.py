@@ -144,7 +144,7 @@ NOTES = [
     ("Michael Jordan", "Michael Jordon", "Very strong match"),
     ("Ann Mary Lee", "Ann Lee", "Very strong match (minor spelling differences) "
                                 "(possible extra or missing middle name)"),
-    ("Ann Lee", "Ann Okafor", "Strong match (first name identical, surname differs) (first name sounds similar)"),
+    ("Ann Lee", "Ann Low", "Strong match (first name identical, surname differs) (first name sounds similar)"),
     ("Qxz", "Bob", "Low similarity"),
 ]
 
