@@ -20,12 +20,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rowmend.columns import named
 from rowmend.functions.text import normal_key, strip
-from rowmend.sources.files import conform, write_csv, write_report
+from rowmend.sources.files import (
+    conform, csv_scan, files_by_header, list_lookup_files, write_csv, write_report,
+)
 from rowmend.sources.workspace import written
 from rowmend.specs import LookupSource, LookupSpec, Mapping
 
@@ -146,6 +148,18 @@ def _pick(spec: LookupSpec, column: str, columns: set[str]) -> Column:
     return own.alias(column)
 
 
+def join_keys(rows: DataFrame, side: DataFrame, how: str, hot_keys: Sequence[str]) -> DataFrame:
+    """Join in two parts: blank and hot keys by broadcast, all others by whatever suits.
+
+    `side` has one row per key and no blank one, so its hot part has at most as many rows
+    as there are hot keys, and the part that may be shuffled has no hot key on either side.
+    """
+    hot = F.col(KEY).isin(list(hot_keys)) if hot_keys else F.lit(False)
+    apart = (F.col(KEY) == "") | hot
+    rest = rows.filter(~apart).join(side, KEY, how)
+    return rest.unionByName(rows.filter(apart).join(F.broadcast(side.filter(hot)), KEY, how))
+
+
 def match(df: DataFrame, index: DataFrame, spec: LookupSpec, hot_keys: Sequence[str] = (),
           small_index: bool = False) -> DataFrame:
     """Left join on the normalised key; the consolidated output with status and reason.
@@ -163,16 +177,7 @@ def match(df: DataFrame, index: DataFrame, spec: LookupSpec, hot_keys: Sequence[
     elif df.isStreaming:
         joined = rows.join(side, KEY, "left")
     else:
-        apart = (F.col(KEY) == "") | F.col(KEY).isin(list(hot_keys))
-        rest = rows.filter(~apart).join(side, KEY, "left")
-        if hot_keys:
-            hot_side = side.filter(F.col(KEY).isin(list(hot_keys)))
-            kept_apart = rows.filter(apart).join(F.broadcast(hot_side), KEY, "left")
-        else:
-            kept_apart = rows.filter(apart).withColumns(
-                {PREFIX + t: F.lit(None).cast("string") for t in spec.targets}
-                | {PREFIX + "found": F.lit(None).cast("boolean")})
-        joined = rest.unionByName(kept_apart)
+        joined = join_keys(rows, side, "left", hot_keys)
     reason = (
         F.when(F.col(KEY) == "", F.lit(INVALID))
         .when(F.col(PREFIX + "found").isNull(), F.lit(NO_MATCH))
@@ -211,15 +216,16 @@ def _keyed(df: DataFrame, spec: LookupSpec) -> DataFrame:
 
 def with_partner(df: DataFrame, index: DataFrame, spec: LookupSpec) -> DataFrame:
     """Input rows whose key is in the index, nothing fetched."""
-    rows = _keyed(df, spec).filter(F.col(KEY) != "")
-    return rows.join(index.select(KEY), KEY, "left_semi").drop(KEY)
+    rows = _keyed(df, spec)
+    hot = frequent_keys(rows.select(KEY))
+    return join_keys(rows, index.select(KEY), "left_semi", hot).drop(KEY)
 
 
 def without_partner(df: DataFrame, index: DataFrame, spec: LookupSpec) -> DataFrame:
-    """Input rows whose key is blank or not in the index; blank keys skip the shuffle."""
+    """Input rows whose key is blank or not in the index."""
     rows = _keyed(df, spec)
-    missing = rows.filter(F.col(KEY) != "").join(index.select(KEY), KEY, "left_anti")
-    return missing.unionByName(rows.filter(F.col(KEY) == "")).drop(KEY)
+    hot = frequent_keys(rows.select(KEY))
+    return join_keys(rows, index.select(KEY), "left_anti", hot).drop(KEY)
 
 
 def _counters() -> list[Column]:
@@ -258,7 +264,20 @@ def run_lookup(df: DataFrame, sources: Sequence[LookupSource], spec: LookupSpec,
         write_csv(part, f"{output}/{name}_output", spec.headers[name])
     summary = run_statistics(done).withColumn("unique_lookup_keys_indexed", F.lit(size.keys))
     write_report(summary, f"{output}/summary")
-    return summary.first().asDict()
+    counts = summary.first().asDict()
+    line = f"Processed: {counts['processed_rows']} | Matched: {counts['matched_rows']}"
+    summary.select(F.lit(line)).write.text(f"{output}/summary_text")
+    return counts
+
+
+def folder_sources(spark: SparkSession, folders: Sequence[str], special_file: str = "",
+                   **options) -> list[LookupSource]:
+    """Sources from CSV folders, and an optional override file. Files that share a header
+    are one scan."""
+    found = [special_source(csv_scan(spark, special_file, **options))] if special_file else []
+    for header, paths in files_by_header(spark, list_lookup_files(spark, folders)).items():
+        found.append(main_source(csv_scan(spark, paths, list(header), **options)))
+    return found
 
 
 def main_source(frame: DataFrame, row_order: str = "") -> LookupSource:
@@ -270,7 +289,7 @@ def special_source(frame: DataFrame, row_order: str = "") -> LookupSource:
 
 
 __all__ = [
-    "LookupSource", "LookupSpec", "Mapping", "build_index", "enrich", "frequent_keys",
-    "main_source", "match", "measure_index", "observed", "route", "run_lookup",
+    "LookupSource", "LookupSpec", "Mapping", "build_index", "enrich", "folder_sources",
+    "frequent_keys", "main_source", "match", "measure_index", "observed", "route", "run_lookup",
     "run_statistics", "special_source", "with_partner", "without_partner",
 ]

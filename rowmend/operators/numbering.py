@@ -120,5 +120,6 @@ def number_file_rows(spark: SparkSession, paths: str | list[str], column: str =
         total += row["n"]
     schema = T.StructType([T.StructField("__file", T.StringType()), T.StructField("__offset", T.LongType())])
     listed = spark.createDataFrame(list(offsets.items()), schema)
-    return located.join(listed, "__file").select(
+    # One row per file: bounded by the file listing the driver holds anyway.
+    return located.join(F.broadcast(listed), "__file").select(
         *[named(c) for c in columns], (F.col("__index") + F.col("__offset")).alias(column))

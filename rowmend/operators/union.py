@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmend.columns import named, unique
-from rowmend.sources.files import csv_scan, header_of, list_files
+from rowmend.sources.files import csv_scan, files_by_header, list_files
 
 SOURCE = "source_file"
 
@@ -37,17 +37,10 @@ def union_folder(spark: SparkSession, folder: str, multi_line: bool = True) -> D
     paths = list_files(spark, folder)
     if len(paths) < 2:
         raise ValueError("need at least two files to merge")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    order: list[str] = []
-    for path in paths:
-        try:
-            header = header_of(spark, path)
-        except ValueError:
-            continue
-        groups.setdefault(tuple(header), []).append(path)
-        order = unique([*order, *header, SOURCE])
+    groups = files_by_header(spark, paths)
     if not groups:
         raise ValueError("no valid files could be loaded")
+    order = unique(c for header in groups for c in (*header, SOURCE))
     out = None
     for header, members in groups.items():
         part = csv_scan(spark, members, list(header), blank_nulls=False, multi_line=multi_line,

@@ -169,6 +169,8 @@ def clean_counted(spark, sf_dir):
     return clean_counts(events(spark, sf_dir), WHOLE_JOB)
 
 
-@query("clean_dry_run")
+@query("clean_dry_run", f"""WITH
+    {WHOLE_JOB_CTE.replace('FROM events', 'FROM (SELECT * FROM events ORDER BY event_id LIMIT 500)')}
+    SELECT * FROM kept""")
 def clean_dry(spark, sf_dir):
     return dry_run(events(spark, sf_dir), WHOLE_JOB)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ MISSING_TEXTS = (
 )
 TABLE_ENDINGS = ("csv",)
 CORRUPT = "__malformed_record"
+HEADER_READERS = 16
 
 
 def list_files(spark: SparkSession, folder: str, endings: Iterable[str] = TABLE_ENDINGS,
@@ -63,9 +65,28 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
+def files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Group files by header in order of first appearance; files without one are left out.
+
+    Only the first line of each file is read, several files at a time.
+    """
+    def header(path: str) -> tuple[str, ...] | None:
+        try:
+            return tuple(header_of(spark, path))
+        except ValueError:
+            return None
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADER_READERS) as readers:
+        for path, names in zip(paths, readers.map(header, paths)):
+            if names is not None:
+                groups.setdefault(names, []).append(path)
+    return groups
+
+
 def field_count(record: Column) -> Column:
     """Number of fields in a raw CSV record; commas inside quotes do not count."""
-    return F.regexp_count(F.regexp_replace(record, r'"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+    return F.regexp_count(F.regexp_replace(record, r'"[^"]*+(?:""[^"]*+)*+"', ""), F.lit(",")) + 1
 
 
 def csv_scan(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None,

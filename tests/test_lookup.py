@@ -150,6 +150,18 @@ def test_whole_run(spark, rows, sources, tmp_path):
     back = spark.read.csv(f"{out}/consolidated_output", header=True)
     assert back.columns == SPEC.headers["consolidated"] and back.count() == 7
     assert spark.read.json(f"{out}/summary").first()["matched_rows"] == 4
+    assert spark.read.text(f"{out}/summary_text").first().value == "Processed: 7 | Matched: 4"
+
+
+def test_sources_from_folders(spark, rows, tmp_path):
+    for name, text in {"m/a.csv": "k,city,zip\na,A,1\n", "m/b.csv": "k,city,zip\nb,B,\n",
+                       "n/c.csv": "city,k\nE,e\n", "special.csv": "code,c\nA,over\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = L.folder_sources(spark, [f"{tmp_path}/{d}" for d in "mxn"], f"{tmp_path}/special.csv")
+    assert [s.kind for s in found] == ["special_lookup", "main_lookup", "main_lookup"]
+    got = by_id(L.enrich(rows, found, SPEC))
+    assert [got[i]["town"] for i in "124"] == ["over", "B", "E"]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
