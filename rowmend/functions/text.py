@@ -17,8 +17,10 @@ BLANKS = "".join(
     [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680)]
     + [chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 )
-BLANK_POINTS = "".join(f"\\u{ord(c):04x}" for c in BLANKS)
-BLANK_CLASS = f"[{BLANK_POINTS}]"
+# The same set inside a pattern. The property class is several times faster than a list.
+WIDE = "(?U)"
+BLANK = r"[\s\x1c-\x1f]"
+NON_BLANK = r"[^\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -30,7 +32,7 @@ def squash(c: Column) -> Column:
     """Collapse white space to single spaces and trim; null becomes ''."""
     # Single plain blanks match nothing, so ordinary text is returned as it is.
     text = F.regexp_replace(
-        F.coalesce(c, F.lit("")), f"{BLANK_CLASS}{{2,}}|[{BLANK_POINTS}&&[^ ]]", " ")
+        F.coalesce(c, F.lit("")), f"{WIDE}{BLANK}{{2,}}|[{BLANK}&&[^ ]]", " ")
     return F.btrim(text)
 
 
@@ -139,7 +141,7 @@ def natural_key(c: Column) -> Column:
 def safe_file_name(c: Column) -> Column:
     """Replace runs of characters a file system rejects, collapse blanks, trim dots."""
     name = F.regexp_replace(strip(c), r'[<>:"/\\|?*]+', "_")
-    return F.btrim(F.regexp_replace(name, BLANK_CLASS + "+", " "), F.lit(" ."))
+    return F.btrim(F.regexp_replace(name, f"{WIDE}{BLANK}+", " "), F.lit(" ."))
 
 
 def safe_merge_name(c: Column) -> Column:

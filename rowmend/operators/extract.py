@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rowmend.columns import computed_once, contains_any, first_item, named
 from rowmend.functions import document_rules as rules
-from rowmend.functions.text import BLANK_CLASS, BLANK_POINTS, LINE_BREAK, strip
+from rowmend.functions.text import BLANK, LINE_BREAK, NON_BLANK, WIDE, strip
 
 REPORT = [
     "File Name", "Roll No", "University Name", "Course Name", "Passing Year", "Candidate Name",
@@ -57,7 +57,7 @@ def clean_lines(text: Column) -> Column:
 
 
 def clean_value(c: Column) -> Column:
-    text = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), BLANK_CLASS + "{2,}", " ")
+    text = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), f"{WIDE}{BLANK}{{2,}}", " ")
     return F.btrim(text, F.lit(rules.VALUE_EDGES))
 
 
@@ -71,7 +71,7 @@ def line_arrays(lines: Column) -> dict[str, Column]:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{BLANK_POINTS}]+"))
+    return F.regexp_count(c, F.lit(f"{WIDE}{NON_BLANK}+"))
 
 
 def lead(pattern: str) -> str:
@@ -142,7 +142,7 @@ def roll_number(labelled: Column, lines: Lines) -> Column:
 
 def candidate_name(labelled: Column, lines: Lines) -> Column:
     """Labelled name, else the first short line in capitals that reads like a name."""
-    short = f"^[^{BLANK_POINTS}]+(?:[{BLANK_POINTS}]+[^{BLANK_POINTS}]+){{1,3}}[{BLANK_POINTS}]*$"
+    short = f"{WIDE}^{NON_BLANK}+(?:{BLANK}+{NON_BLANK}+){{1,3}}{BLANK}*$"
 
     def in_capitals(value: Column) -> Column:
         letters = F.greatest(F.regexp_count(value, F.lit(r"\p{L}")), F.lit(1))

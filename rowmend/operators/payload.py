@@ -26,7 +26,7 @@ def bare_payload(content: Column) -> Column:
     The slash of a closing tag belongs to the alphabet and stays.
     """
     text = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), WRAPPERS, content)
-    return F.regexp_replace(text, "[^A-Za-z0-9+/=]+", "")
+    return F.regexp_replace(text, r"[^\p{Alnum}+/=]+", "")
 
 
 def payload_extension(payload: Column) -> Column:

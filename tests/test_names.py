@@ -167,3 +167,12 @@ def test_natural_key_orders_numbers(frame):
     rows = frame([(n,) for n in names], "n").orderBy(natural_key(F.col("n")), "n").collect()
     assert [r.n for r in rows] == [
         "", "2b", "10a", "a9", "a12345678901234567890123", "F1", "f2", "f2a", "f002x", "f10"]
+
+
+def test_blank_pattern_and_blank_list_agree(spark):
+    from rowmend.functions.text import BLANK, BLANKS, WIDE
+
+    points = [(chr(c),) for c in (*range(1, 0xD800), *range(0xE000, 0x10000))]
+    found = spark.createDataFrame(points, "c string").filter(F.col("c").rlike(WIDE + BLANK)).collect()
+    assert sorted(r.c for r in found) == sorted(BLANKS)
+    assert all(ch.isspace() for ch in BLANKS)
