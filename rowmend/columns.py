@@ -44,12 +44,16 @@ def first_item(items: Column) -> Column:
     return F.coalesce(F.get(items, F.lit(0)), F.lit(""))
 
 
-def any_of(tests: Iterable[Column]) -> Column:
-    out = F.lit(False)
-    for test in tests:
-        out = out | test
-    return out
+def sql_list(words: Iterable[str]) -> str:
+    """Comma-separated SQL string literals."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
+def literal_array(words: Iterable[str]) -> Column:
+    """Array literal parsed in one call; building it word by word is slow from Python."""
+    return F.expr(f"array({sql_list(words)})")
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    return any_of(F.contains(text, F.lit(word)) for word in words)
+    """Whether any of the words occurs in the text; the text should be a plain column."""
+    return F.exists(literal_array(words), lambda word: F.contains(text, word))

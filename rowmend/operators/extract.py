@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.columns import computed_once, contains_any, first_item, named
+from rowmend.columns import computed_once, contains_any, first_item, literal_array, named
 from rowmend.functions import document_rules as rules
 from rowmend.functions.text import BLANK, LINE_BREAK, NON_BLANK, WIDE, strip
 
@@ -34,9 +34,9 @@ def clean_text(c: Column) -> Column:
 
 
 def is_relevant(text: Column) -> Column:
-    low = F.lower(text)
-    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in rules.RELEVANT_WORDS), F.lit(0))
-    return hits >= rules.RELEVANT_MINIMUM
+    """Whether enough of the telling words occur; `text` is in lower case already."""
+    hits = F.filter(literal_array(rules.RELEVANT_WORDS), lambda word: F.contains(text, word))
+    return F.size(hits) >= rules.RELEVANT_MINIMUM
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def university_name(lines: Lines) -> Column:
         )
         return F.when(suitable, F.struct((-F.length(value)).alias("rank"), value.alias("name")))
 
-    return F.coalesce(F.array_min(F.array_compact(F.transform(lines.low, ranked)))["name"], F.lit(""))
+    return F.coalesce(F.array_min(F.transform(lines.low, ranked))["name"], F.lit(""))
 
 
 def course_name(labelled: Column, lines: Lines) -> Column:
@@ -250,7 +250,7 @@ def extract_fields(df: DataFrame, name: str, text: str, confidence: str,
         named(name).cast("string").alias("File Name"),
         F.bround(F.coalesce(named(confidence).cast("double"), F.lit(0.0)), 4).alias("OCR Confidence"),
         (body if max_chars is None else F.left(body, F.lit(max_chars))).alias("__text"),
-    ).withColumn("__relevant", is_relevant(F.col("__text")))
+    ).withColumn("__lower", F.lower("__text")).withColumn("__relevant", is_relevant(F.col("__lower")))
     # Later steps see null arrays, and so do nothing, where the document is not relevant.
     split = computed_once(read, {"__lines": F.when(relevant, clean_lines(F.col("__text")))})
     arrays = computed_once(split, line_arrays(F.col("__lines")))

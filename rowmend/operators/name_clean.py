@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.columns import computed_once, contains_any, named
+from rowmend.columns import computed_once, contains_any, named, sql_list
 from rowmend.functions.text import digit_count, squash, to_ascii
 from rowmend.functions.word_lists import ADDRESS_WORDS, BUSINESS_WORDS, GENERIC_WORDS, HONORIFICS
 from rowmend.sources.files import write_csv, write_report
@@ -42,14 +42,13 @@ def latin_words(c: Column) -> Column:
     return F.split(F.lower(c), "[^a-z]+")
 
 
-def word_hits(words: Column, listed: Iterable[str]) -> Column:
-    """How many of the words are in the list, repeats counted."""
-    listed = list(listed)
-    return F.size(F.filter(words, lambda w: w.isin(listed)))
+def word_hits(words: str, listed: Iterable[str]) -> Column:
+    """How many words of an array column are in the list, repeats counted."""
+    return F.expr(f"size(filter({words}, w -> w IN ({sql_list(listed)})))")
 
 
 def has_email_or_url(c: Column) -> Column:
-    return contains_any(F.lower(c), ("@", "http://", "https://", "www."))
+    return F.lower(c).rlike("@|https?://|www\\.")
 
 
 def halve_repeat(words: Column) -> Column:
@@ -97,8 +96,8 @@ def clean_names(df: DataFrame, column: str, cleaned: str = "cleaned_name",
     )
     original, name = F.col("__original"), F.col("__name")
     counted = computed_once(staged.withColumn("__latin", latin_words(original)), {
-        "__address": word_hits(F.col("__latin"), ADDRESS_WORDS),
-        "__business": word_hits(F.col("__latin"), BUSINESS_WORDS),
+        "__address": word_hits("__latin", ADDRESS_WORDS),
+        "__business": word_hits("__latin", BUSINESS_WORDS),
         "__digits": digit_count(original),
     })
     address, business, digits = (F.col(c) for c in ("__address", "__business", "__digits"))
