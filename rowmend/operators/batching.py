@@ -9,17 +9,19 @@ and all partitions are then numbered at once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rowmend.columns import named
 from rowmend.operators.numbering import GROUP, PART, POS, Edge, partition_edges, place_rows
+from rowmend.sources.workspace import written
 
 SIZE, LEVEL, BATCHES = "__size", "__level", "__batches"
+SHORT_TABLE = 200
 
 
 def fill(sizes: np.ndarray, cap: int, level: int = 0) -> tuple[np.ndarray, int]:
@@ -77,24 +79,47 @@ def _exit_table(cap: int):
     return table
 
 
-def _entry_states(edges: Sequence[Edge], fresh: dict[int, tuple[int, int]], tables) -> list[tuple]:
-    """Walk the partitions in order; `tables` yields exit rows by partition and threshold."""
-    states, current, previous = [], None, None
-    pending = next(tables, None)
+def exit_lookup(table: DataFrame, cap: int) -> Callable[[int, int], tuple[int, int]]:
+    """Function from (partition, entry level) to (batches opened, exit level).
+
+    Where many batches end in a partition its table merges to a few rows, and those are
+    read at once. A table stays long only where batches span partitions; then a batch
+    rarely ends in one, and the single row needed is fetched.
+    """
+    counts = written(table.groupBy(PART).agg(F.count("*").alias("n"), F.max("total").alias("sum")), "exits")
+    totals = {r[PART]: r["sum"] for r in counts.collect()}
+    # One row per partition: the broadcast is bounded by the partition count.
+    short = table.join(F.broadcast(counts.filter(F.col("n") <= SHORT_TABLE).select(PART)), PART)
+    known: dict[int, list[Row]] = {}
+    for row in short.orderBy(PART, F.desc("above")).toLocalIterator():
+        known.setdefault(row[PART], []).append(row)
+
+    def after(part: int, level: int) -> tuple[int, int]:
+        if level + totals[part] <= cap:
+            return 0, level + totals[part]
+        if part in known:
+            row = next(r for r in known[part] if level > r["above"])
+        else:
+            fitting = table.filter((F.col(PART) == part) & (F.col("above") < level))
+            row = fitting.orderBy(F.desc("above")).first()
+        return row["opened"], row["level"]
+
+    return after
+
+
+def entry_states(edges: Sequence[Edge], fresh: dict[int, tuple[int, int]],
+                 after: Callable[[int, int], tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Partition, batches opened before it and entry level of its first group."""
+    states, left, previous = [], (0, 0), None
     for edge in edges:
-        opened, level = 0, 0
-        if previous is not None and previous.last == edge.first:
-            opened, level = current
+        continues = previous is not None and previous.last == edge.first
+        opened, level = left if continues else (0, 0)
         states.append((edge.part, opened, level))
-        after = None
-        while pending is not None and pending[PART] == edge.part:
-            if after is None and level > pending["above"]:
-                through = pending["level"] is None
-                after = (opened + pending["opened"],
-                         level + pending["total"] if through else pending["level"])
-            pending = next(tables, None)
-        continued = after is not None and edge.one_group
-        current = after if continued else fresh[edge.part]
+        if continues and edge.one_group:
+            more, level = after(edge.part, level)
+            left = (opened + more, level)
+        else:
+            left = fresh[edge.part]
         previous = edge
     return states
 
@@ -112,7 +137,7 @@ def size_batches(df: DataFrame, size: str, cap: int, order_by: Sequence[Column |
     fitting = df.filter(~too_big).withColumn(SIZE, amount)
     placed = place_rows(fitting, order, [named(c) for c in group_by])
     edges = partition_edges(placed)
-    continuing = [b.part for a, b in zip(edges, edges[1:]) if a.last == b.first]
+    continuing = [(b.part, b.first_rows) for a, b in zip(edges, edges[1:]) if a.last == b.first]
 
     slim = placed.select(PART, GROUP, POS, SIZE)
     tails = spark.createDataFrame([(e.part, e.last_rows) for e in edges], f"{PART} int, n long")
@@ -124,18 +149,17 @@ def size_batches(df: DataFrame, size: str, cap: int, order_by: Sequence[Column |
         index, level = fill(rows.sort_values(POS)[SIZE].to_numpy(np.int64), cap)
         return pd.DataFrame({PART: [key[0]], "opened": [int(index[-1])], "level": [level]})
 
-    fresh, tables = {e.part: (0, 0) for e in edges}, iter(())
+    fresh, after = {e.part: (0, 0) for e in edges}, lambda part, level: (0, level)
     if continuing:
         found = last_segments.groupBy(PART).applyInPandas(fresh_exit, f"{PART} int, opened long, level long")
         fresh |= {r[PART]: (r["opened"], r["level"]) for r in found.collect()}
-        heads = spark.createDataFrame([(e.part, e.first_rows) for e in edges], f"{PART} int, n long")
-        entered = slim.filter(F.col(PART).isin(continuing)).join(F.broadcast(heads), PART).filter(
-            F.col(POS) < F.col("n"))
+        heads = spark.createDataFrame(continuing, f"{PART} int, n long")
+        entered = slim.join(F.broadcast(heads), PART).filter(F.col(POS) < F.col("n"))
         schema = f"{PART} int, above long, opened long, level long, total long"
         table = entered.groupBy(PART).applyInPandas(_exit_table(cap), schema)
-        tables = table.orderBy(PART, F.desc("above")).toLocalIterator()
+        after = exit_lookup(written(table, "exits"), cap)
     states = spark.createDataFrame(
-        _entry_states(edges, fresh, tables), f"{PART} int, {BATCHES} long, {LEVEL} long")
+        entry_states(edges, fresh, after), f"{PART} int, {BATCHES} long, {LEVEL} long")
 
     def number(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(POS)

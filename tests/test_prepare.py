@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rowmend.functions.dates import normal_date
 from rowmend.functions.text import safe_file_name, safe_merge_name
+from rowmend.operators import batching
 from rowmend.operators import numbering as N
 from rowmend.operators import prepare as P
 from rowmend.operators.batching import exits, fill, size_batches
@@ -155,8 +156,10 @@ def test_batches_fixture(spark):
     assert got == {1: 1, 2: 2, 3: None, 4: 2}
 
 
+@pytest.mark.parametrize("short", [200, 0])
 @pytest.mark.parametrize("cap", [15, 200, 5000, 10**6])
-def test_batches_over_many_partitions(many_partitions, cap):
+def test_batches_over_many_partitions(many_partitions, monkeypatch, cap, short):
+    monkeypatch.setattr(batching, "SHORT_TABLE", short)
     rng = random.Random(cap)
     rows = [(i, rng.choice(["hot", "hot", f"g{i % 40}"]), rng.randint(0, 18)) for i in range(3000)]
     df = many_partitions.createDataFrame(rows, "id int, g string, size int")
