@@ -18,11 +18,11 @@ DATE_FAMILIES = (
 
 
 def parse_date(c: Column) -> Column:
-    """Timestamp of the first spelling that fits, else null."""
+    """Date in the first spelling that fits, else null."""
     text = squash(c.cast("string"))
     dashed = F.translate(text, "/. ", "---")
     return F.coalesce(*[
-        F.when(text.rlike(outline), F.coalesce(*[F.try_to_timestamp(dashed, F.lit(f)) for f in formats]))
+        F.when(text.rlike(outline), F.coalesce(*[F.try_to_date(dashed, f) for f in formats]))
         for outline, formats in DATE_FAMILIES
     ])
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.columns import computed_once, contains_any, named, sql_list
+from rowmend.columns import computed_once, named, sql_list
 from rowmend.functions.text import digit_count, squash, to_ascii
 from rowmend.functions.word_lists import ADDRESS_WORDS, BUSINESS_WORDS, GENERIC_WORDS, HONORIFICS
 from rowmend.sources.files import write_csv, write_report

@@ -9,7 +9,6 @@ from rowmend.plans.lookup_queries import ORDERS, SPEC, sources
 from rowmend.plans.name_queries import CONTACTS
 from rowmend.plans.registry import ORACLES, query, table
 from rowmend.plans.table_queries import STATES
-from rowmend.plans import clean_queries, lookup_queries, name_queries, table_queries  # noqa: F401
 from rowmend.sources.workspace import new_path, written
 from rowmend.streaming.incremental import (
     append_to, clean_stream, file_stream, keep_counts, latest_counts, lookup_stream, name_stream,
