@@ -19,9 +19,8 @@ def test_query_matches_sql(spark, db, name):
     assert oracle.differences(QUERIES[name](spark, SMALL), db, SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
