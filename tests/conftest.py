@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
+from rowmend.sources.workspace import cleanup, ensure_workspace  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,7 +22,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ensure_workspace(session)
     yield session
+    cleanup(session)
     session.stop()
 
 

@@ -4,9 +4,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_points
+from rowmend.plans import catalogue
 
 SMALL = entry_points.SMALL
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = entry_points.queries(), catalogue.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(catalogue.QUERIES) == set(SQL)
 
 
 def test_entry(spark):

@@ -8,7 +8,7 @@ from rowmend.operators.profile import ENTIRE_ROW, SKIP, profile, table_summary,
 from rowmend.operators.search import RESULT, prepare_terms, search
 from rowmend.operators.union import union_folder, union_tables
 from rowmend.sources import files
-from rowmend.sources.workspace import new_path, shared_folder, written
+from rowmend.sources.workspace import ensure_workspace, new_path, remove, run_folder, shared_folder, written
 
 
 def save(folder, name, text, encoding="utf-8"):
@@ -91,16 +91,26 @@ class Settings:
 
 def test_working_folder_is_the_sessions(spark):
     assert shared_folder(Settings(spark_checkpoint_dir="/shared/", spark_master="yarn")) == "/shared"
-    assert shared_folder(Settings(spark_master="local[2]")) == shared_folder(Settings(spark_master="local[2]"))
-    with pytest.raises(RuntimeError):
-        shared_folder(Settings(spark_master="yarn"))
+    for master in ("yarn", "local[2]", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(Settings(spark_master=master))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_workspace(Settings(spark_master=master))
     kept = written(spark.range(3), "t")
-    assert kept.count() == 3 and f"{shared_folder(spark)}/rowmend/t-" in kept.inputFiles()[0]
+    assert kept.count() == 3 and f"{run_folder(spark)}/t-" in kept.inputFiles()[0]
     assert new_path(spark, "t") != new_path(spark, "t")
     with pytest.raises(AnalysisException):
         written(spark.range(3), "t", kept.inputFiles()[0].rsplit("/", 1)[0])
 
 
+def test_intermediates_can_be_removed(spark, tmp_path):
+    gone = written(spark.range(3), "t", str(tmp_path / "t"))
+    assert gone.count() == 3
+    remove(spark, str(tmp_path / "t"))
+    assert not (tmp_path / "t").exists()
+
+
 # --- search
 
 
