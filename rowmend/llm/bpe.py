@@ -14,15 +14,16 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
 from rowmend.columns import named
@@ -65,9 +66,6 @@ class Bpe:
     def __init__(self, definition: str, unsettled: str):
         self.definition, self.unsettled = definition, unsettled
 
-    def __reduce__(self):
-        return Bpe, (self.definition, self.unsettled)
-
     @cached_property
     def spec(self) -> dict:
         spec = json.loads(self.definition)
@@ -306,6 +304,19 @@ def load_bpe(path: str) -> Bpe:
         return Bpe(file.read(), unsettled_characters())
 
 
+def to_workers(spark: SparkSession, bpe: Bpe) -> Callable[[], Bpe]:
+    """Ship the definition once per worker; tables and memory built there outlive the task."""
+    shared = spark.sparkContext.broadcast({"definition": bpe.definition, "unsettled": bpe.unsettled})
+
+    def own() -> Bpe:
+        held = shared.value
+        if "built" not in held:
+            held["built"] = Bpe(held["definition"], held["unsettled"])
+        return held["built"]
+
+    return own
+
+
 def encode_column(df: DataFrame, bpe: Bpe, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """Append the token ids of a text column; null and empty texts have no ids.
 
@@ -313,12 +324,12 @@ def encode_column(df: DataFrame, bpe: Bpe, text_col: str = "text", ids_col: str
     they are, repeated ones too; an empty table stays empty. Texts are read whole, some
     megabytes at a time.
     """
-    shared = df.sparkSession.sparkContext.broadcast(bpe)
+    built = to_workers(df.sparkSession, bpe)
     source = df.select(*[named(c) for c in df.columns if c != ids_col], named(text_col).alias("__text"))
     kept = source.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = built()
         for batch in batches:
             at = 0
             for texts in slices(t.as_py() for t in batch.column(len(kept))):
@@ -330,7 +341,7 @@ def encode_column(df: DataFrame, bpe: Bpe, text_col: str = "text", ids_col: str
                     [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), flat)], [*kept, ids_col])
                 at += len(texts)
 
-    schema = source.drop("__text").schema.add(ids_col, "array<int>")
+    schema = source.drop("__text").schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return source.mapInArrow(run, schema)
 
 
@@ -340,12 +351,12 @@ def decode_column(df: DataFrame, bpe: Bpe, ids_col: str = "token_ids", text_col:
     Ids outside the vocabulary are skipped. A column that already has the name of the result
     is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(bpe)
+    built = to_workers(df.sparkSession, bpe)
     source = df.select(*[named(c) for c in df.columns if c != text_col], named(ids_col).alias("__ids"))
     kept = source.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = built()
         for batch in batches:
             ids, step = batch.column(len(kept)), 512
             for at in range(0, batch.num_rows, step):
@@ -353,7 +364,7 @@ def decode_column(df: DataFrame, bpe: Bpe, ids_col: str = "token_ids", text_col:
                 part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*kept, text_col])
 
-    schema = source.drop("__ids").schema.add(text_col, "string")
+    schema = source.drop("__ids").schema.add(text_col, T.StringType())
     return source.mapInArrow(run, schema)
 
 
