@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from rowmend.llm.common import slices
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose encodings a task remembers; forgetting costs time only.
-REMEMBERED = 400_000
-COMPATIBLE = 2_000_000
+REMEMBERED_WORDS, REMEMBERED_RUNS, REMEMBERED_PAIRS = 500_000, 150_000, 300_000
+SLICE = 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -133,11 +134,6 @@ class Bpe:
         pieces = self.pieces
         return {pieces[t]: t for t in sorted(made) if self.merged(pieces[t]) == [t]}
 
-    @cached_property
-    def suffixes(self) -> set[bytes]:
-        """Every ending of a reachable token: beyond one that is none, no token ends the prefix."""
-        return {piece[at:] for piece in self.reachable for at in range(len(piece))}
-
     @cached_property
     def known_pairs(self) -> dict[int, bool]:
         return {}
@@ -167,30 +163,27 @@ class Bpe:
                 limit, left = one[0], one[2]
             else:
                 limit, right = two[0] + 1, two[1]
-        if len(known) >= COMPATIBLE:
+        if len(known) >= REMEMBERED_PAIRS:
             known.clear()
         known[a << 32 | b] = stay
         return stay
 
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) of the words of a trie in depth-first order; `words` are sorted and not empty."""
-        reachable, suffixes, apart, known = self.reachable, self.suffixes, self.apart, self.known_pairs
+        find, apart, seen = self.reachable.get, self.apart, self.known_pairs.get
         last, size, before = [-1], [0], b""
         for word in words:
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
+            shared = len(commonprefix((word, before)))
             del last[shared + 1:], size[shared + 1:]
             for depth in range(shared + 1, len(word) + 1):
-                for at in range(depth - 1, -1, -1):
-                    piece = word[at:depth]
-                    if piece not in suffixes:
-                        raise AssertionError("no token ends the prefix")
-                    token = reachable.get(piece)
+                at = depth
+                while at:
+                    at -= 1
+                    token = find(word[at:depth])
                     if token is not None:
-                        if at == 0:
+                        if not at:
                             break
-                        fits = known.get(last[at] << 32 | token)
+                        fits = seen(last[at] << 32 | token)
                         if fits or fits is None and apart(last[at], token):
                             break
                 last.append(token)
@@ -250,9 +243,9 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        if len(self.runs) > REMEMBERED:
+        if len(self.runs) > REMEMBERED_RUNS:
             self.runs.clear()
         # A space between two others than white space always starts a word, so what lies between
         # such spaces is cut alike wherever it stands.
@@ -291,11 +284,22 @@ class Bpe:
             found.append(np.frombuffer(b"".join(parts), np.int32))
         return found
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """Text of a list of ids; unknown ids are skipped, broken UTF-8 becomes U+FFFD."""
-        pieces = self.pieces
-        known = (pieces[i] for i in ids if i is not None and 0 <= i < len(pieces))
-        return b"".join(known).decode("utf-8", "replace")
+    @cached_property
+    def flat_pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all tokens, where each starts, its size); one empty token stands for unknown ids."""
+        pieces = [*self.pieces, b""]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of an array of ids; unknown ids are skipped, broken UTF-8 becomes U+FFFD."""
+        text, start, size = self.flat_pieces
+        ids = np.where((ids < 0) | (ids >= len(size)), len(size) - 1, ids)
+        sizes = size[ids]
+        ends = np.cumsum(sizes)
+        place = np.repeat(start[ids] - ends + sizes, sizes)
+        place += np.arange(len(place))
+        return text[place].tobytes().decode("utf-8", "replace")
 
 
 def load_bpe(path: str) -> Bpe:
@@ -317,61 +321,80 @@ def to_workers(spark: SparkSession, bpe: Bpe) -> Callable[[], Bpe]:
     return own
 
 
+def list_array(lists: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)]), pa.int32()))
+
+
+def appended(df: DataFrame, source_col: str, new: dict[str, T.DataType],
+             work: Callable[[pa.Array], Iterator[tuple[int, list[pa.Array]]]]) -> DataFrame:
+    """Append columns made from one other, some rows at a time; columns of these names are replaced."""
+    source = df.select(*[named(c) for c in df.columns if c not in new and c != "__text"], named(source_col).alias("__source"))
+    kept, schema = source.columns[:-1], source.drop("__source").schema
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for rows, columns in work(batch.column(len(kept))):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*kept, *new])
+                at += rows
+
+    return source.mapInArrow(run, schema)
+
+
+IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
+
+
 def encode_column(df: DataFrame, bpe: Bpe, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """Append the token ids of a text column; null and empty texts have no ids.
 
     A column that already has the name of the result is replaced. Rows are otherwise kept as
-    they are, repeated ones too; an empty table stays empty. Texts are read whole, some
+    they are, repeated ones too; an empty table stays empty. Texts are encoded whole, some
     megabytes at a time.
     """
     built = to_workers(df.sparkSession, bpe)
-    source = df.select(*[named(c) for c in df.columns if c != ids_col], named(text_col).alias("__text"))
-    kept = source.columns[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = built()
-        for batch in batches:
-            at = 0
-            for texts in slices(t.as_py() for t in batch.column(len(kept))):
-                ids = own.encode(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32())
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), flat)], [*kept, ids_col])
-                at += len(texts)
-
-    schema = source.drop("__text").schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    return source.mapInArrow(run, schema)
+    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        for texts in slices((t.as_py() for t in column), SLICE):
+            yield len(texts), [list_array(built().encode(texts))]
+
+    return appended(df, text_col, {ids_col: IDS}, work)
 
 
 def decode_column(df: DataFrame, bpe: Bpe, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """Append the text of a column of token ids; null ids give null, no ids the empty text.
 
-    Ids outside the vocabulary are skipped. A column that already has the name of the result
-    is replaced.
+    Ids outside the vocabulary and null ids in a list are skipped. A column that already has
+    the name of the result is replaced.
     """
     built = to_workers(df.sparkSession, bpe)
-    source = df.select(*[named(c) for c in df.columns if c != text_col], named(ids_col).alias("__ids"))
-    kept = source.columns[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = built()
-        for batch in batches:
-            ids, step = batch.column(len(kept)), 512
-            for at in range(0, batch.num_rows, step):
-                texts = [None if row is None else own.decode(row) for row in ids.slice(at, step).to_pylist()]
-                part = batch.slice(at, step)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*kept, text_col])
+    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        for ids in column:
+            text = None if ids.as_py() is None else built().decode(ids.values.fill_null(-1).to_numpy(zero_copy_only=False))
+            yield 1, [pa.array([text], pa.string())]
 
-    schema = source.drop("__ids").schema.add(text_col, T.StringType())
-    return source.mapInArrow(run, schema)
+    return appended(df, ids_col, {text_col: TEXT}, work)
+
+
+def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`token_ids` and their `decoded` text beside the `keep` columns (all by default), in one pass.
+
+    Null and empty texts have no ids and decode to the empty text.
+    """
+    built = to_workers(df.sparkSession, load_bpe(path))
+    keep = df.columns if keep is None else keep
+    rows = df.select(*[named(c) for c in keep if c != "__text"], named(text_col).alias("__text"))
 
+    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        for texts in slices((t.as_py() for t in column), SLICE):
+            ids = built().encode(texts)
+            yield len(texts), [list_array(ids), pa.array([built().decode(x) for x in ids], pa.string())]
 
-def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Append `token_ids` and `decoded` to a table of texts."""
-    bpe = load_bpe(path)
-    return decode_column(encode_column(df, bpe, text_col), bpe)
+    return appended(rows, "__text", {"token_ids": IDS, "decoded": TEXT}, work)
 
 
 def ids_digest(ids: str = "token_ids"):

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from rowmend.llm.bpe import ids_digest, round_trip
 from rowmend.llm.embeddings import near_vectors
+from rowmend.llm.lines import drop_boilerplate
 from rowmend.llm.simhash import simhash_groups
+from rowmend.llm.toxicity import fit, scored
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0), folds=5, held_out=0)
+
+
 @query("op5_embedding_near_dedup")
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.93).withColumnRenamed("id", "vec_id")
@@ -44,8 +52,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 @query("op6_bpe_round_trip")
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return round_trip(docs, tokenizer_path()).select(
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"]).select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -55,3 +62,32 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return groups.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+LINES_SQL = r"""
+WITH pages AS (SELECT row_number() OVER () AS k, doc_id, source, text FROM documents),
+     lines AS (
+       SELECT DISTINCT k, source, trim(line, chr(32) || chr(9) || chr(13)) AS line
+       FROM (SELECT k, source, unnest(string_split(text, chr(10))) AS line FROM pages)),
+     totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+     counted AS (SELECT source, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY source, line),
+     found AS (
+       SELECT c.source, list(c.line) AS listed
+       FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+       WHERE c.n >= 3 AND c.n > 0.05 * t.pages GROUP BY c.source),
+     kept AS (
+       SELECT p.doc_id, p.text, string_split(p.text, chr(10)) AS whole,
+              list_filter(string_split(p.text, chr(10)),
+                          lambda x: NOT list_contains(coalesce(f.listed, []::VARCHAR[]), trim(x, chr(32) || chr(9) || chr(13)))) AS lines
+       FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(lines, chr(10)) END AS text,
+       coalesce(len(whole) - len(lines), 0)::BIGINT AS n_dropped
+FROM kept
+"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs, ratio=0.05, min_pages=3, dropped_col="n_dropped").select(
+        "doc_id", "text", "n_dropped")
