@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from rowmend.llm.bpe import ids_digest, round_trip
 from rowmend.llm.embeddings import near_vectors
 from rowmend.llm.lines import drop_boilerplate
+from rowmend.llm.rollups import Rollup, byte_estimate, changes, piece_count, word_count
 from rowmend.llm.simhash import simhash_groups
 from rowmend.llm.toxicity import fit, scored
+from rowmend.llm.urls import judged_urls, parse_rule
+from rowmend.sources.workspace import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -39,6 +42,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0), folds=5, held_out=0)
 
 
+RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judged_urls(pages, [parse_rule(r) for r in RULES]).withColumnRenamed("id", "page_id")
+
+
 @query("op5_embedding_near_dedup")
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.93).withColumnRenamed("id", "vec_id")
@@ -91,3 +103,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return drop_boilerplate(docs, ratio=0.05, min_pages=3, dropped_col="n_dropped").select(
         "doc_id", "text", "n_dropped")
+
+
+# A load under two tokenizers, one of them provisional; a revision of that one; a later clean-up.
+ROLLUP_SQL = r"""
+WITH counted AS (
+  SELECT source, lang, text,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(coalesce(text, ''), '\p{L}+|[^\p{L}\x20\x09-\x0D]')) AS pieces,
+         CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS estimate
+  FROM documents WHERE doc_id IS NOT NULL)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, sum(words)::BIGINT AS n_tokens
+FROM counted WHERE words >= 20 GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*), sum(CASE WHEN lang = 'en' THEN estimate ELSE pieces END)::BIGINT
+FROM counted WHERE words >= 20 GROUP BY source, lang
+"""
+
+
+@query("op8_token_rollup", ROLLUP_SQL)
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    load = changes(docs, "insert", "words-1", word_count(text)).unionByName(
+        changes(docs, "insert", "pieces-1", byte_estimate(text)))
+    recount = changes(docs.where(~F.col("lang").eqNullSafe("en")), "revise", "pieces-1", piece_count(text))
+    short = docs.where(word_count(text) < 20)
+    none = F.lit(None).cast("long")
+    clean = changes(short, "delete", "words-1", none).unionByName(changes(short, "delete", "pieces-1", none))
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    for name, batch in (("load", load), ("recount", recount), ("clean", clean), ("recount", recount), ("load", load)):
+        rollup.commit(name, batch)
+    return rollup.totals()
