@@ -14,6 +14,7 @@ from rowmend.llm.rollups import Rollup, byte_estimate, changes, piece_count, wor
 from rowmend.llm.simhash import simhash_groups
 from rowmend.llm.toxicity import fit, scored
 from rowmend.llm.urls import judged_urls, parse_rule
+from rowmend.llm.warc import read_warc, write_warc
 from rowmend.sources.workspace import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +52,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(pages, [parse_rule(r) for r in RULES]).withColumnRenamed("id", "page_id")
 
 
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_embedding_near_dedup")
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.93).withColumnRenamed("id", "vec_id")
