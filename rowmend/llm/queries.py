@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowmend.llm.bpe import ids_digest, round_trip
 from rowmend.llm.embeddings import near_vectors
 from rowmend.llm.lines import drop_boilerplate
+from rowmend.llm.ppm import ppm_scores
 from rowmend.llm.rollups import Rollup, byte_estimate, changes, piece_count, word_count
 from rowmend.llm.simhash import simhash_groups
 from rowmend.llm.toxicity import fit, scored
@@ -52,6 +53,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(pages, [parse_rule(r) for r in RULES]).withColumnRenamed("id", "page_id")
 
 
+@query("op3_ppm_score")
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 @query("op4_warc")
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
