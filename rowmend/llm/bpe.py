@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
 from rowmend.columns import named
-from rowmend.llm.common import slices
+from rowmend.llm.common import appended, slices
 
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -326,25 +326,6 @@ def list_array(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)]), pa.int32()))
 
 
-def appended(df: DataFrame, source_col: str, new: dict[str, T.DataType],
-             work: Callable[[pa.Array], Iterator[tuple[int, list[pa.Array]]]]) -> DataFrame:
-    """Append columns made from one other, some rows at a time; columns of these names are replaced."""
-    source = df.select(*[named(c) for c in df.columns if c not in new and c != "__text"], named(source_col).alias("__source"))
-    kept, schema = source.columns[:-1], source.drop("__source").schema
-    for name, kind in new.items():
-        schema = schema.add(name, kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for rows, columns in work(batch.column(len(kept))):
-                part = batch.slice(at, rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*kept, *new])
-                at += rows
-
-    return source.mapInArrow(run, schema)
-
-
 IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
 
 
