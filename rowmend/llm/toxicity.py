@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowmend.llm.common import ascii_words, held_out_by, pick, slices
+from rowmend.llm.common import appended, ascii_words, held_out_by, pick, slices
 from rowmend.sources.workspace import written
 
 DISCOUNT = 0.75
@@ -244,28 +245,29 @@ def features(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def scored(docs: DataFrame, judge: Judge, folds: int = 5, held_out: int = 0, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row, from its whole text and nothing else.
+def with_scores(df: DataFrame, judge: Judge, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Append the score of every text, from its whole text and nothing else; every row is kept.
 
-    Null and empty texts have no words: their score is the curve's at no difference. Repeated
-    rows are all returned; an empty table gives an empty result. Other columns are not read.
+    Null and empty texts have no words: their score is the curve's at no difference. A column
+    that has the name of the result is replaced; an empty table stays empty.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col)
     model = None if judge.model is None else vars(judge.model)
-    shared = docs.sparkSession.sparkContext.broadcast((model, judge.beta, judge.share))
+    shared = df.sparkSession.sparkContext.broadcast((model, judge.beta, judge.share))
+    memory: dict[bytes, float] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         model, beta, share = shared.value
-        own, memory = Judge(None if model is None else Model(**model), beta, share), {}
-        for batch in batches:
-            at = 0
-            for texts in slices(t.as_py() for t in batch.column(1)):
-                scores = pa.array(own.scores(texts, memory), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), scores], ["doc_id", "score"])
-                at += len(texts)
+        own = Judge(None if model is None else Model(**model), beta, share)
+        for texts in slices(t.as_py() for t in column):
+            yield len(texts), [pa.array(own.scores(texts, memory), pa.float64())]
+
+    return appended(df, text_col, {score_col: T.DoubleType()}, work)
+
 
-    found = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+def scored(docs: DataFrame, judge: Judge, folds: int = 5, held_out: int = 0, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) per row; a null id is not held out. Other columns are not read."""
+    found = with_scores(pick(docs, doc_id=id_col, text=text_col), judge)
     return found.select(
         "doc_id", held_out_by(F.col("doc_id"), folds, held_out).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
