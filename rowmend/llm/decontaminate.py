@@ -31,6 +31,8 @@ from rowmend.sources.workspace import written
 
 TERMS = 1 << 14
 RANK, EXTRA = 256, 10
+# Fitted passages per latent dimension: a space of too few would tell every two of them apart.
+SUPPORT = 50
 # Words of half a passage; passages overlap by one half.
 HALF = 16
 SAMPLE_DOCS = 4000
@@ -134,7 +136,7 @@ def summed_blocks(sample: DataFrame, block, rows: int, columns: int) -> np.ndarr
 
 
 def latent_space(sample: DataFrame, weight: np.ndarray) -> np.ndarray:
-    """Terms x latent dimensions by randomised SVD of the TF-IDF half passages A of a sample.
+    """Terms x at most RANK latent dimensions by randomised SVD of the TF-IDF half passages A of a sample.
 
     One pass sums A'(A G) for a random G, whose orthonormal basis Q spans the leading right
     singular vectors; another sums (A Q)'(A Q), whose eigenvectors turn Q into them.
@@ -156,8 +158,10 @@ def latent_space(sample: DataFrame, weight: np.ndarray) -> np.ndarray:
         _, _, product = products(texts, terms, weight, basis)
         total += product.T @ product
 
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    passages = sample.agg(F.sum(F.ceil(words / HALF))).first()[0] or 0
     values, vectors = np.linalg.eigh(summed_blocks(sample, gram_block, width, width).astype(np.float64))
-    order = np.argsort(-values)[:RANK]
+    order = np.argsort(-values)[:min(RANK, 1 + int(passages) // SUPPORT)]
     kept = order[values[order] > 1e-6 * max(values.max(), 1e-12)]
     singular = np.sqrt(values[kept])
     # Dividing singular values out keeps common terms from drowning telling ones.

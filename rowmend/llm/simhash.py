@@ -80,7 +80,7 @@ def masks(bits: int, most: int) -> list[int]:
 
 def leading_bits(count: int, half: int) -> int:
     """How many leading bits deal out the variants, so that a task has some thousand rows."""
-    bits = half
+    bits = max(1, half)
     while bits < 32 and count * len(masks(bits, half)) > MEAN_ROWS << bits:
         bits += 1
     return bits
