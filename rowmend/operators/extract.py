@@ -242,14 +242,13 @@ def needs_review() -> Column:
     )
 
 
-def extract_fields(df: DataFrame, name: str, text: str, confidence: str,
-                   max_chars: int | None = None) -> DataFrame:
-    """The report, one row per document. Whole texts are read unless `max_chars` is set."""
+def extract_fields(df: DataFrame, name: str, text: str, confidence: str) -> DataFrame:
+    """The report, one row per document. Whole texts are read."""
     body, relevant = clean_text(named(text).cast("string")), F.col("__relevant")
     read = df.select(
         named(name).cast("string").alias("File Name"),
         F.bround(F.coalesce(named(confidence).cast("double"), F.lit(0.0)), 4).alias("OCR Confidence"),
-        (body if max_chars is None else F.left(body, F.lit(max_chars))).alias("__text"),
+        body.alias("__text"),
     ).withColumn("__lower", F.lower("__text")).withColumn("__relevant", is_relevant(F.col("__lower")))
     # Later steps see null arrays, and so do nothing, where the document is not relevant.
     split = computed_once(read, {"__lines": F.when(relevant, clean_lines(F.col("__text")))})

@@ -56,17 +56,41 @@ def decode_payloads(df: DataFrame, path: str = "path", content: str = "content")
     return decoded.select("path", "folder", "ext", "content", failed.alias("error"))
 
 
+ROW = ["__file", "__index"]
+
+
+def unique_names(numbered: DataFrame) -> DataFrame:
+    """Rows with `name`; where folders make the same name, the first path keeps it.
+
+    The others count on past the numbers of their folder until their names are free.
+    """
+    suffix = F.when(F.col("__nth") == 0, F.lit("")).otherwise(
+        F.concat(F.lit("_"), F.col("__nth").cast("string")))
+    while True:
+        named_rows = written(numbered.withColumn("name", F.concat("folder", suffix, "ext")), "names")
+        first = F.min(F.struct("path", *ROW)).alias("first")
+        taken = named_rows.groupBy("name").agg(first, F.count("*").alias("n")).where("n > 1")
+        if taken.isEmpty():
+            return named_rows
+        last = named_rows.groupBy("folder", "ext").agg(F.max("__nth").alias("last"))
+        moved = named_rows.join(taken, "name").where(F.struct("path", *ROW) != F.col("first"))
+        moved = number_rows(moved.select("path", "folder", "ext", *ROW), ["path", *ROW], ["folder", "ext"],
+                            column="__more", start=1)
+        again = moved.join(last, ["folder", "ext"]).withColumn("__nth", F.col("last") + F.col("__more"))
+        numbered = named_rows.drop("name").join(again.select(*ROW), ROW, "left_anti").unionByName(
+            again.select("path", "folder", "ext", *ROW, "__nth"))
+
+
 def name_payloads(decoded: DataFrame) -> DataFrame:
-    """File names for decoded rows: the folder, then `_1`, `_2` ... in path order.
+    """File names for decoded rows: the folder, then `_1`, `_2` ... in path order; no name twice.
 
     Numbers come from the distributed row numbering, so one folder may hold any share of
     the files. Payloads are decoded and written once; only paths are numbered, and the
-    content joins back by path.
+    content joins back by its place in the written table, so a path may repeat.
     """
     good = written(decoded.filter(F.col("error") == ""), "payloads")
-    numbered = number_rows(good.select("path", "folder", "ext"), ["path"], ["folder", "ext"],
+    placed = good.withColumns({ROW[0]: F.col("_metadata.file_path"), ROW[1]: F.col("_metadata.row_index")})
+    numbered = number_rows(placed.select("path", "folder", "ext", *ROW), ["path", *ROW], ["folder", "ext"],
                            column="__nth", start=0)
-    suffix = F.when(F.col("__nth") == 0, F.lit("")).otherwise(
-        F.concat(F.lit("_"), F.col("__nth").cast("string")))
-    names = numbered.select("path", F.concat("folder", suffix, "ext").alias("name"))
-    return good.join(names, "path").select("path", "name", "ext", "content")
+    names = unique_names(numbered).select(*ROW, "name")
+    return placed.join(names, ROW).select("path", "name", "ext", "content")

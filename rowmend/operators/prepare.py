@@ -57,7 +57,7 @@ def stagger_timestamps(df: DataFrame, order_by: Sequence[Column | str], start: d
     """Start time plus one minute per row, in the given order, as `dd-MM-yyyy HH:mm`."""
     numbered = number_rows(df, order_by, column="__minute", start=0)
     first = F.lit(start).cast("timestamp_ntz")
-    moment = F.timestamp_add("MINUTE", F.col("__minute").cast("int"), first)
+    moment = F.timestamp_add("MINUTE", F.col("__minute"), first)
     return numbered.withColumn(column, F.date_format(moment, "dd-MM-yyyy HH:mm")).drop("__minute")
 
 

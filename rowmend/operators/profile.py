@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmend.columns import named
 from rowmend.functions.text import strip
@@ -34,19 +35,25 @@ def value_breakdown(df: DataFrame, column: str) -> DataFrame:
         F.desc("Count"), "Value")
 
 
-def row_fingerprint(columns: list[str]) -> list[Column]:
-    """128 bits over a whole row; nulls count as equal to each other and not to ''."""
-    marked = [x for c in columns
-              for x in (named(c).isNull(), F.coalesce(named(c).cast("string"), F.lit("")))]
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """128 bits over a whole row; nulls count as equal to each other and not to ''.
+
+    Plain values are hashed by type, so both zeros are one value and an instant is itself in
+    any time zone. Nested values are hashed as text, which keeps an empty list and one of a
+    null apart.
+    """
+    nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))}
+    marked = [x for c in df.columns
+              for x in (named(c).isNull(), named(c).cast("string") if c in nested else named(c))]
     return [F.xxhash64(F.lit(salt), *marked) for salt in ("a", "b")]
 
 
-def distinct_rows(columns: list[str], exact: bool = False) -> Column:
+def distinct_rows(df: DataFrame, exact: bool = False) -> Column:
     """Number of distinct rows. The fingerprint keeps the shuffle at 16 bytes per row;
     `exact` compares the rows themselves."""
     if exact:
-        return F.count_distinct(F.struct(*[named(c) for c in columns]))
-    return F.count_distinct(F.struct(*row_fingerprint(columns)))
+        return F.count_distinct(F.struct(*[named(c) for c in df.columns]))
+    return F.count_distinct(F.struct(*row_fingerprint(df)))
 
 
 def profile(df: DataFrame, column: str, dedupe: str = SKIP, exact: bool = False) -> DataFrame:
@@ -64,7 +71,7 @@ def profile(df: DataFrame, column: str, dedupe: str = SKIP, exact: bool = False)
         unique_rows, duplicates = F.lit(0).cast("long"), F.lit(0).cast("long")
     else:
         if dedupe == ENTIRE_ROW:
-            unique_rows = distinct_rows(df.columns, exact)
+            unique_rows = distinct_rows(df, exact)
         elif dedupe in df.columns:
             text = F.coalesce(named(dedupe).cast("string"), F.lit(""))
             unique_rows = F.count_distinct(strip(text))
@@ -83,6 +90,6 @@ def table_summary(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(
         F.count("*").alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
-        (F.count("*") - distinct_rows(df.columns, exact)).alias("duplicate_rows"),
+        (F.count("*") - distinct_rows(df, exact)).alias("duplicate_rows"),
         F.coalesce(F.sum(nulls), F.lit(0)).alias("total_nulls"),
     )

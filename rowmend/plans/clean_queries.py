@@ -5,11 +5,10 @@ from __future__ import annotations
 from rowmend.columns import as_text
 from rowmend.operators.clean import clean, clean_counts, dry_run
 from rowmend.plans.registry import query, table
-from rowmend.sources.files import spread
 from rowmend.specs import CleanSpec
 
-LINES = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-         "l_returnflag", "l_linestatus"]
+LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 TEXT = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in LINES)
 LINES_CTE = f"lines AS (SELECT {TEXT} FROM lineitem)"
 
@@ -103,7 +102,7 @@ WHOLE_JOB_CTE = """
 
 
 def lines(spark, sf_dir):
-    return as_text(spread(table(spark, sf_dir, "lineitem").select(LINES)))
+    return as_text(table(spark, sf_dir, "lineitem").select(LINES))
 
 
 def events(spark, sf_dir):
@@ -111,7 +110,8 @@ def events(spark, sf_dir):
 
 
 @query("clean_rename_replace", f"""WITH {LINES_CTE}
-    SELECT l_orderkey, l_linenumber, l_quantity AS l_discount, l_discount AS l_quantity, l_tax,
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS l_discount, l_discount AS l_quantity,
+           l_tax, l_shipdate,
            CASE WHEN contains(l_extendedprice, '99') THEN 'nines' ELSE l_extendedprice END AS l_extendedprice,
            CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE l_returnflag END AS flag,
            CASE WHEN contains(lower(l_linestatus), 'f') THEN 'Finished' ELSE l_linestatus END AS status

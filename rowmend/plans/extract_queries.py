@@ -20,18 +20,19 @@ PAGES = [
           "'Result: Pass'", "text"),
     _page("'SEAT NO.'", f"'S-' || {ID} || 'x'", "'DISCIPLINE'", "'Civil Engineering.'", "'Centre'",
           "'12 Green Valley School'", "'| State Board of Examinations |'", "'RAVI KUMAR'", "'--- Page 2'",
-          "'established 1956'", "'Year of Passing 2018'", "'needs improvement'"),
+          "'established 1956'", "'Year of Passing 2018'", "'needs improvement'", "text"),
     "text",
     "' ' || chr(10) || chr(9)",
     _page(f"'Registration No. 77/' || {ID} || '-A'", "'Mother name: Eva Paul'", "'Shri / Smt. Peter  Paul'",
           "'Course Name : B.Com.'", "'Trade: none'", "'Polytechnic Campus'",
-          "'has appeared for the exam dated 03-04-1999'", "'Board Council Mysore'", "'Council Board Mysore'"),
+          "'has appeared for the exam dated 03-04-1999'", "'Board Council Mysore'", "'Council Board Mysore'",
+          "text"),
     _page("'Roll'", "'name'", "'roll no'", f"'Z99 ' || {ID}", "'course'", "'xy'", "'Programme'",
           "'Fine Arts'", "'school'", "'no'", "'3 Hill Academy'", "'Student''s Name: 12 Tom'",
-          "'TOM O HARA'", "'he did fail'", "'members of the Board of Studies'"),
+          "'TOM O HARA'", "'he did fail'", "'members of the Board of Studies'", "text"),
     _page("'University examination result'", "text"),
     _page("'promoted to semester 4, grade B'", f"'enrollment no: ' || {ID}", "text"),
-    _page("'student course completed ' || CAST(1990 + doc_id % 40 AS STRING)", "'Name: Eva  Maria'"),
+    _page("'student course completed ' || CAST(1990 + doc_id % 40 AS STRING)", "'Name: Eva  Maria'", "text"),
 ]
 CASES = " ".join(f"WHEN {i} THEN {page}" for i, page in enumerate(PAGES))
 DOCS = {

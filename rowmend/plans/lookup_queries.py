@@ -29,9 +29,7 @@ MAIN = {
     "ref": "'Cust-' || CAST(c_custkey AS STRING)", "c_name": "c_name", "c_mktsegment": "c_mktsegment",
     "nation": "CAST(c_nationkey AS STRING)",
 }
-MAIN_WHERE = "c_custkey % 5 <> 0"
 SECOND = {**MAIN, "c_name": "upper(c_name)"}
-SECOND_WHERE = "c_custkey % 2 = 0"
 SPECIAL = {
     "code": "'CUST-' || CAST(c_custkey AS STRING)",
     "override": "CASE WHEN c_custkey % 14 = 0 THEN ' ' ELSE lower(c_mktsegment) END",
@@ -82,19 +80,19 @@ def orders(spark, sf_dir):
 def sources(spark, sf_dir):
     return [
         special_source(derived(spark, sf_dir, "customer", SPECIAL, SPECIAL_WHERE)),
-        main_source(derived(spark, sf_dir, "customer", MAIN, MAIN_WHERE)),
-        main_source(derived(spark, sf_dir, "customer", SECOND, SECOND_WHERE)),
+        main_source(derived(spark, sf_dir, "customer", MAIN)),
+        main_source(derived(spark, sf_dir, "customer", SECOND)),
     ]
 
 
 def first_main(spark, sf_dir):
-    return [main_source(derived(spark, sf_dir, "customer", MAIN, MAIN_WHERE))]
+    return [main_source(derived(spark, sf_dir, "customer", MAIN))]
 
 
 INDEX_CTE = f"""
     special AS ({derived_sql('customer', SPECIAL, SPECIAL_WHERE)}),
-    main AS ({derived_sql('customer', MAIN, MAIN_WHERE)}),
-    second AS ({derived_sql('customer', SECOND, SECOND_WHERE)}),
+    main AS ({derived_sql('customer', MAIN)}),
+    second AS ({derived_sql('customer', SECOND)}),
     staged AS (
         SELECT lower(trim(code)) AS norm_key, '' AS customer_name, override AS segment,
                'special_lookup' AS source_type, 1 AS priority, 0 AS ordinal
@@ -175,7 +173,7 @@ def lookup_without_partner(spark, sf_dir):
 
 
 @query("lookup_write_modes", f"""WITH
-    main AS ({derived_sql('customer', MAIN, MAIN_WHERE)}),
+    main AS ({derived_sql('customer', MAIN)}),
     keyed AS (SELECT *, lower(trim(customer_ref)) AS norm_key FROM ({derived_sql('orders', ORDERS)}))
     SELECT k.o_orderkey,
            CASE WHEN trim(k.note) = '' THEN coalesce(m.c_mktsegment, '') ELSE k.note END AS note,

@@ -162,7 +162,7 @@ def _sql_soundex(word: str) -> str:
 
 PAIRS_CTE = f"""
     pairs AS (SELECT l.id, l.left_name, r.right_name
-              FROM ({derived_sql('part', LEFT_PART)}) l JOIN ({derived_sql('part', RIGHT_PART)}) r ON l.id = r.id),
+              FROM ({derived_sql('part', LEFT_PART)}) l LEFT JOIN ({derived_sql('part', RIGHT_PART)}) r ON l.id = r.id),
     scrubbed AS (SELECT *, {_scrub('left_name')} AS a, {_scrub('right_name')} AS b FROM pairs),
     scored AS (
         SELECT *, CASE WHEN a <> '' AND b <> '' THEN round_even(jaro_winkler_similarity(a, b) * 100, 1) END AS s,
@@ -187,7 +187,7 @@ NOTE = f"""
 
 
 def pairs(spark, sf_dir):
-    return derived(spark, sf_dir, "part", LEFT_PART).join(derived(spark, sf_dir, "part", RIGHT_PART), "id")
+    return derived(spark, sf_dir, "part", LEFT_PART).join(derived(spark, sf_dir, "part", RIGHT_PART), "id", "left")
 
 
 @query("name_pairs_scored", f"""WITH {PAIRS_CTE}

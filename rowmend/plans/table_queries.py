@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowmend.columns import as_text
 from rowmend.operators.numbering import number_file_rows
 from rowmend.operators.profile import ENTIRE_ROW, SKIP, profile, table_summary, value_breakdown
 from rowmend.operators.search import search
@@ -31,24 +30,27 @@ def search_sql(terms: list[str], source: str, cells: list[str], row_number: str,
         FROM {source}, (VALUES {listed}) t(term, digits) WHERE {tests}"""
 
 
-CUSTOMER_CELLS = ["CAST(c_custkey AS VARCHAR)", "c_name", "c_mktsegment", "CAST(c_acctbal AS VARCHAR)"]
+CUSTOMER_CELLS = ["CAST(c_custkey AS VARCHAR)", "c_name", "CAST(c_nationkey AS VARCHAR)", "CAST(c_acctbal AS VARCHAR)",
+                  "c_mktsegment"]
 
 
 @query("search_customers", search_sql(TERMS, "customer", CUSTOMER_CELLS, "c_custkey + 2", "customer.parquet"))
 def search_customers(spark, sf_dir):
     rows = number_file_rows(spark, f"{sf_dir}/customer.parquet", "__row", start=2)
     return search(rows, TERMS, F.col("__row"), "customer.parquet",
-                  columns=["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
+                  columns=["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
 
 
 TEXT_TERMS = ["data", "2019", "the", "9-9-9", "information", "zzzz", "@"]
 
 
 @query("search_documents", search_sql(
-    TEXT_TERMS, "documents", ["CAST(doc_id AS VARCHAR)", "text", "source"], "doc_id + 2", "documents"))
+    TEXT_TERMS, "documents", ["CAST(doc_id AS VARCHAR)", "text", "lang", "source", "CAST(n_chars AS VARCHAR)"],
+    "doc_id + 2", "documents"))
 def search_documents(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return search(docs, TEXT_TERMS, F.col("doc_id") + 2, "documents", columns=["doc_id", "text", "source"])
+    docs = spread(table(spark, sf_dir, "documents"))
+    return search(docs, TEXT_TERMS, F.col("doc_id") + 2, "documents",
+                  columns=["doc_id", "text", "lang", "source", "n_chars"])
 
 
 def breakdown_sql(value: str, source: str) -> str:
@@ -111,22 +113,35 @@ def profile_unknown_column(spark, sf_dir):
     return profile(table(spark, sf_dir, "documents"), "absent", "absent")
 
 
-ROWS = ["l_quantity", "l_discount", "l_returnflag"]
-DISTINCT_ROWS = "(SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_returnflag FROM lineitem))"
+DISTINCT_ROWS = "(SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem))"
 
 
 @query("profile_duplicate_rows", profile_sql("lineitem", "l_returnflag", DISTINCT_ROWS))
 def profile_duplicate_rows(spark, sf_dir):
-    return profile(as_text(table(spark, sf_dir, "lineitem").select(ROWS)), "l_returnflag", ENTIRE_ROW)
+    return profile(table(spark, sf_dir, "lineitem"), "l_returnflag", ENTIRE_ROW)
 
 
 @query("profile_duplicate_rows_exact", profile_sql("lineitem", "l_returnflag", DISTINCT_ROWS))
 def profile_duplicate_rows_exact(spark, sf_dir):
-    lines = as_text(table(spark, sf_dir, "lineitem").select(ROWS))
-    return profile(lines, "l_returnflag", ENTIRE_ROW, exact=True)
+    return profile(table(spark, sf_dir, "lineitem"), "l_returnflag", ENTIRE_ROW, exact=True)
+
+
+# Every order twice, once with another sign of zero.
+SIGNED = {
+    "order_key": "o_orderkey - o_orderkey % 2",
+    "zero": "CASE WHEN o_orderkey % 2 = 0 THEN CAST('0' AS DOUBLE) ELSE CAST('-0' AS DOUBLE) END",
+    "status": "NULLIF(o_orderstatus, 'P')",
+}
+DISTINCT_SIGNED = f"(SELECT count(*) FROM (SELECT DISTINCT * FROM ({derived_sql('orders', SIGNED)})))"
+
+
+@query("profile_duplicate_typed", profile_sql(f"({derived_sql('orders', SIGNED)})", "status", DISTINCT_SIGNED))
+def profile_duplicate_typed(spark, sf_dir):
+    return profile(derived(spark, sf_dir, "orders", SIGNED), "status", ENTIRE_ROW)
 
 
 GAPPED = {
+    "key": "o_orderkey", "customer": "o_custkey", "price": "o_totalprice", "day": "o_orderdate",
     "status": "NULLIF(o_orderstatus, 'P')",
     "priority": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE NULLIF(o_orderpriority, '5-LOW') END",
 }
@@ -134,9 +149,10 @@ GAPPED = {
 
 @query("table_summary", f"""
     WITH gapped AS ({derived_sql('orders', GAPPED)})
-    SELECT count(*) AS row_count, 2 AS column_count,
-           count(*) - (SELECT count(*) FROM (SELECT DISTINCT status, priority FROM gapped)) AS duplicate_rows,
-           count(*) FILTER (status IS NULL) + count(*) FILTER (priority IS NULL) AS total_nulls
+    SELECT count(*) AS row_count, 6 AS column_count,
+           count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM gapped)) AS duplicate_rows,
+           6 * count(*) - count(key) - count(customer) - count(price) - count(day) - count(status) - count(priority)
+               AS total_nulls
     FROM gapped""")
 def summary_of_table(spark, sf_dir):
     return table_summary(derived(spark, sf_dir, "orders", GAPPED))

@@ -200,3 +200,34 @@ def test_union_folder(spark, tmp_path):
         ("1", "2", "a.csv", None), ("5", None, "d.csv", None), (None, "3", "b.csv", "4")]
     with pytest.raises(ValueError):
         union_folder(spark, str(tmp_path / "none"))
+
+
+def test_typed_rows_count_alike_by_fingerprint(spark):
+    from datetime import datetime, timezone
+
+    from rowmend.operators.profile import ENTIRE_ROW, profile, table_summary
+    data = [(0.0, 1, "a"), (-0.0, 1, "a"), (float("nan"), 2, ""), (float("nan"), 2, ""), (None, 3, None), (None, 3, ""),
+            (1.0, None, None), (1.0, None, None)]
+    table = spark.createDataFrame(data, "x double, n int, s string")
+    # The hour that repeats in New York at the end of summer time.
+    hours = [(datetime(2023, 11, 5, h, 30, tzinfo=timezone.utc),) for h in (5, 6, 6)]
+    times = spark.createDataFrame(hours, "t timestamp")
+    nested = spark.createDataFrame([([],), ([None],), ([1],), ([1],)], "a array<int>")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for df, unique in ((table, 5), (times, 2), (nested, 3)):
+            for exact in (False, True):
+                assert profile(df, "absent", ENTIRE_ROW, exact).first()["unique_count"] == unique
+                assert table_summary(df, exact).first()["duplicate_rows"] == df.count() - unique
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_minutes_go_beyond_an_integer(spark, monkeypatch):
+    from datetime import datetime
+
+    from rowmend.operators import prepare
+    row = spark.sql("SELECT 3000000000L AS __minute, 'x' AS k")
+    monkeypatch.setattr(prepare, "number_rows", lambda df, order, column, start: row)
+    done = prepare.stagger_timestamps(row, ["k"], datetime(2024, 1, 1)).first()
+    assert done["Initiation Date"] == "22-12-7727 08:00"
