@@ -7,12 +7,12 @@ How it holds up at size
 * Sources are cut to key and mapped columns and filtered before the only shuffle on that
   side. The pick is a `min` over a struct, so each map task sends one row per key however
   often a key repeats.
-* Input rows with a blank key and rows of very frequent keys never enter the join
-  shuffle: blank keys match nothing, and the few index rows of frequent keys are
-  broadcast. A key is frequent above 1/MAX_HOT_KEYS of all rows, so there can be no more
-  than MAX_HOT_KEYS of them and the broadcast is bounded whatever the data.
-* A written index has a measured size; below a limit it is broadcast and nothing of the
-  input is shuffled.
+* The index is written once and its size measured; below a limit it is broadcast and
+  nothing of the input is shuffled.
+* Beyond it, rows with a blank key and rows of very frequent keys are dealt over several
+  tasks by a salt from their content, and the index rows of frequent keys repeated for each
+  salt, in one join that reads input and index once. A key is frequent above 1/MAX_HOT_KEYS
+  of all rows, so no more than MAX_HOT_KEYS index rows are repeated.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from rowmend.sources.files import (
 from rowmend.sources.workspace import written
 from rowmend.specs import LookupSource, LookupSpec, Mapping
 
-KEY = "norm_key"
+KEY, SALT = "norm_key", "__salt"
+SALTS = 64
 PREFIX = "__lookup_"
 INVALID, NO_MATCH = "INVALID_OR_BLANK_KEY", "NO_MATCH_FOUND"
 PRIORITY = {"special_lookup": 1, "main_lookup": 2}
@@ -149,23 +150,23 @@ def _pick(spec: LookupSpec, column: str, columns: set[str]) -> Column:
 
 
 def join_keys(rows: DataFrame, side: DataFrame, how: str, hot_keys: Sequence[str]) -> DataFrame:
-    """Join in two parts: blank and hot keys by broadcast, all others by whatever suits.
+    """One join on key and salt; `side` has one row per key and no blank one.
 
-    `side` has one row per key and no blank one, so its hot part has at most as many rows
-    as there are hot keys, and the part that may be shuffled has no hot key on either side.
+    Rows of blank and hot keys get one of SALTS salts, which only hot rows of `side` are
+    repeated for, so neither meets in one task. All others have salt 0.
     """
     hot = F.col(KEY).isin(list(hot_keys)) if hot_keys else F.lit(False)
-    apart = (F.col(KEY) == "") | hot
-    rest = rows.filter(~apart).join(side, KEY, how)
-    return rest.unionByName(rows.filter(apart).join(F.broadcast(side.filter(hot)), KEY, how))
+    spread = F.pmod(F.xxhash64(*[named(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
+    salted = rows.withColumn(SALT, F.when((F.col(KEY) == "") | hot, spread).otherwise(0))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(side.withColumn(SALT, F.explode(salts)), [KEY, SALT], how).drop(SALT)
 
 
 def match(df: DataFrame, index: DataFrame, spec: LookupSpec, hot_keys: Sequence[str] = (),
           small_index: bool = False) -> DataFrame:
     """Left join on the normalised key; the consolidated output with status and reason.
 
-    `small_index` is for an index of measured size. Otherwise blank and hot keys are kept
-    out of the shuffle in a branch of their own.
+    `small_index` is for an index of measured size. Otherwise blank and hot keys are spread.
     """
     spec.validate(df.columns)
     columns = set(df.columns)
@@ -174,8 +175,6 @@ def match(df: DataFrame, index: DataFrame, spec: LookupSpec, hot_keys: Sequence[
     side = index.select(KEY, *fetched, F.lit(True).alias(PREFIX + "found"))
     if small_index:
         joined = rows.join(F.broadcast(side), KEY, "left")
-    elif df.isStreaming:
-        joined = rows.join(side, KEY, "left")
     else:
         joined = join_keys(rows, side, "left", hot_keys)
     reason = (
@@ -193,10 +192,17 @@ def match(df: DataFrame, index: DataFrame, spec: LookupSpec, hot_keys: Sequence[
 
 
 def enrich(df: DataFrame, sources: Sequence[LookupSource], spec: LookupSpec) -> DataFrame:
-    """Consolidated output straight from the sources, without writing the index."""
+    """Consolidated output from the sources, whose index is written once and measured."""
     spec.validate(df.columns)
+    return matched(df, written(build_index(sources, spec), "index"), spec)
+
+
+def matched(df: DataFrame, index: DataFrame, spec: LookupSpec, size: IndexSize | None = None) -> DataFrame:
+    """Match against a written index, by broadcast where its measured size allows."""
+    small = (size or measure_index(index)).text_bytes <= BROADCAST_BYTES
     keys = df.select(normal_key(named(spec.input_key), spec.key_type).alias(KEY))
-    return match(df, build_index(sources, spec), spec, frequent_keys(keys))
+    hot = [] if small or df.isStreaming else frequent_keys(keys)
+    return match(df, index, spec, hot, small_index=small)
 
 
 def route(consolidated: DataFrame, spec: LookupSpec) -> dict[str, DataFrame]:
@@ -255,11 +261,7 @@ def run_lookup(df: DataFrame, sources: Sequence[LookupSource], spec: LookupSpec,
     """
     index = written(build_index(sources, spec), "index", f"{output}/index")
     size = measure_index(index)
-    small = size.text_bytes <= BROADCAST_BYTES
-    keys = df.select(normal_key(named(spec.input_key), spec.key_type).alias(KEY))
-    hot = [] if small else frequent_keys(keys)
-    joined = match(df, index, spec, hot, small_index=small)
-    done = written(joined, "consolidated", f"{output}/consolidated")
+    done = written(matched(df, index, spec, size), "consolidated", f"{output}/consolidated")
     for name, part in route(done, spec).items():
         write_csv(part, f"{output}/{name}_output", spec.headers[name])
     summary = run_statistics(done).withColumn("unique_lookup_keys_indexed", F.lit(size.keys))

@@ -61,7 +61,7 @@ def halve_repeat(words: Column) -> Column:
 
 def drop_leading_generic(words: Column) -> Column:
     lead = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
-    return F.when(lead.isin(GENERIC_WORDS), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    return F.when(lead.isin(*GENERIC_WORDS), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
 
 
 def business_or_address(original: Column, token_count: Column, address: Column, business: Column,
@@ -109,7 +109,7 @@ def clean_names(df: DataFrame, column: str, cleaned: str = "cleaned_name",
         .when(F.size(F.col("__named")) == 0, F.lit("generic_non_name"))
         .when(digits >= 6, F.lit("contains_many_digits"))
         .when(F.length(name) <= 1, F.lit("too_short"))
-        .when((size == 1) & F.lower(name).isin(GENERIC_WORDS), F.lit("generic_non_name"))
+        .when((size == 1) & F.lower(name).isin(*GENERIC_WORDS), F.lit("generic_non_name"))
         # n one-letter words joined by blanks are exactly 2n - 1 characters long
         .when(F.length(name) == 2 * size - 1, F.lit("initials_only"))
         .when(size > MAX_TOKENS, F.lit("too_long"))
@@ -125,7 +125,7 @@ def clean_names(df: DataFrame, column: str, cleaned: str = "cleaned_name",
 
 def untitled(letters: Column) -> Column:
     """Words of the text without honorifics."""
-    return F.filter(F.split(letters, " "), lambda w: (w != "") & ~w.isin(HONORIFICS))
+    return F.filter(F.split(letters, " "), lambda w: (w != "") & ~w.isin(*HONORIFICS))
 
 
 def categorise(df: DataFrame, mobile: str, name: str, status: str,

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from rowmend.functions.text import normal_key
 from rowmend.operators.lookup import (
-    build_index, enrich, main_source, match, route, run_statistics, special_source, with_partner,
-    without_partner,
+    build_index, enrich, main_source, match, matched, measure_index, route, run_statistics, special_source,
+    with_partner, without_partner,
 )
 from rowmend.plans.registry import derived, derived_sql, query
+from rowmend.sources.workspace import written
 from rowmend.specs import LookupSpec, Mapping
 
 # A third of all orders share one customer reference; others are blank or unknown.
@@ -152,10 +153,10 @@ def lookup_unmatched(spark, sf_dir):
            (SELECT count(*) FROM idx) AS unique_lookup_keys_indexed
     FROM consolidated""")
 def lookup_statistics(spark, sf_dir):
-    staged = sources(spark, sf_dir)
-    keys = build_index(staged, SPEC).agg(F.count("*")).scalar()
-    counted = run_statistics(enrich(orders(spark, sf_dir), staged, SPEC))
-    return counted.withColumn("unique_lookup_keys_indexed", keys)
+    index = written(build_index(sources(spark, sf_dir), SPEC), "index")
+    size = measure_index(index)
+    counted = run_statistics(matched(orders(spark, sf_dir), index, SPEC, size))
+    return counted.withColumn("unique_lookup_keys_indexed", F.lit(size.keys).cast("long"))
 
 
 @query("lookup_with_partner", f"""WITH {CONSOLIDATED_CTE}

@@ -25,21 +25,25 @@ HEADER_READERS = 16
 
 def list_files(spark: SparkSession, folder: str, endings: Iterable[str] = TABLE_ENDINGS,
                recursive: bool = False) -> list[str]:
-    """Paths in a folder by ending, sorted by name. Only the listing is read, no content.
+    """Paths in a folder by ending in either case, sorted by name. Only names are read.
 
-    A folder that does not exist yields nothing.
+    A folder that does not exist yields nothing. Spark's file sources pass over names that
+    begin with `_` or `.`; such a table is named in an error, not left out in silence.
     """
-    pattern = "*.{" + ",".join(endings) + "}"
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    if recursive:
-        listing = listing.option("recursiveFileLookup", "true")
-    try:
-        found = listing.load(folder)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return []
-        raise
-    return [row.path for row in found.select("path").orderBy("path").toLocalIterator()]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    wanted = tuple("." + e.lower() for e in endings)
+    found, listing = [], files.listFiles(path, recursive)
+    while listing.hasNext():
+        name = listing.next().getPath()
+        if name.getName().lower().endswith(wanted):
+            found.append((name.toString(), name.getName()))
+    hidden = sorted(n for _, n in found if n.startswith(("_", ".")))
+    if hidden:
+        raise ValueError(f"Spark cannot scan files whose names begin with '_' or '.': {hidden[:5]}")
+    return sorted(p for p, _ in found)
 
 
 def list_lookup_files(spark: SparkSession, folders: Iterable[str]) -> list[str]:
@@ -48,11 +52,20 @@ def list_lookup_files(spark: SparkSession, folders: Iterable[str]) -> list[str]:
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file. Blank names are numbered, repeats get a suffix."""
-    first = spark.read.text(path, lineSep="\n").first()
-    if first is None:
+    """Column names of a CSV file. Blank names are numbered, repeats get a suffix.
+
+    The header is the first record, which may hold quoted line breaks.
+    """
+    lines, wanted = spark.read.text(path, lineSep="\n"), 1
+    while True:
+        head = [row.value for row in lines.take(wanted)]
+        text = "\n".join(head)
+        if text.count('"') % 2 == 0 or len(head) < wanted:
+            break
+        wanted *= 8
+    if not head:
         raise ValueError(f"no header in {path}")
-    cells = next(csv.reader(io.StringIO(first.value.lstrip("\ufeff").rstrip("\r"))))
+    cells = next(csv.reader(io.StringIO(text.lstrip("\ufeff").rstrip("\r"), newline="")))
     names, seen = [], {}
     for i, cell in enumerate(cells):
         name = cell if cell else f"Unnamed: {i}"

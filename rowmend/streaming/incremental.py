@@ -13,10 +13,9 @@ from pyspark.sql.types import StructType
 
 from rowmend.columns import named
 from rowmend.operators.clean import clean
-from rowmend.operators.lookup import match
+from rowmend.operators.lookup import match, matched
 from rowmend.operators.name_clean import categorise
 from rowmend.operators.profile import profiled, value_counts
-from rowmend.sources.workspace import new_path
 from rowmend.specs import CleanSpec, LookupSpec
 
 
@@ -31,8 +30,12 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
 
 def lookup_stream(stream: DataFrame, index: DataFrame, spec: LookupSpec,
                   small_index: bool = False) -> DataFrame:
-    """Stream-static left join; pass a written index so it is not rebuilt for every batch."""
-    return match(stream, index, spec, small_index=small_index)
+    """Stream-static left join; pass a written index so it is not rebuilt for every batch.
+
+    The index is broadcast if the caller or its measured size says it is small. Otherwise
+    blank keys, which match nothing, are spread over the tasks.
+    """
+    return match(stream, index, spec, small_index=True) if small_index else matched(stream, index, spec)
 
 
 def clean_stream(stream: DataFrame, spec: CleanSpec) -> DataFrame:
@@ -57,9 +60,15 @@ def status_stream(stream: DataFrame, column: str) -> DataFrame:
     )
 
 
+def progress_folder(output: str) -> str:
+    """Where a run keeps its progress unless told otherwise: hidden beside its output, so that
+    a second run goes on instead of starting over."""
+    return f"{output.rstrip('/')}/_progress"
+
+
 def append_to(rows: DataFrame, output: str, checkpoint: str | None = None) -> StreamingQuery:
     """Append all available input to a Parquet folder."""
-    checkpoint = checkpoint or new_path(rows.sparkSession, "progress")
+    checkpoint = checkpoint or progress_folder(output)
     return (
         rows.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(output)
@@ -68,7 +77,7 @@ def append_to(rows: DataFrame, output: str, checkpoint: str | None = None) -> St
 
 def keep_counts(counts: DataFrame, output: str, checkpoint: str | None = None) -> StreamingQuery:
     """Write the latest counts after each batch to `output/batch=<n>`."""
-    checkpoint = checkpoint or new_path(counts.sparkSession, "progress")
+    checkpoint = checkpoint or progress_folder(output)
 
     def store(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{output}/batch={batch}")

@@ -125,14 +125,30 @@ def test_frequent_keys_are_found_and_bounded(spark):
     assert L.frequent_keys(keys.limit(0)) == []
 
 
-def test_hot_key_never_enters_the_shuffle(spark, frame):
+def test_input_and_sources_are_read_once(spark, monkeypatch):
+    from rowmend.plans import lookup_queries as Q
+    small = "/root/testdata/sf0.001"
+    reads = []
+    monkeypatch.setattr(Q, "derived", lambda s, d, name, *a: reads.append(name) or derived(s, d, name, *a))
+    derived = __import__("rowmend.plans.registry", fromlist=["derived"]).derived
+    plan = Q.lookup_consolidated(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert reads.count("orders") == 1 and plan.count("FileScan") == 2 and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    plan = Q.lookup_consolidated(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    assert sorted(map(str, Q.lookup_consolidated(spark, small).collect()))
+
+
+def test_hot_and_blank_keys_are_spread(spark, frame):
     rows = spark.range(3000).select(
         F.col("id").cast("string").alias("id"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"))
     spec = LookupSpec("k", ("id", "k"), "k", (Mapping("v", new_column_name="v"),))
     index = L.build_index([L.main_source(frame([("hot", "h"), ("k1", "one")], "k v"))], spec)
-    plan = L.match(rows, index, spec, ["hot"])._jdf.queryExecution().executedPlan().toString()
-    assert "Union" in plan and "BroadcastHashJoin" in plan
+    assert L.match(rows, index, spec, ["hot"]).columns == spec.headers["consolidated"]
+    keyed = rows.withColumn(L.KEY, F.col("k"))
+    spread = L.join_keys(keyed, index.select(L.KEY, F.lit(1).alias("hit")), "left", ["hot"])
+    assert spread.count() == 3000 and spread.where("hit = 1").count() == 1001
     got = L.run_statistics(L.match(rows, index, spec, ["hot"])).first()
     assert (got.processed_rows, got.matched_rows, got.unmatched_rows) == (3000, 1001, 1999)
 

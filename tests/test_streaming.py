@@ -50,3 +50,10 @@ def test_running_counts_equal_batch(spark, folder, tmp_path):
     assert sorted(I.latest_counts(spark, f"{tmp_path}/counts").collect()) == sorted(batch.collect())
     I.keep_counts(I.status_stream(stream(spark, folder), "state"), f"{tmp_path}/state").awaitTermination()
     assert tuple(I.latest_counts(spark, f"{tmp_path}/state").first()) == (500, 167, 333)
+
+
+def test_a_second_run_without_new_input_adds_nothing(spark, folder, tmp_path):
+    out = str(tmp_path / "again")
+    for _ in range(2):
+        I.append_to(stream(spark, folder), out).awaitTermination()
+    assert spark.read.parquet(out).count() == spark.read.parquet(folder).count()

@@ -42,6 +42,9 @@ def test_headers(spark, tmp_path):
     path = save(tmp_path, "a.csv", "﻿a,b,a,,a.b\r\n1,2,3,4,5\r\n")
     assert files.header_of(spark, path) == ["a", "b", "a.1", "Unnamed: 3", "a.b"]
     assert cells(files.csv_scan(spark, path)) == [("1", "2", "3", "4", "5")]
+    broken = save(tmp_path, "d.csv", '"k\nx",v,"a ""q"" b"\n1,2,3\n')
+    assert files.header_of(spark, broken) == ["k\nx", "v", 'a "q" b']
+    assert cells(files.csv_scan(spark, broken)) == [("1", "2", "3")]
     assert cells(files.smart_read(spark, save(tmp_path, "b.txt", "x,y\n1,\n"))) == [("1", None)]
     with pytest.raises(ValueError):
         files.smart_read(spark, save(tmp_path, "c.csv", ""))
@@ -54,8 +57,13 @@ def test_file_listing(spark, tmp_path):
     save(tmp_path / "one" / "deep", "z.csv", "k\n1\n")
     listed = files.list_lookup_files(spark, [str(tmp_path / d) for d in ("two", "missing", "one")])
     assert [p.rsplit("/", 2)[1:] for p in listed] == [["two", "0.csv"], ["one", "a.csv"], ["one", "b.csv"]]
+    save(tmp_path / "one", "B.CSV", "k\n1\n")
     deep = files.list_files(spark, str(tmp_path / "one"), recursive=True)
-    assert [p.rsplit("/", 1)[1] for p in deep] == ["a.csv", "b.csv", "z.csv"]
+    assert [p.rsplit("/", 1)[1] for p in deep] == ["B.CSV", "a.csv", "b.csv", "z.csv"]
+    for name in ("_c.csv", ".d.csv"):
+        save(tmp_path / name, name, "k\n1\n")
+        with pytest.raises(ValueError, match=name):
+            files.list_files(spark, str(tmp_path / name))
 
 
 def test_conforming_writer(spark, frame, tmp_path):
