@@ -128,6 +128,14 @@ def lookup_index(spark, sf_dir):
     return build_index(sources(spark, sf_dir), SPEC)
 
 
+@query("lookup_keyless_source", f"WITH {INDEX_CTE} SELECT * FROM idx")
+def lookup_keyless_source(spark, sf_dir):
+    """A source without the key column is passed over."""
+    keyless = main_source(derived(spark, sf_dir, "customer", {"name": "c_name", "c_mktsegment": "c_mktsegment"}))
+    special, *others = sources(spark, sf_dir)
+    return build_index([special, *others, keyless], SPEC)
+
+
 @query("lookup_consolidated", f"WITH {CONSOLIDATED_CTE} SELECT * FROM consolidated")
 def lookup_consolidated(spark, sf_dir):
     return enrich(orders(spark, sf_dir), sources(spark, sf_dir), SPEC)

@@ -9,7 +9,9 @@ from rowmend.operators.profile import ENTIRE_ROW, SKIP, profile, table_summary,
 from rowmend.operators.search import search
 from rowmend.operators.union import union_folder, union_tables
 from rowmend.plans.registry import derived, derived_sql, query, table
-from rowmend.sources.files import csv_scan, list_files, spread, write_csv
+from rowmend.sources.files import (
+    csv_scan, list_files, list_lookup_files, preview, smart_read, spread, whole_texts, write_csv, write_report,
+)
 from rowmend.sources.workspace import new_path
 
 TERMS = [" BUILDING ", "Customer#00000012", "40-21", "4021", "tool", "", "HOUSEHOLD", "77", "MACHINERY "]
@@ -201,4 +203,50 @@ def csv_round_trip(spark, sf_dir):
     """Whole texts with quotes and line breaks written as CSV and scanned back."""
     folder = new_path(spark, "csv")
     write_csv(derived(spark, sf_dir, "documents", AWKWARD), folder)
-    return csv_scan(spark, list_files(spark, folder), list(AWKWARD))
+    return csv_scan(spark, folder, list(AWKWARD))
+
+
+@query("csv_smart_read", """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer""")
+def csv_smart_read(spark, sf_dir):
+    folder = new_path(spark, "smart")
+    write_csv(table(spark, sf_dir, "customer"), folder, ["c_custkey", "c_name", "c_mktsegment"])
+    return smart_read(spark, folder, multi_line=False)
+
+
+@query("table_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")
+def table_preview(spark, sf_dir):
+    return preview(table(spark, sf_dir, "orders"), 1000, ["o_orderkey"])
+
+
+@query("lookup_files_listed", """
+    SELECT place, 'c_mktsegment=' || c_mktsegment AS folder
+    FROM (SELECT DISTINCT c_mktsegment,
+                 dense_rank() OVER (ORDER BY c_mktsegment DESC) AS place FROM customer)""")
+def lookup_files_listed(spark, sf_dir):
+    """One file for every segment, listed by folders in falling order."""
+    folder = new_path(spark, "segments")
+    customers = table(spark, sf_dir, "customer")
+    customers.repartition("c_mktsegment").write.partitionBy("c_mktsegment").csv(folder)
+    folders = sorted({p.rsplit("/", 1)[0] for p in list_files(spark, folder, recursive=True)}, reverse=True)
+    listed = [(n, p.split("/")[-2]) for n, p in enumerate(list_lookup_files(spark, folders), 1)]
+    return spark.createDataFrame(listed, "place long, folder string")
+
+
+@query("texts_of_files", "SELECT CAST(item_id AS VARCHAR) AS item, text || chr(10) AS content FROM benchmark")
+def texts_of_files(spark, sf_dir):
+    """Every item written as a file of its own, and read back whole."""
+    folder = new_path(spark, "texts")
+    table(spark, sf_dir, "benchmark").write.partitionBy("item_id").text(folder)
+    texts = whole_texts(spark, folder)
+    return texts.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).alias("item"), "content")
+
+
+@query("run_report", """
+    SELECT count(*) AS total_rows, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders""")
+def run_report(spark, sf_dir):
+    """Counters written as a JSON report and read back."""
+    folder = new_path(spark, "report")
+    orders = table(spark, sf_dir, "orders")
+    write_report(orders.agg(F.count("*").alias("total_rows"), F.count_if(F.col("o_orderstatus") == "F").alias("finished")), folder)
+    return spark.read.schema("total_rows long, finished long").json(folder)

@@ -154,8 +154,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def preview(df: DataFrame, rows: int = 1000) -> DataFrame:
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int = 1000, order_by: Iterable[str] = ()) -> DataFrame:
+    """The first rows, in the given order or else any."""
+    order = [named(c) for c in order_by]
+    return (df.orderBy(order) if order else df).limit(rows)
 
 
 def whole_texts(spark: SparkSession, folder: str, ending: str = "txt") -> DataFrame:

@@ -47,7 +47,8 @@ def differences(got: DataFrame, db, sql: str) -> list[str]:
     problems = []
     if sorted(columns) != sorted(got.columns):
         return [f"columns {sorted(got.columns)} instead of {sorted(columns)}"]
-    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
+    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER",
+             "timestamp_ntz": "TIMESTAMP"}
     have_types = {c: kinds.get(t, t) for c, t in got.dtypes}
     for c, t in zip(columns, types):
         if have_types[c] != t:
