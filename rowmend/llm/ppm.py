@@ -35,7 +35,8 @@ LEVEL_BITS = 48
 BLOCK_BYTES = 32 << 20
 # Word keys are negative; expressions are not.
 END_WORD = -1
-HELD = 4_000_000
+# Keys and texts held at once beside the part of a trie.
+HELD, SLICE = 2_500_000, 1 << 20
 
 
 def symbol_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +124,7 @@ def met_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield from out(current, met)
                 met = Met()
             current = int(blocks[start])
-            for texts in slices((t.as_py() for t in batch.column(2).slice(start, end - start))):
+            for texts in slices((t.as_py() for t in batch.column(2).slice(start, end - start)), SLICE):
                 met.add(texts, bool(held[start]))
     if current is not None:
         yield from out(current, met)
@@ -264,10 +265,12 @@ def ppm_scores(df: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "
     rows = pick(df, doc_id=id_col, text=text_col)
     size = rows.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
+    # More tasks than blocks, so that few of them get two blocks.
+    tasks = 4 * blocks
     dealt = rows.withColumns({
         "block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"),
         "held_out": held_out_by(F.col("doc_id"), folds, held_out)})
-    teaching = dealt.select("block", "held_out", "text").repartition(blocks, "block").sortWithinPartitions("block", "held_out")
+    teaching = dealt.select("block", "held_out", "text").repartition(tasks, "block").sortWithinPartitions("block", "held_out")
     met = written(teaching.mapInArrow(met_in_blocks, "block int, key long, n long"), "met")
     counts = written(met.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     learned, vocabulary = counts.where("key < 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -283,7 +286,7 @@ def ppm_scores(df: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "
     texts = dealt.withColumns({
         "turn": F.lit(1), "keys": F.lit(None).cast("binary"), "vals": F.lit(None).cast("binary")})
     # A block's part of the trie sorts before its texts.
-    together = lines.unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "turn").select(
+    together = lines.unionByName(texts).repartition(tasks, "block").sortWithinPartitions("block", "turn").select(
         "doc_id", "block", "turn", "keys", "vals", "held_out", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +303,7 @@ def ppm_scores(df: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "
                     continue
                 scorer = scorer or Scorer(parts, learned, vocabulary)
                 parts, at = [], 0
-                for texts in slices(t.as_py() for t in part.column(6)):
+                for texts in slices((t.as_py() for t in part.column(6)), SLICE):
                     tokens, known, base, score = scorer.scores(texts)
                     rows = part.slice(at, len(texts))
                     yield pa.RecordBatch.from_arrays(
