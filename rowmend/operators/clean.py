@@ -6,13 +6,14 @@ one narrow stage and needs no shuffle. Rules naming absent columns are skipped.
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowmend.columns import named, unique
-from rowmend.functions.text import no_nan, to_number
+from rowmend.functions.text import NUMERIC, no_nan, to_number
 from rowmend.sources.files import write_csv
 from rowmend.specs import CleanSpec
 
@@ -124,11 +125,35 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([named(c) for c in df.columns if c not in set(names)])
 
 
+WHOLE, FRACTIONS = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
+
+
+def typed_test(cell: Column, kind: str, operator: str | None, value: Any) -> Column | None:
+    """A row filter that means what `condition` does and that a scan can take over.
+
+    Ordering compares numeric columns as they are, equality strings as they are; all else
+    goes by text. A null is as good as false in a filter.
+    """
+    if operator in ORDERINGS and kind in (*WHOLE, *FRACTIONS):
+        text = str(value).strip(" \t\n\x0b\x0c\r")
+        if not re.search(NUMERIC, text):
+            return F.lit(False)
+        limit = float(text)
+        if kind in WHOLE:
+            return ORDERINGS[operator](cell, F.lit(int(limit) if limit.is_integer() and abs(limit) < 2**53 else limit))
+        return ORDERINGS[operator](cell, F.lit(limit)) & ~F.isnan(cell)
+    if operator == "==" and kind == "string":
+        return cell == F.lit(str(value))
+    return condition(cell, operator, value)
+
+
 def filter_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rules are AND-ed; an unknown operator or column keeps every row."""
+    kinds = dict(df.dtypes)
     for rule in rules:
         if rule.get("column") in df.columns:
-            test = condition(named(rule["column"]), rule.get("operator"), rule.get("value"))
+            name = rule["column"]
+            test = typed_test(named(name), kinds[name], rule.get("operator"), rule.get("value"))
             df = df if test is None else df.filter(test)
     return df
 

@@ -155,7 +155,7 @@ def clean_if_else(spark, sf_dir):
     WHERE CAST(l_quantity AS DOUBLE) > 10 AND CAST(l_discount AS DOUBLE) <= 0.07
       AND l_returnflag <> 'N' AND contains(l_extendedprice, '1') AND l_linestatus <> ''""")
 def clean_filter_select(spark, sf_dir):
-    return clean(lines(spark, sf_dir), FILTERING)
+    return as_text(clean(table(spark, sf_dir, "lineitem").select(LINES), FILTERING))
 
 
 @query("clean_whole_job", f"WITH {WHOLE_JOB_CTE} SELECT * FROM kept")

@@ -108,3 +108,23 @@ def test_run_writes_and_counts(spark, frame, tmp_path):
 def test_spec_json():
     spec = CleanSpec({"a": "b"}, [{"column": "b"}], ["c"], [{"new_column": "d"}], [{"column": "d"}], ["d"])
     assert CleanSpec.from_json(spec.to_json()) == spec
+
+
+def test_typed_filters_mean_what_text_filters_do(spark):
+    values = [0.0, -0.0, 1.5, 10.0, -3.25, 1e20, float("nan"), float("inf"), float("-inf"), None]
+    table = spark.createDataFrame([(v, i * 7 - 20, f"{i % 4}" if i % 5 else None) for i, v in enumerate(values)],
+                                  "x double, n long, s string")
+    for column in "xns":
+        for operator in ("==", "!=", ">", "<=", "contains", "is_null", "odd"):
+            for value in ("0", " 8 ", "many", "-inf"):
+                rules = [{"column": column, "operator": operator, "value": value}]
+                spec = CleanSpec(filter_rules=rules)
+                got = as_text(C.clean(table, spec)).collect()
+                assert sorted(got) == sorted(C.clean(as_text(table), spec).collect()), rules
+
+
+def test_filters_reach_the_scan(spark):
+    from rowmend.plans.clean_queries import clean_filter_select
+    plan = clean_filter_select(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThan(l_quantity,10.0)" in pushed and "IsNotNull(l_discount)" in pushed
