@@ -15,7 +15,7 @@ over the documents each, and nothing but these items and the latent space is bro
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -30,6 +30,7 @@ from rowmend.llm.common import appended, ascii_words, pick, slices
 from rowmend.sources.workspace import written
 
 TERMS = 1 << 14
+NO_TERM = TERMS
 RANK, EXTRA = 256, 10
 # Fitted passages per latent dimension: a space of too few would tell every two of them apart.
 SUPPORT = 50
@@ -51,31 +52,43 @@ LEAKS = T.ArrayType(T.StructType([
     T.StructField("lcs", T.DoubleType()), T.StructField("answer", T.DoubleType())]))
 
 
-class Terms:
-    """Hashed terms of words, remembered for a while."""
+class Terms(dict):
+    """Hashed terms by word, remembered for a while."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        term = self[word] = xxhash.xxh64_intdigest(word) % TERMS
+        return term
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word) % TERMS
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def of(self, words: Collection[bytes]) -> np.ndarray:
+        if len(self) > 300_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def halves(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, document) of every half passage of documents laid end to end; empty ones have none."""
-    starts, owners, at = [], [], 0
-    for number, size in enumerate(sizes):
-        own = np.arange(at, at + size, HALF)
-        starts.append(own)
-        owners.append(np.full(len(own), number))
-        at += size
-    return np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64), np.concatenate(
-        [*owners, np.empty(0, np.int64)]).astype(np.int64)
+def halves(split: list[list[bytes]], terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, document) of every half passage: rows of HALF terms, filled up with NO_TERM.
+
+    Documents without words have none.
+    """
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    rows = -(-sizes // HALF)
+    matrix = np.full((rows.sum(), HALF), NO_TERM, np.int32)
+    shift = (np.cumsum(rows) - rows) * HALF - (np.cumsum(sizes) - sizes)
+    ids = terms.of([word for words in split for word in words])
+    matrix.ravel()[np.repeat(shift, sizes) + np.arange(len(ids))] = ids
+    return matrix, np.repeat(np.arange(len(split)), rows)
+
+
+def half_sums(matrix: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows over the terms of every half; the row of NO_TERM is zero."""
+    total = table[matrix[:, 0]]
+    for column in range(1, HALF):
+        total += table[matrix[:, column]]
+    return total
+
+
+def with_no_term(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)]).astype(np.float32)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -84,8 +97,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         terms, found, number = Terms(), np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                own = np.unique(terms.of(ascii_words(text.as_py())))
-                found[own] += 1
+                # An assignment by index counts a term once, however many words share it.
+                found[terms.of(set(ascii_words(text.as_py())))] += 1
                 number += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([found.tolist()], pa.list_(pa.int64())), pa.array([number], pa.int64())], ["found", "number"])
@@ -98,17 +111,6 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return found, parts.agg(F.sum("number")).first()[0] or 0
 
 
-def products(texts: list[str], terms: Terms, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(term of every word, half of every word, product of every half with a table of terms)."""
-    split = [ascii_words(text) for text in texts]
-    ids = terms.of([word for words in split for word in words])
-    starts, _ = halves([len(words) for words in split])
-    if not len(ids):
-        return ids, ids, np.zeros((0, table.shape[1]), np.float32)
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    return ids, owner, np.add.reduceat(table[ids] * weight[ids, None], starts, axis=0)
-
-
 def summed_blocks(sample: DataFrame, block, rows: int, columns: int) -> np.ndarray:
     """Sum over all tasks of the matrix that `block` makes of their texts; a fixed number of tasks."""
     schema = "chunk int, part binary"
@@ -143,19 +145,24 @@ def latent_space(sample: DataFrame, weight: np.ndarray) -> np.ndarray:
     """
     width = RANK + EXTRA
     random = np.random.default_rng(SEED).standard_normal((TERMS, width)).astype(np.float32)
+    weighted = with_no_term(random * weight[:, None])
 
     def range_block(total: np.ndarray, texts: list[str], terms: Terms) -> None:
-        ids, owner, product = products(texts, terms, weight, random)
-        if len(ids):
+        matrix, _ = halves([ascii_words(text) for text in texts], terms)
+        half, column = np.nonzero(matrix != NO_TERM)
+        if len(half):
+            product, ids = half_sums(matrix, weighted), matrix[half, column]
             order = np.argsort(ids, kind="stable")
             own, first = np.unique(ids[order], return_index=True)
-            rows = product[owner[order]] * weight[ids[order], None]
+            rows = product[half[order]] * weight[ids[order], None]
             total[own] += np.add.reduceat(rows, first, axis=0)
 
     basis = np.linalg.qr(summed_blocks(sample, range_block, TERMS, width).astype(np.float64))[0].astype(np.float32)
 
+    table = with_no_term(basis * weight[:, None])
+
     def gram_block(total: np.ndarray, texts: list[str], terms: Terms) -> None:
-        _, _, product = products(texts, terms, weight, basis)
+        product = half_sums(halves([ascii_words(text) for text in texts], terms)[0], table)
         total += product.T @ product
 
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
@@ -233,45 +240,47 @@ class Index:
                 sizes.append(len(part))
         if not owner:
             empty = np.empty(0, np.int64)
-            return empty, np.zeros((0, self.space.shape[1]), np.float32), np.zeros((0, 2 * HALF), np.int64), empty
+            return empty, np.zeros((0, self.space.shape[1]), np.float32), np.zeros((0, 2 * HALF), np.int32), empty
         vector = np.stack(vectors)
         norm = np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-12)
         return np.array(owner), vector / norm, np.stack(padded), np.array(sizes)
 
-    def candidates(self, ids: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(half, item, cosine) of passages that may hold a part of an item."""
+    @cached_property
+    def table(self) -> np.ndarray:
+        return with_no_term(self.space)
+
+    def candidates(self, matrix: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(half, item, cosine) of passages, a half with the next, that may hold a part of an item."""
         item, vector, padded, size = self.parts
-        if not len(starts) or not len(item):
+        if not len(matrix) or not len(item):
             return
-        sums = np.add.reduceat(self.space[ids], starts, axis=0)
-        passage = sums.copy()
+        sums = half_sums(matrix, self.table)
+        passage, following = sums.copy(), np.full_like(matrix, NO_TERM)
         follows = np.flatnonzero(owner[1:] == owner[:-1])
         passage[follows] += sums[follows + 1]
-        passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-12)
-        # Passage words, padded; words of the next document do not count.
-        last = np.searchsorted(owner, np.arange(owner[-1] + 1), side="right")
-        ends = np.append(starts, len(ids))[last[owner]]
-        place = starts[:, None] + np.arange(2 * HALF)
-        window = np.where(place < ends[:, None], ids[np.minimum(place, len(ids) - 1)], -1)
+        following[follows] = matrix[follows + 1]
+        # The bound on the cosine is put on the product, so no vector need be scaled.
+        least = MIN_COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", passage, passage)), 1e-12)
         for at in range(0, len(passage), 4096):
-            cosine = passage[at:at + 4096] @ vector.T
-            rows, columns = np.nonzero(cosine >= MIN_COSINE)
+            product = passage[at:at + 4096] @ vector.T
+            rows, columns = np.nonzero(product >= least[at:at + 4096, None])
             for cut in range(0, len(rows), 4096):
                 r, c = rows[cut:cut + 4096], columns[cut:cut + 4096]
-                shared = (window[at + r][:, :, None] == padded[c][:, None, :]).any(axis=1).sum(axis=1)
+                window = np.concatenate([matrix[at + r], following[at + r]], axis=1)
+                shared = (window[:, :, None] == padded[c][:, None, :]).any(axis=1).sum(axis=1)
                 for k in np.flatnonzero(shared >= MIN_OVERLAP * size[c]):
-                    yield at + int(r[k]), int(item[c[k]]), float(cosine[r[k], c[k]])
+                    cosine = MIN_COSINE * product[r[k], c[k]] / least[at + r[k]]
+                    yield at + int(r[k]), int(item[c[k]]), float(cosine)
 
     def leaks(self, texts: list[str]) -> list[list[tuple[int, float, float, float]]]:
         """(item, cosine, LCS share, answer share) of every item found in each text, best passage first found."""
         split = [ascii_words(text) for text in texts]
-        ids = self.terms.of([word for words in split for word in words])
-        starts, owner = halves([len(words) for words in split])
-        before = np.concatenate([[0], np.cumsum([len(words) for words in split])])
+        matrix, owner = halves(split, self.terms)
+        first = np.searchsorted(owner, np.arange(len(texts)))
         found: list[dict[int, tuple]] = [{} for _ in texts]
-        for half, number, cosine in self.candidates(ids, starts, owner):
+        for half, number, cosine in self.candidates(matrix, owner):
             doc, words = int(owner[half]), self.words[number]
-            at = int(starts[half] - before[doc])
+            at = int(half - first[doc]) * HALF
             around = split[doc][max(0, at - len(words)):at + 2 * HALF + len(words)]
             share = lcs(self.masks[number], len(words), around) / len(words)
             if share < MIN_LCS:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from rowmend.llm import decontaminate
-from rowmend.llm.decontaminate import HALF, Index, halves, lcs, with_leaks
+from rowmend.llm.decontaminate import (
+    HALF, NO_TERM, Index, Terms, half_sums, halves, lcs, with_leaks, with_no_term)
 
 
 def words(r, n, syllables=("an", "er", "in", "to", "li", "ve", "sa", "ko", "mu", "pe")):
@@ -113,8 +114,16 @@ def test_longest_common_subsequence():
 
 
 def test_halves():
-    starts, owner = halves([0, 40, 16, 1])
-    assert starts.tolist() == [0, 16, 32, 40, 56] and owner.tolist() == [1, 1, 1, 2, 3]
+    split = [[b"%d" % (100 * d + k) for k in range(n)] for d, n in enumerate([0, 40, 16, 1])]
+    terms = Terms()
+    matrix, owner = halves(split, terms)
+    assert owner.tolist() == [1, 1, 1, 2, 3]
+    for doc, words in enumerate(split):
+        flat = matrix[owner == doc].ravel()
+        assert flat[:len(words)].tolist() == [terms[w] for w in words] and (flat[len(words):] == NO_TERM).all()
+    table = with_no_term(np.random.default_rng(0).normal(0, 1, (NO_TERM, 3)))
+    sums = half_sums(matrix, table)
+    assert np.allclose(sums[2], sum(table[terms[w]] for w in split[1][32:]), atol=1e-5)
 
 
 def test_answers():
