@@ -93,8 +93,16 @@ def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def percent_one_decimal(similarity: pd.Series) -> pd.Series:
-    """Similarity as a percentage with one decimal, rounded on the exact binary value."""
-    return pd.Series([None if pd.isna(v) else round(v * 100.0, 1) for v in similarity], dtype=object)
+    """Similarity as a percentage with one decimal, rounded on the exact binary value.
+
+    Only values next to a tie can round otherwise by their tenfold, and are looked at singly.
+    """
+    percent = similarity.to_numpy(dtype="float64") * 100.0
+    tenfold = percent * 10.0
+    out = np.rint(tenfold) / 10.0
+    for k in np.flatnonzero(np.abs(tenfold - np.floor(tenfold) - 0.5) < 1e-6):
+        out[k] = round(percent[k], 1)
+    return pd.Series(out, dtype=object).where(~np.isnan(out), None)
 
 
 # Letters and their Soundex codes; all others break a run and are dropped.
