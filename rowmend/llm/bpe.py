@@ -33,8 +33,8 @@ from rowmend.llm.common import appended, slices
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose encodings a task remembers; forgetting costs time only.
-REMEMBERED_WORDS, REMEMBERED_RUNS, REMEMBERED_PAIRS = 500_000, 150_000, 300_000
-SLICE = 2 << 20
+REMEMBERED_WORDS, REMEMBERED_RUNS, REMEMBERED_PAIRS = 300_000, 100_000, 200_000
+SLICE = 3 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,6 +82,12 @@ class Bpe:
             raise ValueError("only plain byte-level BPE tokenizers are supported")
         return spec
 
+    def prepared(self) -> Bpe:
+        """With all tables built, and the parsed file, several times their size, let go."""
+        _ = (self.reachable, self.made_of, self.flat_pieces, self.splitter, self.special)
+        self.__dict__.pop("spec", None)
+        return self
+
     @cached_property
     def pieces(self) -> list[bytes]:
         """Bytes of every token id."""
@@ -315,7 +321,7 @@ def to_workers(spark: SparkSession, bpe: Bpe) -> Callable[[], Bpe]:
     def own() -> Bpe:
         held = shared.value
         if "built" not in held:
-            held["built"] = Bpe(held["definition"], held["unsettled"])
+            held["built"] = Bpe(held["definition"], held["unsettled"]).prepared()
         return held["built"]
 
     return own
