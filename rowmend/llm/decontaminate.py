@@ -45,6 +45,8 @@ MIN_LCS, MIN_ANSWER = 0.8, 0.5
 # Shorter items cannot be told from chance.
 MIN_WORDS = 5
 ITEMS_PER_PASS = 5000
+# Words a task remembers; forgetting costs time only.
+REMEMBERED = 150_000
 SLICE = 128 << 10
 SEED = 7
 LEAKS = T.ArrayType(T.StructType([
@@ -60,7 +62,7 @@ class Terms(dict):
         return term
 
     def of(self, words: Collection[bytes]) -> np.ndarray:
-        if len(self) > 300_000:
+        if len(self) > REMEMBERED:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
@@ -189,7 +191,10 @@ def lcs(masks: dict[bytes, int], size: int, words: list[bytes]) -> int:
 
 @dataclass
 class Index:
-    """The benchmark items of one pass: their words, answers and the latent vectors of their parts."""
+    """The benchmark items of one pass: their words, answers and the latent vectors of their parts.
+
+    `space` has a row for every term and a zero one for NO_TERM.
+    """
 
     items: list[tuple[int, str]]
     space: np.ndarray
@@ -245,16 +250,12 @@ class Index:
         norm = np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-12)
         return np.array(owner), vector / norm, np.stack(padded), np.array(sizes)
 
-    @cached_property
-    def table(self) -> np.ndarray:
-        return with_no_term(self.space)
-
     def candidates(self, matrix: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(half, item, cosine) of passages, a half with the next, that may hold a part of an item."""
         item, vector, padded, size = self.parts
         if not len(matrix) or not len(item):
             return
-        sums = half_sums(matrix, self.table)
+        sums = half_sums(matrix, self.space)
         passage, following = sums.copy(), np.full_like(matrix, NO_TERM)
         follows = np.flatnonzero(owner[1:] == owner[:-1])
         passage[follows] += sums[follows + 1]
@@ -311,7 +312,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", b
     chance = min(1.0, sample_docs / max(total, 1))
     sampled = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(chance * 1_000_000)
     sample = written(texts.where(sampled).repartition(FIT_TASKS), "lsa_sample")
-    space = latent_space(sample, weight)
+    space = with_no_term(latent_space(sample, weight))
     passes = max(1, math.ceil(number / ITEMS_PER_PASS))
     found, columns = docs, []
     for turn in range(passes):
