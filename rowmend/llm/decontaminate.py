@@ -18,6 +18,7 @@ import math
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ MIN_LCS, MIN_ANSWER = 0.8, 0.5
 MIN_WORDS = 5
 ITEMS_PER_PASS = 5000
 # Words a task remembers; forgetting costs time only.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 SLICE = 128 << 10
 SEED = 7
 LEAKS = T.ArrayType(T.StructType([
@@ -76,16 +77,18 @@ def halves(split: list[list[bytes]], terms: Terms) -> tuple[np.ndarray, np.ndarr
     rows = -(-sizes // HALF)
     matrix = np.full((rows.sum(), HALF), NO_TERM, np.int32)
     shift = (np.cumsum(rows) - rows) * HALF - (np.cumsum(sizes) - sizes)
-    ids = terms.of([word for words in split for word in words])
+    ids = terms.of(list(chain.from_iterable(split)))
     matrix.ravel()[np.repeat(shift, sizes) + np.arange(len(ids))] = ids
     return matrix, np.repeat(np.arange(len(split)), rows)
 
 
 def half_sums(matrix: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sum of the table's rows over the terms of every half; the row of NO_TERM is zero."""
-    total = table[matrix[:, 0]]
-    for column in range(1, HALF):
-        total += table[matrix[:, column]]
+    columns = np.ascontiguousarray(matrix.T)
+    total = table[columns[0]]
+    rows = np.empty_like(total)
+    for column in columns[1:]:
+        total += np.take(table, column, axis=0, out=rows, mode="clip")
     return total
 
 
