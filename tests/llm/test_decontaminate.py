@@ -130,3 +130,33 @@ def test_answers():
     weight = np.zeros(decontaminate.TERMS, np.float32)
     index = Index([(1, "What is the capital of it? Paris town"), (2, "a b c d e f")], np.zeros((decontaminate.TERMS, 2), np.float32), weight)
     assert index.answers[0] == {b"paris", b"town"} and len(index.answers[1]) == 2
+
+
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    r = random.Random(5)
+    data = [" ".join([f"n{i}", *words(r, 6)]) for i in range(6000)]
+    fitted, fit = [], decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda rows, weight: fitted.append(rows.count()) or fit(rows, weight))
+    table = spark.createDataFrame([(t,) for t in data + data[:50]], "text string")
+    bench = spark.createDataFrame([(1, data[17])], "item_id long, text string")
+    assert with_leaks(table, bench).where("size(leaks) > 0").count() == 2
+    assert fitted == [6000]
+
+
+def test_items_without_a_latent_vector_are_found_by_words():
+    item = " ".join(words(random.Random(4), 20))
+    weight = np.ones(decontaminate.TERMS, np.float32)
+    index = Index([(3, item)], np.zeros((NO_TERM + 1, 4), np.float32), weight)
+    texts = ["some other words " * 9 + item + " and more" * 20, "some other words " * 30, ""]
+    assert [[leak[0] for leak in leaks] for leaks in index.leaks(texts)] == [[3], [], []]
+
+
+def test_sums_by_term():
+    r = np.random.default_rng(2)
+    matrix = np.minimum(r.geometric(0.02, (300, HALF)), NO_TERM).astype(np.uint16)
+    matrix[-1, 3:] = NO_TERM
+    product, total = r.normal(0, 1, (300, 5)).astype(np.float32), np.zeros((NO_TERM + 1, 5), np.float32)
+    want = np.zeros_like(total)
+    np.add.at(want, matrix.ravel(), np.repeat(product, HALF, axis=0))
+    decontaminate.add_to_terms(total, matrix, product)
+    assert np.allclose(total, want, atol=1e-3)
