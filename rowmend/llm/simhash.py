@@ -33,6 +33,10 @@ MEAN_ROWS, MOST_ROWS = 4096, 1 << 15
 # Variants held at once in a task.
 HELD_VARIANTS = 1 << 22
 BLOCK = 1 << 16
+# Copies share this much of their shingles of so many words.
+COPY_WIDTH, COPY_SHARE = 5, 0.8
+# Members and characters of a group that one task settles; larger groups lose a representative and its copies a round.
+GROUP_ROWS, GROUP_CHARS = 64, 8 << 20
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -207,3 +211,67 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named_nodes = rooted.select("fingerprint", "root").join(groups, "root").select("fingerprint", "component_id")
     return marked.join(named_nodes, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of COPY_WIDTH words."""
+    words = ascii_words(text)
+    return np.unique(np.concatenate(list(shingle_hashes(words, COPY_WIDTH)))) if words else np.empty(0, np.uint64)
+
+
+def are_copies(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of COPY_SHARE; two empty ones have."""
+    if min(len(a), len(b)) < COPY_SHARE * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= COPY_SHARE * (len(a) + len(b) - common)
+
+
+def copies_in_group(table: pa.Table) -> pa.Table:
+    """Keys of the rows that are copies of an earlier row that stays."""
+    kept, gone = [], []
+    for row in sorted(table.select(["rank", "key", "text"]).to_pylist(), key=lambda r: (*r["rank"].values(), r["key"])):
+        own = shingle_set(row["text"])
+        if any(are_copies(own, other) for other in kept):
+            gone.append(row["key"])
+        else:
+            kept.append(own)
+    return pa.table({"key": pa.array(gone, pa.string())})
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, copy) of (key, text, rep_key, rep_text)."""
+    last, own = None, None
+    for batch in batches:
+        same = []
+        for text, rep, rep_text in zip(batch.column(1), batch.column(2), batch.column(3)):
+            if rep.as_py() != last:
+                last, own = rep.as_py(), shingle_set(rep_text.as_py())
+            same.append(are_copies(own, shingle_set(text.as_py())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], ["key", "copy"])
+
+
+def verified_copies(members: DataFrame) -> DataFrame:
+    """(key) of the rows of (component, rank, key, text) that are copies of a row that stays.
+
+    `key` is a string that names a row; `rank` is a struct without nulls in its first field
+    whose smallest is kept. The first row of a component stays and its verified copies go;
+    then the first of the others, until every pair of rows that stay was compared or is
+    apart. So nothing goes that is not a copy of something kept, however components chain.
+    """
+    left = members
+    found = members.select("key").limit(0)
+    while True:
+        first = F.min(F.struct("rank", "key", "text")).alias("rep")
+        groups = written(left.groupBy("component").agg(
+            F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), first).where("n > 1"), "groups")
+        if groups.isEmpty():
+            return found
+        fits = (F.col("n") <= GROUP_ROWS) & (F.coalesce("chars", F.lit(0)) <= GROUP_CHARS)
+        small = left.join(groups.where(fits).select("component"), "component", "left_semi")
+        found = found.unionByName(written(small.groupBy("component").applyInArrow(copies_in_group, "key string"), "copies"))
+        pairs = left.join(groups.where(~fits).select("component", "rep"), "component").where("key != rep.key").select(
+            "key", "text", F.col("rep.key").alias("rep_key"), F.col("rep.text").alias("rep_text"))
+        seen = written(pairs.mapInArrow(judged, "key string, copy boolean"), "judged")
+        found = found.unionByName(seen.where("copy").select("key"))
+        left = written(left.join(seen.where("NOT copy").select("key"), "key", "left_semi").select(members.columns), "left")

@@ -84,3 +84,15 @@ def test_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_unlike_documents_of_a_group_stay(spark, monkeypatch):
+    plain = lambda i: " ".join(f"w{(i * 31 + k * k) % 997}x{i}" for k in range(100))
+    # Ids 2 and 3 are copies, 1 and 4 are like nothing; null ids are copies of each other and of 2.
+    data = [(1, plain(1)), (2, plain(2)), (3, plain(2) + " tail"), (4, plain(4)), (None, plain(2)), (None, plain(5)), (None, plain(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    linked = lambda df, id_col="doc_id", width=4: df.select(F.col(id_col).alias("id"), F.lit(1).alias("component_id"))
+    monkeypatch.setattr(corpus_pipeline, "simhash_groups", linked)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([data[0], data[1], data[3], data[5]], key=str)

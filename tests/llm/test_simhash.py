@@ -115,3 +115,17 @@ def test_components(rows):
     assert connected(rows([], "a long, b long")).count() == 0
     star = [(0, i) for i in range(1, 300)]
     assert dict(connected(rows(star, "a long, b long")).collect()) == {i: 0 for i in range(1, 300)}
+
+
+@pytest.mark.parametrize("rows_a_task", [64, 1])
+def test_only_verified_copies_go(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows_a_task)
+    r = random.Random(6)
+    base = [f"w{r.randrange(10 ** 6)}" for _ in range(200)]
+    near = [*base[:100], "changed", *base[101:]]
+    far = [*base[:100], *(f"v{i}" for i in range(100))]
+    other = [f"u{i}" for i in range(200)]
+    data = [("c", 2, base), ("c", 5, near), ("c", 1, far), ("c", 7, far[:199]), ("c", 3, other), ("d", 1, []), ("d", None, [])]
+    table = spark.createDataFrame([(c, (i is None, i), f"k{n}", " ".join(t)) for n, (c, i, t) in enumerate(data)],
+                                  "component string, rank struct<none: boolean, id: long>, key string, text string")
+    assert sorted(r["key"] for r in simhash.verified_copies(table).collect()) == ["k1", "k3", "k6"]
