@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmend.llm.bpe import ids_digest, round_trip
+from rowmend.llm.chunked_bpe import decode_ids, encode_texts, load_ranks
 from rowmend.llm.decontaminate import with_leaks
 from rowmend.llm.embeddings import near_vectors
 from rowmend.llm.lines import drop_boilerplate
@@ -157,3 +158,13 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, batch in (("load", load), ("recount", recount), ("clean", clean), ("recount", recount), ("load", load)):
         rollup.commit(name, batch)
     return rollup.totals()
+
+
+@query("op13_chunked_bpe")
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = load_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe).select("doc_id", "token_ids")
+    return decode_ids(encoded, bpe).select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
