@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmend.llm.bpe import ids_digest, round_trip
-from rowmend.llm.chunked_bpe import decode_ids, encode_texts, load_ranks
+from rowmend.llm.chunked_bpe import encode_texts, load_ranks
 from rowmend.llm.decontaminate import with_leaks
 from rowmend.llm.embeddings import near_vectors
 from rowmend.llm.lines import drop_boilerplate
+from rowmend.llm.negatives import hard_negatives
 from rowmend.llm.ppm import ppm_scores
 from rowmend.llm.rollups import Rollup, byte_estimate, changes, piece_count, word_count
 from rowmend.llm.simhash import simhash_groups
@@ -160,11 +161,41 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+NEGATIVES_SQL = """
+WITH kept AS (
+       SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+       FROM embeddings
+       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS (
+       SELECT a.k AS anchor, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same,
+              list_dot_product(a.v, b.v)::BIGINT AS score
+       FROM kept a JOIN kept b ON a.k <> b.k AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+     positives AS (
+       SELECT * FROM scored WHERE same
+       QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, k) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY n.score DESC, n.vec_id, n.k)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same
+ AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY n.score DESC, n.vec_id, n.k) <= 10
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 @query("op13_chunked_bpe")
 def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = load_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
-    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe).select("doc_id", "token_ids")
-    return decode_ids(encoded, bpe).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, bpe, bytes_col="decoded").select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
