@@ -19,6 +19,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +31,10 @@ from rowmend.llm.pretokens import (
 )
 from rowmend.sources.workspace import written
 
-CHUNK, OVERLAP = 16_384, 512
-SLICE = 1 << 20
+CHUNK, OVERLAP = 1 << 15, 1 << 10
+SLICE = 3 << 18
 # Words whose ids a worker remembers; forgetting costs time only.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 # Beyond this many bytes a word is merged with a queue.
 SHORT_WORD = 100
 IDS = T.ArrayType(T.IntegerType())
@@ -209,35 +210,48 @@ def stretches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, k long, text string")
 
 
+def bytes_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    column = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+    return column.cast(pa.binary())
+
+
 def encode_texts(df: DataFrame, bpe: RankedBpe, text_col: str = "text", ids_col: str = "token_ids",
-                 chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+                 bytes_col: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Append the token ids of a text column, whole texts, special tokens read as plain text.
 
-    Null and empty texts have no ids. A column that already has the name of the result is
-    replaced; other columns and repeated rows stay as they are, an empty table stays empty.
-    Rows come out in no particular order.
+    With `bytes_col` the bytes decoded from the ids are appended too. Null and empty texts have
+    no ids. Columns that already have the names of the results are replaced; other columns and
+    repeated rows stay as they are, an empty table stays empty. Rows come out in no particular
+    order.
     """
     built = to_workers(df.sparkSession, bpe)
-    kept = [named(c) for c in df.columns if c != ids_col]
+    new = {"ids": IDS} | ({"bytes": T.BinaryType()} if bytes_col else {})
+    kept = [named(c) for c in df.columns if c not in (ids_col, bytes_col)]
     # Other columns travel as one, so that their names cannot clash.
     rows = df.select(F.struct(*kept).alias("others"), named(text_col).alias("text"))
 
-    def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+    def work(column: pa.Array, decoding: bool) -> Iterator[tuple[int, list[pa.Array]]]:
         for texts in slices((t.as_py() for t in column), SLICE):
-            yield len(texts), [list_column(*built().encode(texts))]
+            ids, ends = built().encode(texts)
+            yield len(texts), [list_column(ids, ends), *([bytes_column(*built().decode(ids, ends))] if decoding else [])]
 
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    one = appended(rows.where(~is_long), "text", {"ids": IDS}, work)
+    one = appended(rows.where(~is_long), "text", new, lambda c: work(c, bytes_col is not None))
     # Written, for the number of a row must not change between reads.
     long = written(rows.where(is_long).withColumn("row", F.monotonically_increasing_id()), "long-texts")
     chunks = overlapping(long.select("row", "text"), chunk, overlap).repartition("row", "k")
     starts = stitches(border_cuts(chunks, built, chunk, overlap), chunk)
     parts = stretches(long.join(starts, "row").select("row", "text", "starts")).repartition("row", "k")
-    encoded = appended(parts, "text", {"ids": IDS}, work).select("row", "k", "ids")
+    encoded = appended(parts, "text", {"ids": IDS}, lambda c: work(c, False)).select("row", "k", "ids")
     whole = encoded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    several = long.join(whole.select("row", F.flatten("parts.ids").alias("ids")), "row")
-    out = one.select("others", "ids").unionByName(several.select("others", "ids"))
-    return out.select("others.*", F.col("ids").alias(ids_col))
+    several = long.join(whole.select("row", F.flatten("parts.ids").alias("ids")), "row").select("others", "ids")
+    if bytes_col:
+        several = decode_ids(several, bpe, "ids", "bytes")
+    out = one.select("others", *new).unionByName(several)
+    result = [F.col("ids").alias(ids_col), *([F.col("bytes").alias(bytes_col)] if bytes_col else [])]
+    return out.select("others.*", *result)
 
 
 def decode_ids(df: DataFrame, bpe: RankedBpe, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -254,13 +268,10 @@ def decode_ids(df: DataFrame, bpe: RankedBpe, ids_col: str = "token_ids", bytes_
             part = column.slice(at, 1024)
             ids = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             size = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            data, ends = built().decode(ids, np.cumsum(size))
-            offsets = np.concatenate([[0], ends])
-            values = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(part), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes())])
+            values = bytes_column(*built().decode(ids, np.cumsum(size)))
             if part.null_count:
-                values = pa.compute.if_else(part.is_valid(), values, pa.scalar(None, pa.large_binary()))
-            yield len(part), [values.cast(pa.binary())]
+                values = pc.if_else(part.is_valid(), values, pa.scalar(None, pa.binary()))
+            yield len(part), [values]
             at += 1024
 
     rows = df.select(F.struct(*[named(c) for c in df.columns if c != bytes_col]).alias("others"), named(ids_col).alias("ids"))

@@ -66,7 +66,7 @@ def test_very_long_text(spark, bpe, library):
     words = ["Straße", "don't", "42", "x" * 40, "\n\n", "...", "漢字", "alpha"]
     text = " ".join(draw.choice(words) for _ in range(150_000)) + "b" * 100_000
     rows = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
-    out = {r.doc_id: r for r in decode_ids(encode_texts(rows, bpe), bpe).collect()}
+    out = {r.doc_id: r for r in encode_texts(rows, bpe, bytes_col="decoded").collect()}
     assert out[1].token_ids == library.encode_ordinary(text)
     assert bytes(out[1].decoded) == text.encode()
     assert out[2].token_ids == library.encode_ordinary("short")
