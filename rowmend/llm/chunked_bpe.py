@@ -218,17 +218,19 @@ def bytes_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def encode_texts(df: DataFrame, bpe: RankedBpe, text_col: str = "text", ids_col: str = "token_ids",
-                 bytes_col: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Append the token ids of a text column, whole texts, special tokens read as plain text.
+                 bytes_col: str | None = None, keep: list[str] | None = None, chunk: int = CHUNK,
+                 overlap: int = OVERLAP) -> DataFrame:
+    """Token ids of a text column beside the `keep` columns (all by default), whole texts.
 
-    With `bytes_col` the bytes decoded from the ids are appended too. Null and empty texts have
+    Special tokens are read as plain text. With `bytes_col` the bytes decoded from the ids are
+    appended too. Null and empty texts have
     no ids. Columns that already have the names of the results are replaced; other columns and
     repeated rows stay as they are, an empty table stays empty. Rows come out in no particular
     order.
     """
     built = to_workers(df.sparkSession, bpe)
     new = {"ids": IDS} | ({"bytes": T.BinaryType()} if bytes_col else {})
-    kept = [named(c) for c in df.columns if c not in (ids_col, bytes_col)]
+    kept = [named(c) for c in (df.columns if keep is None else keep) if c not in (ids_col, bytes_col)]
     # Other columns travel as one, so that their names cannot clash.
     rows = df.select(F.struct(*kept).alias("others"), named(text_col).alias("text"))
 
@@ -263,16 +265,19 @@ def decode_ids(df: DataFrame, bpe: RankedBpe, ids_col: str = "token_ids", bytes_
     built = to_workers(df.sparkSession, bpe)
 
     def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
+        size = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(column):
-            part = column.slice(at, 1024)
+            # Some ids at a time, or one row.
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + SLICE // 4, "right")))
+            part = column.slice(at, end - at)
             ids = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            size = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            values = bytes_column(*built().decode(ids, np.cumsum(size)))
+            values = bytes_column(*built().decode(ids, size[at:end] - before))
             if part.null_count:
                 values = pc.if_else(part.is_valid(), values, pa.scalar(None, pa.binary()))
             yield len(part), [values]
-            at += 1024
+            at = end
 
     rows = df.select(F.struct(*[named(c) for c in df.columns if c != bytes_col]).alias("others"), named(ids_col).alias("ids"))
     return appended(rows, "ids", {"bytes": T.BinaryType()}, work).select("others.*", F.col("bytes").alias(bytes_col))

@@ -194,8 +194,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_chunked_bpe")
 def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = load_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_texts(docs, bpe, bytes_col="decoded").select(
+    return encode_texts(table(spark, sf_dir, "documents"), bpe, bytes_col="decoded", keep=["doc_id"]).select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
