@@ -223,10 +223,9 @@ def encode_texts(df: DataFrame, bpe: RankedBpe, text_col: str = "text", ids_col:
     """Token ids of a text column beside the `keep` columns (all by default), whole texts.
 
     Special tokens are read as plain text. With `bytes_col` the bytes decoded from the ids are
-    appended too. Null and empty texts have
-    no ids. Columns that already have the names of the results are replaced; other columns and
-    repeated rows stay as they are, an empty table stays empty. Rows come out in no particular
-    order.
+    appended too. Null and empty texts have no ids. Columns that already have the names of the
+    results are replaced; other columns and repeated rows stay as they are, an empty table stays
+    empty. Rows come out in no particular order.
     """
     built = to_workers(df.sparkSession, bpe)
     new = {"ids": IDS} | ({"bytes": T.BinaryType()} if bytes_col else {})

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmend.llm.alignment import aligned_texts, load_aligner
 from rowmend.llm.bpe import ids_digest, round_trip
 from rowmend.llm.chunked_bpe import encode_texts, load_ranks
 from rowmend.llm.decontaminate import with_leaks
@@ -161,6 +162,15 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligner = load_aligner(tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return aligned_texts(table(spark, sf_dir, "documents"), aligner).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        digest.alias("groups_sha256"))
+
+
 NEGATIVES_SQL = """
 WITH kept AS (
        SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
