@@ -103,7 +103,7 @@ class Aligner:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.a_bytes = Bpe(definition, "").pieces
+        self.a_bytes = Bpe(definition).pieces
         self.b_bytes = [self.piece_bytes(n) for n in range(self.b.vocab_size())]
         self.remembered: dict[bytes, Span] = {}
 
@@ -114,7 +114,7 @@ class Aligner:
 
     def checked(self) -> Aligner:
         """Refuse vocabularies that do not begin anew at a lone space."""
-        _ = Bpe(self.definition, "").spec
+        _ = Bpe(self.definition).spec
         pieces = (self.b.id_to_piece(n) for n in range(self.b.vocab_size()))
         plain = "a  ﬁ Ａ\té "
         if any("▁" in p.lstrip("▁") for p in pieces) or self.b.normalize(plain) != "▁" + plain.replace(" ", "▁"):

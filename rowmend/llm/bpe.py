@@ -2,7 +2,7 @@
 
 The last token of every prefix determines its whole encoding: the encoding of p ends in the
 one token t for which the encoding of p without t ends in a token that stays apart from t.
-The distinct words of a slice of texts form a trie. It is held as its depth-first order, that
+The distinct words of a slice of texts, which Arrow finds, form a trie. It is held as its depth-first order, that
 is the sorted words with the length each shares with the one before, and walked with a stack
 of last tokens by depth: the state of a shared prefix is computed once for all its words, and
 an encoding is read off the stack backwards.
@@ -12,29 +12,28 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import unicodedata
+from array import array as pack
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
-from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import pre_tokenizers
 
 from rowmend.columns import named
 from rowmend.llm.common import appended, slices
+from rowmend.llm.pretokens import (
+    bounded_pieces, character_classes, cut_words, gathered, json_file_matches, list_column, spread_out,
+)
 
-# Fixed value: how byte-level vocabularies of this kind cut a text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose encodings a task remembers; forgetting costs time only.
-REMEMBERED_WORDS, REMEMBERED_RUNS, REMEMBERED_PAIRS = 300_000, 100_000, 200_000
-SLICE = 3 << 19
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 300_000, 200_000
+SLICE = 3 << 18
+# Longer texts are encoded in parts.
+LONG = 1 << 21
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,28 +43,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def unsettled_characters() -> str:
-    """Letters and numbers newer than this Python's Unicode, as ranges of a character class.
-
-    Libraries of other Unicode versions may class them otherwise; texts with them are cut
-    by the tokenizer library itself.
-    """
-    known = regex.compile(r"[\p{L}\p{N}]")
-    ranges: list[list[int]] = []
-    for code in range(0x80, sys.maxunicode + 1):
-        if unicodedata.category(chr(code)) == "Cn" and known.match(chr(code)):
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-
-
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizer file, with its trie walk."""
 
-    def __init__(self, definition: str, unsettled: str):
-        self.definition, self.unsettled = definition, unsettled
+    def __init__(self, definition: str, classes: np.ndarray | None = None):
+        self.definition, self.classes = definition, classes
 
     @cached_property
     def spec(self) -> dict:
@@ -84,7 +66,7 @@ class Bpe:
 
     def prepared(self) -> Bpe:
         """With all tables built, and the parsed file, several times their size, let go."""
-        _ = (self.reachable, self.made_of, self.flat_pieces, self.splitter, self.special)
+        _ = (self.reachable, self.made_of, self.flat_pieces, self.special)
         self.__dict__.pop("spec", None)
         return self
 
@@ -202,93 +184,61 @@ class Bpe:
             yield word, ids
             before = word
 
-    @cached_property
-    def splitter(self):
-        added = sorted((t["content"] for t in self.spec["added_tokens"]), key=len, reverse=True)
-        return re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-
     @cached_property
     def special(self) -> dict[str, int]:
         return {t["content"]: t["id"] for t in self.spec["added_tokens"]}
 
     @cached_property
-    def cutter(self):
-        words, newer = regex.compile(WORDS), re.compile(f"[{self.unsettled}]") if self.unsettled else None
-        high, letters = re.compile("[ɐ-\U0010ffff]"), byte_letters()
-        library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-
-        def cut(text: str) -> list[str]:
-            if newer and not text.isascii() and high.search(text) and newer.search(text):
-                split = library.pre_tokenize_str(text)
-                return [bytes(letters[c] for c in w).decode() for w, _ in split]
-            return words.findall(text)
-
-        return cut
+    def splitter(self) -> re.Pattern:
+        return re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     @cached_property
-    def words(self) -> dict[str, bytes]:
+    def words(self) -> dict[bytes, bytes]:
         """Ids of words met before."""
         return {}
 
-    @cached_property
-    def runs(self) -> dict[str, bytes]:
-        """Ids of texts between two spaces, with the space before them, met before."""
-        return {}
-
-    @cached_property
-    def uneven(self):
-        """Finds white space beside a space, or any that is rare enough not to look closer."""
-        rare = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-        beside = re.compile("[\t\n\v\f\r ] | [\t\n\v\f\r]")
-        return lambda text: beside.search(text) or not text.isascii() and rare.search(text)
-
-    def learn(self, words: set[str]) -> None:
-        fresh = {w.encode(): w for w in words if w not in self.words}
-        for word, ids in self.walk(sorted(fresh)):
-            self.words[fresh[word]] = np.array(ids, np.int32).tobytes()
+    def learn(self, words: list[bytes]) -> None:
+        for word, ids in self.walk(sorted(w for w in words if w not in self.words)):
+            self.words[word] = pack("i", ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text."""
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text in them) of texts without special tokens."""
+        words = cut_words(texts, self.classes)
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        if len(self.runs) > REMEMBERED_RUNS:
-            self.runs.clear()
-        # A space between two others than white space always starts a word, so what lies between
-        # such spaces is cut alike wherever it stands.
-        plans, runs, words = [], set(), set()
-        for text in texts:
-            plan = []
-            for n, piece in enumerate(self.splitter.split(text) if self.splitter else [text]):
-                if n % 2:
-                    plan.append((None, piece))
-                elif self.uneven(piece):
-                    cut = self.cutter(piece)
-                    words.update(cut)
-                    plan.append((cut, None))
-                elif piece:
-                    first, *rest = piece.split(" ")
-                    cut = self.cutter(first)
-                    words.update(cut)
-                    runs.update(rest)
-                    plan.append((cut, rest))
-            plans.append(plan)
-        fresh = {run: self.cutter(" " + run) for run in runs if run not in self.runs}
-        words.update(chain.from_iterable(fresh.values()))
-        self.learn(words)
-        word, known = self.words.__getitem__, self.runs.__getitem__
-        for run, cut in fresh.items():
-            self.runs[run] = b"".join(map(word, cut))
+        self.learn(words.distinct)
+        return gathered([*map(self.words.__getitem__, words.distinct)], words.index, words.ends)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text in them)."""
+        parts: list[str | int] = []
+        owner: list[int] = []
+        for n, text in enumerate(texts):
+            split = self.splitter.split(text) if any(s in text for s in self.special) else [text]
+            for m, piece in enumerate(split):
+                own = [self.special[piece]] if m % 2 else bounded_pieces(piece, LONG)
+                parts += own
+                owner += [n] * len(own)
         found = []
-        for plan in plans:
-            parts = []
-            for cut, rest in plan:
-                if cut is None:
-                    parts.append(np.array([self.special[rest]], np.int32).tobytes())
-                else:
-                    parts += map(word, cut)
-                    parts += map(known, rest or ())
-            found.append(np.frombuffer(b"".join(parts), np.int32))
-        return found
+        for some in slices((p for p in parts if isinstance(p, str)), LONG):
+            found.append(self.plain(some))
+        flat = np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in found)])
+        size = np.concatenate([np.empty(0, np.int64), *(np.diff(ends, prepend=0) for _, ends in found)])
+        is_special = np.array([isinstance(p, int) for p in parts], bool)
+        if is_special.any():
+            before = np.concatenate([[0], np.cumsum(size)])[np.cumsum(~is_special)[is_special]]
+            flat = np.insert(flat, before, [p for p in parts if isinstance(p, int)])
+            whole = np.ones(len(parts), np.int64)
+            whole[~is_special] = size
+            size = whole
+        count = np.zeros(len(texts), np.int64)
+        np.add.at(count, np.array(owner, np.int64), size)
+        return flat, np.cumsum(count)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text."""
+        flat, ends = self.encoded(texts)
+        return np.split(flat, ends[:-1]) if texts else []
 
     @cached_property
     def flat_pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,41 +247,38 @@ class Bpe:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of ids of which each ends as given; unknown ids are skipped, broken UTF-8 becomes U+FFFD."""
+        flat, start, size = self.flat_pieces
+        known = np.where((ids < 0) | (ids >= len(size)), len(size) - 1, ids)
+        data, places = spread_out(flat, start, size, known, ends)
+        data = data.tobytes()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *places.tolist()], places.tolist())]
+
     def decode(self, ids: np.ndarray) -> str:
-        """Text of an array of ids; unknown ids are skipped, broken UTF-8 becomes U+FFFD."""
-        text, start, size = self.flat_pieces
-        ids = np.where((ids < 0) | (ids >= len(size)), len(size) - 1, ids)
-        sizes = size[ids]
-        ends = np.cumsum(sizes)
-        place = np.repeat(start[ids] - ends + sizes, sizes)
-        place += np.arange(len(place))
-        return text[place].tobytes().decode("utf-8", "replace")
+        """Text of an array of ids."""
+        return self.decoded(ids, np.array([len(ids)]))[0]
 
 
 def load_bpe(path: str) -> Bpe:
     """Read a tokenizer file on the driver; its size is the vocabulary's, whatever the corpus."""
     with open(path, encoding="utf-8") as file:
-        return Bpe(file.read(), unsettled_characters())
+        return Bpe(file.read(), character_classes(json_file_matches))
 
 
 def to_workers(spark: SparkSession, bpe: Bpe) -> Callable[[], Bpe]:
     """Ship the definition once per worker; tables and memory built there outlive the task."""
-    shared = spark.sparkContext.broadcast({"definition": bpe.definition, "unsettled": bpe.unsettled})
+    shared = spark.sparkContext.broadcast({"definition": bpe.definition, "classes": bpe.classes})
 
     def own() -> Bpe:
         held = shared.value
         if "built" not in held:
-            held["built"] = Bpe(held["definition"], held["unsettled"]).prepared()
+            held["built"] = Bpe(held["definition"], held["classes"]).prepared()
         return held["built"]
 
     return own
 
 
-def list_array(lists: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)]), pa.int32()))
-
-
 IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
 
 
@@ -346,7 +293,7 @@ def encode_column(df: DataFrame, bpe: Bpe, text_col: str = "text", ids_col: str
 
     def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         for texts in slices((t.as_py() for t in column), SLICE):
-            yield len(texts), [list_array(built().encode(texts))]
+            yield len(texts), [list_column(*built().encoded(texts))]
 
     return appended(df, text_col, {ids_col: IDS}, work)
 
@@ -378,8 +325,8 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str]
 
     def work(column: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         for texts in slices((t.as_py() for t in column), SLICE):
-            ids = built().encode(texts)
-            yield len(texts), [list_array(ids), pa.array([built().decode(x) for x in ids], pa.string())]
+            ids, ends = built().encoded(texts)
+            yield len(texts), [list_column(ids, ends), pa.array(built().decoded(ids, ends), pa.string())]
 
     return appended(rows, "__text", {"token_ids": IDS, "decoded": TEXT}, work)
 

@@ -55,7 +55,7 @@ def test_decoding_any_ids():
 
 def test_forgetting_changes_nothing(monkeypatch):
     from rowmend.llm import bpe as module
-    for name in ("REMEMBERED_WORDS", "REMEMBERED_RUNS", "REMEMBERED_PAIRS"):
+    for name in ("REMEMBERED_WORDS", "REMEMBERED_PAIRS"):
         monkeypatch.setattr(module, name, 3)
     small = load_bpe(PATH)
     for text in AWKWARD * 2:
