@@ -206,6 +206,29 @@ def csv_round_trip(spark, sf_dir):
     return csv_scan(spark, folder, list(AWKWARD))
 
 
+@query("csv_of_many_splits", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
+def csv_of_many_splits(spark, sf_dir):
+    """The documents as one CSV folder whose fields hold line breaks, scanned back split by split."""
+    folder = new_path(spark, "breaks")
+    docs = table(spark, sf_dir, "documents")
+    write_csv(docs.select([F.col(c).cast("string") for c in docs.columns]), folder)
+    return csv_scan(spark, folder, docs.columns, missing=())
+
+
+@query("union_folder_with_breaks", """
+    SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, NULL AS benchmark FROM documents
+    UNION ALL SELECT CAST(item_id AS VARCHAR), NULL, NULL, text || chr(10) || '"end"' FROM benchmark""")
+def union_folder_with_breaks(spark, sf_dir):
+    """Two tables with line breaks in their fields as CSV files of one folder, merged by header in one scan."""
+    folder = new_path(spark, "merged")
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    for rows in (docs.selectExpr("CAST(doc_id AS STRING) AS id", "text", "lang"),
+                 items.selectExpr("CAST(item_id AS STRING) AS id", """concat(text, '\n"end"') AS benchmark""")):
+        rows.write.mode("append").options(header=True, quote='"', escape='"').csv(folder)
+    return union_folder(spark, folder).drop("source_file")
+
+
 @query("csv_smart_read", """
     SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer""")
 def csv_smart_read(spark, sf_dir):

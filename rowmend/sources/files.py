@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import re
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmend.columns import named, unique
+from rowmend.sources.split_csv import (
+    CsvIndex, absent_as, csv_index, csv_records, header_names, record_cells, record_width,
+)
 
 # Texts a CSV reader takes for a missing cell by default.
 MISSING_TEXTS = (
@@ -20,7 +22,6 @@ MISSING_TEXTS = (
 )
 TABLE_ENDINGS = ("csv",)
 CORRUPT = "__malformed_record"
-HEADER_READERS = 16
 
 
 def list_files(spark: SparkSession, folder: str, endings: Iterable[str] = TABLE_ENDINGS,
@@ -65,38 +66,37 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
         wanted *= 8
     if not head:
         raise ValueError(f"no header in {path}")
-    cells = next(csv.reader(io.StringIO(text.lstrip("\ufeff").rstrip("\r"), newline="")))
-    names, seen = [], {}
-    for i, cell in enumerate(cells):
-        name = cell if cell else f"Unnamed: {i}"
-        if name in seen:
-            seen[name] += 1
-            name = f"{name}.{seen[name]}"
-        else:
-            seen[name] = 0
-        names.append(name)
-    return names
-
-
-def files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    return header_names(text)
+
+
+def plain_path(path: str) -> str:
+    """A path without scheme and host, as both listings and file metadata name it."""
+    return re.sub(r"^[^/:]+:(//[^/]*)?", "", path)
+
+
+def files_by_header(spark: SparkSession, paths: list[str],
+                    index: CsvIndex | None = None) -> dict[tuple[str, ...], list[str]]:
     """Group files by header in order of first appearance; files without one are left out.
 
-    Only the first line of each file is read, several files at a time.
+    All headers come from one index, so the number of jobs does not grow with the files.
     """
-    def header(path: str) -> tuple[str, ...] | None:
-        try:
-            return tuple(header_of(spark, path))
-        except ValueError:
-            return None
-
+    if not paths:
+        return {}
+    index = index or csv_index(spark, paths)
+    found = {plain_path(unquote(row["file"])): row["header"] for row in index.headers().collect()}
     groups: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(HEADER_READERS) as readers:
-        for path, names in zip(paths, readers.map(header, paths)):
-            if names is not None:
-                groups.setdefault(names, []).append(path)
+    for path in paths:
+        header = found.get(plain_path(path))
+        if header is not None:
+            groups.setdefault(tuple(header_names(header)), []).append(path)
     return groups
 
 
+def file_name(file: Column) -> Column:
+    """Name of a file from its path in the metadata, where a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.regexp_extract(file, "[^/]*$", 0), F.lit("+"), F.lit("%2B")))
+
+
 def field_count(record: Column) -> Column:
     """Number of fields in a raw CSV record; commas inside quotes do not count."""
     return F.regexp_count(F.regexp_replace(record, r'"[^"]*+(?:""[^"]*+)*+"', ""), F.lit(",")) + 1
@@ -107,29 +107,32 @@ def csv_scan(spark: SparkSession, paths: str | list[str], columns: list[str] | N
              multi_line: bool = True, file_column: str | None = None) -> DataFrame:
     """All-string CSV scan: short rows are padded, over-long rows skipped.
 
-    Only records the parser flags as malformed have their fields counted. `multi_line`
-    keeps quoted line breaks whole, at one task per file; switch it off for large files
-    without them so that files split.
+    Records end in a line feed, with or without a carriage return. `multi_line` keeps quoted
+    line breaks whole: the files are indexed by split first, and if there is such a break, all
+    splits are cut into records in parallel. Without any, and with `multi_line` off, Spark's own
+    scan reads the splits, and only records it flags as malformed have their fields counted.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     columns = columns or header_of(spark, paths[0])
+    index = csv_index(spark, paths) if multi_line else None
+    filler = F.lit("") if blank_nulls else F.lit(None).cast("string")
+    if index is not None and index.breaks:
+        rows = csv_records(index).where(~F.col("first"))
+        kept = rows.where(record_width(F.col("record")) <= len(columns)).select(
+            "file", record_cells(F.col("record"), len(columns)).alias("cells"))
+        out = [absent_as(F.col("cells")[i], missing, filler).alias(c) for i, c in enumerate(columns)]
+        if file_column:
+            out.append(file_name(F.col("file")).alias(file_column))
+        return kept.select(out)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
     raw = (
         spark.read.schema(schema)
         .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, quote='"',
-                 escape='"', multiLine=multi_line, encoding="UTF-8", enforceSchema=True,
-                 maxCharsPerColumn=-1)
+                 escape='"', encoding="UTF-8", enforceSchema=True, maxCharsPerColumn=-1, columnPruning=False)
         .csv(paths)
     )
     kept = raw.filter(named(CORRUPT).isNull() | (field_count(named(CORRUPT)) <= len(columns)))
-    filler = F.lit("") if blank_nulls else F.lit(None).cast("string")
-    absent = list(missing)
-
-    def cell(name: str) -> Column:
-        value = named(name)
-        return F.when(value.isNull() | value.isin(absent), filler).otherwise(value).alias(name)
-
-    out = [cell(c) for c in columns]
+    out = [absent_as(named(c), missing, filler).alias(c) for c in columns]
     if file_column:
         out.append(F.col("_metadata.file_name").alias(file_column))
     return kept.select(out)
