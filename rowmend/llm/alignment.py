@@ -1,25 +1,27 @@
 """Alignment of two tokenizers: groups of tokens that end together, links, and corpus-wide counts.
 
-The ends of both encodings are looked up in dictionaries from end to index; the sorted common
-keys cut both id lists into groups, and the links are expanded group by group. Both encoders
-begin anew at a lone space between two other characters, so a text is a sequence of spans whose
-groups follow one another, and the distinct spans of a slice are aligned once.
-
-How often an id pair is linked is a count over the corpus, and no table of pairs is held by a
-task: a first pass deals the texts into blocks and leaves each block's pairs with their counts;
-the totals come back to the blocks that met the pair, and a second pass reads a block beside
-the totals of its own pairs.
+The byte ends of both encodings are looked up in dictionaries from end to index; the sorted keys
+that both have cut the id lists into groups, and links are expanded between the ends. Texts of a
+slice follow one another, for the end of a text is an end of both. Both encoders begin anew at a
+lone space between two other characters, so the distinct spans between such spaces are encoded
+once, and their links counted as often as they occur.
+
+How often an id pair is linked is a count over the corpus, and no table of all pairs is held by
+a task: a first pass deals the texts into blocks and leaves the ids of each, and each block's
+pairs with their counts; the totals come back to the blocks that met the pair, and a second pass
+reads the ids of a block beside the totals of its own pairs.
 """
 
 from __future__ import annotations
 
-from array import array as pack
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from functools import cached_property
+from itertools import chain
 from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,72 +31,59 @@ from tokenizers import Tokenizer
 from rowmend.llm.bpe import Bpe
 from rowmend.llm.common import pick, slices
 from rowmend.llm.pretokens import (
-    byte_places, character_classes, code_points, distinct_values, is_white, json_file_matches, bounded_pieces, spread_out,
+    bounded_pieces, byte_places, character_classes, code_points, distinct_values, gathered, is_white, json_file_matches,
+    spread_out,
 )
 from rowmend.sources.workspace import written
 
 BLOCK_CHARS = 1 << 25
 SLICE = 3 << 18
 # Spans whose alignment a worker remembers; forgetting costs time only.
-REMEMBERED_SPANS = 150_000
+REMEMBERED_SPANS = 250_000
 # Pairs in one row of a block's list.
 LISTED_PAIRS = 200_000
-DEALT = "block long, text string, keys binary, counts binary"
-
-
-def aligned_groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Ids of both encodings between the byte offsets at which a token of each ends."""
-    a_index = {end: n for n, end in enumerate(accumulate(a_sizes), 1)}
-    b_index = {end: n for n, end in enumerate(accumulate(b_sizes), 1)}
-    groups, i, j = [], 0, 0
-    for end in sorted(a_index.keys() & b_index.keys()):
-        m, n = a_index[end], b_index[end]
-        groups.append((a[i:m], b[j:n]))
-        i, j = m, n
-    return groups
-
-
-def group_links(a: list[int], b: list[int], a_size: Callable[[int], int], b_size: Callable[[int], int]) -> Iterator[tuple[int, int]]:
-    """Pairs of one group whose bytes overlap: within it, both encodings share no end but the last."""
-    if len(a) == 1 or len(b) == 1:
-        yield from ((x, y) for x in a for y in b)
-        return
-    i, j, ahead = 0, 0, a_size(a[0]) - b_size(b[0])
-    while True:
-        yield a[i], b[j]
-        if ahead < 0:
-            i += 1
-            if i == len(a):
-                return
-            ahead += a_size(a[i])
-        else:
-            j += 1
-            if j == len(b):
-                return
-            ahead -= b_size(b[j])
-
-
-class Span(NamedTuple):
-    """What one span adds to its text; links are packed pairs, `groups` begins with a semicolon."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: bytes
-    groups: bytes
-    sound: bool
-
-
-class Spans(NamedTuple):
-    """The distinct spans of some texts, the span at each place, and where each text's spans end."""
-
-    records: list[Span]
-    index: np.ndarray
-    ends: np.ndarray
+DEALT = "block long, a binary, b binary, keys binary, counts binary"
+
+
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group ends in both id lists: indices of the byte ends that both share, in order."""
+    a_index = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
+    b_index = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    shared = sorted(a_index.keys() & b_index.keys())
+    take = (np.fromiter(map(index.__getitem__, shared), np.int64, len(shared)) for index in (a_index, b_index))
+    return tuple(take)
+
+
+def expanded_links(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed pairs of ids, index of the b token) of all tokens whose bytes overlap.
+
+    Between two neighbouring ends of either list lies part of one token of each, and every pair
+    that overlaps has one such stretch.
+    """
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) > 0]
+    left, right = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    return a[left].astype(np.int64) << 32 | b[right], right
+
+
+class Tokens(NamedTuple):
+    """Ids of some texts one after another, with the end of each text in them."""
+
+    a: np.ndarray
+    a_ends: np.ndarray
+    b: np.ndarray
+    b_ends: np.ndarray
+
+
+def digits_table(size: int, first: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, size) of every id in decimal, after the mark of a first one and then after a comma."""
+    texts = [f"{mark}{n}".encode() for mark in (first, ",") for n in range(size)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 class Aligner:
-    """Both vocabularies, with what is remembered of spans."""
+    """Both vocabularies, with the encodings that are remembered of spans."""
 
     def __init__(self, definition: str, model: bytes, classes: np.ndarray):
         self.definition, self.model, self.classes = definition, model, classes
@@ -105,7 +94,9 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_bytes = Bpe(definition).pieces
         self.b_bytes = [self.piece_bytes(n) for n in range(self.b.vocab_size())]
-        self.remembered: dict[bytes, Span] = {}
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # Ids of both encodings of a span; nothing where they do not give it back.
+        self.remembered: dict[bytes, tuple[bytes, bytes]] = {}
 
     def piece_bytes(self, number: int) -> bytes:
         if self.b.is_byte(number):
@@ -121,21 +112,47 @@ class Aligner:
             raise ValueError("the piece model must keep texts as they are and pieces within words")
         return self
 
-    def align(self, span: bytes, a: list[int], b: list[int]) -> Span:
-        a_size, b_size = self.a_bytes, self.b_bytes
-        sound = b"".join([a_size[x] for x in a]) == span == b"".join([b_size[x] for x in b])
-        if not sound:
-            return Span(0, 0, 0, b"", b"", False)
-        groups = aligned_groups(a, b, [len(a_size[x]) for x in a], [len(b_size[x]) for x in b])
-        links, text = pack("q"), []
-        for some, others in groups:
-            links.extend([x << 32 | y for x, y in group_links(
-                some, others, lambda x: len(a_size[x]), lambda y: len(b_size[y]))])
-            text.append(f";{','.join(map(str, some))}|{','.join(map(str, others))}")
-        return Span(len(a), len(b), len(groups), links.tobytes(), "".join(text).encode(), True)
-
-    def spans(self, texts: list[str]) -> Spans:
-        """Spans of texts that begin with a space, each at the start of a span."""
+    @cached_property
+    def digits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Decimal ids of a and then b, each after the mark that begins its part of a group and after a comma."""
+        parts = [digits_table(len(self.a_bytes), ";"), digits_table(len(self.b_bytes), "|")]
+        offset = len(parts[0][0])
+        return (np.concatenate([x[0] for x in parts]), np.concatenate([parts[0][1], parts[1][1] + offset]),
+                np.concatenate([x[2] for x in parts]))
+
+    @cached_property
+    def flat_bytes(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes of all ids, where each starts, its size) of both vocabularies."""
+        return [(np.frombuffer(b"".join(x), np.uint8), np.cumsum(n) - n, n)
+                for x, n in ((self.a_bytes, self.a_size), (self.b_bytes, self.b_size))]
+
+    def learn(self, spans: list[bytes]) -> None:
+        words = [s.decode() for s in spans]
+        encode, data = self.a.encode, b"".join(spans)
+        found, given_back = [], []
+        span_ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
+        for lists, flat in zip(([encode(w, add_special_tokens=False).ids for w in words],
+                                self.b.encode([w[1:] for w in words], num_threads=1)), self.flat_bytes):
+            ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1] if len(ends) else 0)
+            back, back_ends = spread_out(*flat, ids, ends)
+            back = back.tobytes()
+            given_back.append(np.array_equal(back_ends, span_ends) and back == data or [
+                back[x:y] == s for x, y, s in zip([0, *back_ends.tolist()], back_ends.tolist(), spans)])
+            places, ids = (ends * 4).tolist(), ids.tobytes()
+            found.append([ids[x:y] for x, y in zip([0, *places], places)])
+        if given_back == [True, True]:
+            self.remembered.update(zip(spans, zip(*found)))
+            return
+        one, two = ([True] * len(spans) if x is True else x for x in given_back)
+        for span, a, b, x, y in zip(spans, *found, one, two):
+            self.remembered[span] = (a, b) if x and y else (b"", b"")
+
+    def spans(self, texts: list[str]) -> tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]:
+        """(both encodings of the distinct spans, the span at each place, where each text's spans end).
+
+        The texts begin with a space, each at the start of a span.
+        """
         joined = "".join(texts)
         points = code_points(joined)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -152,74 +169,82 @@ class Aligner:
         if len(data) > len(points):
             edges = byte_places(points)[edges]
         distinct, index = distinct_values(data, edges)
-        return Spans(self.records(distinct), index, np.searchsorted(places, ends))
-
-    def records(self, distinct: list[bytes]) -> list[Span]:
-        known = self.remembered
-        if len(known) > REMEMBERED_SPANS:
-            known.clear()
-        fresh = [s for s in distinct if s not in known]
-        if fresh:
-            words = [s.decode() for s in fresh]
-            for span, word, b in zip(fresh, words, self.b.encode([w[1:] for w in words], num_threads=1)):
-                known[span] = self.align(span, self.a.encode(word, add_special_tokens=False).ids, b)
-        return [*map(known.__getitem__, distinct)]
-
-    def parts(self, texts: list[str]) -> tuple[list[Spans], list[np.ndarray], np.ndarray]:
-        """(spans of parts of the texts, the text each part is of, which texts both encodings give back)."""
+        if len(self.remembered) > REMEMBERED_SPANS:
+            self.remembered.clear()
+        self.learn([s for s in distinct if s not in self.remembered])
+        return [*map(self.remembered.__getitem__, distinct)], index, np.searchsorted(places, ends)
+
+    def encoded(self, texts: list[str]) -> tuple[Tokens, np.ndarray, np.ndarray]:
+        """(tokens of the texts, packed pairs they link, how often); pairs may repeat.
+
+        A text that is empty or not given back by both encodings has no tokens.
+        """
         owned = [(n, part) for n, text in enumerate(texts) if text for part in bounded_pieces(" " + text, SLICE)]
-        found, owners, sound, at = [], [], np.array([bool(t) for t in texts], bool), 0
+        found, at, sound = [], 0, np.ones(len(texts), bool)
         for some in slices((part for _, part in owned), SLICE):
-            spans = self.spans(some)
-            owner = np.array([n for n, _ in owned[at:at + len(some)]], np.int64)
-            bad = np.array([not r.sound for r in spans.records], bool)
+            records, index, ends = self.spans(some)
+            owner = np.repeat([n for n, _ in owned[at:at + len(some)]], np.diff(ends, prepend=0))
+            bad = np.fromiter((not a for a, _ in records), bool, len(records))
             if bad.any():
-                sound[np.repeat(owner, np.diff(spans.ends, prepend=0))[bad[spans.index]]] = False
-            found.append(spans)
-            owners.append(owner)
+                sound[owner[bad[index]]] = False
+            found.append((records, index, owner))
             at += len(some)
-        return found, owners, sound
-
-    def pair_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(packed pairs, how often each is linked) of some texts; pairs may repeat."""
+        flat: tuple[list, list] = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        sizes = np.zeros((2, len(texts)), np.int64)
         keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        found, owners, sound = self.parts(texts)
-        for spans, owner in zip(found, owners):
-            index = spans.index[np.repeat(sound[owner], np.diff(spans.ends, prepend=0))]
-            times = np.bincount(index, minlength=len(spans.records))
-            links = [r.links for r in spans.records]
-            keys.append(np.frombuffer(b"".join(links), np.int64))
-            counts.append(np.repeat(times, np.fromiter(map(len, links), np.int64, len(links)) >> 3))
-        return np.concatenate(keys), np.concatenate(counts)
-
-    def measured(self, texts: list[str], keys: np.ndarray, values: np.ndarray) -> list[pa.Array]:
+        for records, index, owner in found:
+            index, owner = index[sound[owner]], owner[sound[owner]]
+            if not len(index):
+                continue
+            parts = []
+            for side in (0, 1):
+                encodings = [r[side] for r in records]
+                ids, ends = gathered(encodings, index, np.arange(1, len(index) + 1))
+                flat[side].append(ids)
+                np.add.at(sizes[side], owner, np.diff(ends, prepend=0))
+                parts.append((np.frombuffer(b"".join(encodings), np.int32), np.fromiter(map(len, encodings), np.int64, len(records)) >> 2))
+            (a, _), (b, b_count) = parts
+            pairs, right = expanded_links(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+            times = np.bincount(index, minlength=len(records))
+            keys.append(pairs)
+            counts.append(np.repeat(times, b_count)[right])
+        a, b = map(np.concatenate, flat)
+        a_ends, b_ends = np.cumsum(sizes, axis=1)
+        return Tokens(a, a_ends, b, b_ends), np.concatenate(keys), np.concatenate(counts)
+
+    def measured(self, tokens: Tokens, keys: np.ndarray, values: np.ndarray) -> list[pa.Array]:
         """Columns of MEASURES for some texts; `values` are twice the counts of `keys`, plus one for the best."""
-        totals = np.zeros((6, len(texts)), np.int64)
-        groups: list[list[bytes]] = [[] for _ in texts]
-        found, owners, sound = self.parts(texts)
-        for spans, owner in zip(found, owners):
-            records, index, ends = spans
-            links = [r.links for r in records]
-            size = np.fromiter(map(len, links), np.int64, len(links)) >> 3
-            # Spans of unsound texts may hold pairs that were never counted.
-            met = np.frombuffer(b"".join(links), np.int64)
-            place = np.minimum(np.searchsorted(keys, met), max(len(keys) - 1, 0))
-            value = np.where(keys[place] == met, values[place], 0) if len(keys) else np.zeros(len(met), np.int64)
-            edges = np.concatenate([[0], np.cumsum(size)])
-            columns = [np.fromiter((r[n] for r in records), np.int64, len(records)) for n in range(3)]
-            columns += [size, *(np.diff(np.concatenate([[0], np.cumsum(x)])[edges]) for x in (value & 1, value >> 1))]
-            for total, column in zip(totals, columns):
-                whole = np.concatenate([[0], np.cumsum(column[index])])[ends]
-                np.add.at(total, owner, np.diff(whole, prepend=0))
-            text = [r.groups for r in records]
-            size = np.fromiter(map(len, text), np.int64, len(text))
-            flat, text_ends = spread_out(np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size, index, ends)
-            data = flat.tobytes()
-            for n, a, b in zip(owner.tolist(), [0, *text_ends.tolist()], text_ends.tolist()):
-                groups[n].append(data[a:b])
-        totals[:, ~sound] = 0
-        written_groups = [b"".join(g)[1:] if good else b"" for g, good in zip(groups, sound)]
-        return [*map(pa.array, totals), pa.array(written_groups, pa.binary()).cast(pa.string())]
+        a, a_text, b, b_text = tokens
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        a_group, b_group = common_ends(a_ends, b_ends)
+        pairs, right = expanded_links(a, b, a_ends, b_ends)
+        value = values[np.searchsorted(keys, pairs)]
+        link_text = np.searchsorted(right, b_text)
+
+        def summed(column: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(column)])[link_text], prepend=0)
+
+        columns = [np.diff(x, prepend=0) for x in (a_text, b_text, np.searchsorted(b_group, b_text, "right"), link_text)]
+        columns += [summed(value & 1), summed(value >> 1)]
+        texts, ends = self.group_texts(a, b, a_group, b_group, a_text, b_text)
+        data = texts.tobytes()
+        # Without the semicolon before the first group.
+        written_groups = [data[start + 1:end] for start, end in zip([0, *ends.tolist()], ends.tolist())]
+        return [*(pa.array(c.astype(np.int64)) for c in columns), pa.array(written_groups, pa.binary()).cast(pa.string())]
+
+    def group_texts(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray,
+                    a_text: np.ndarray, b_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the groups of all texts as bytes, end of each text in them)."""
+        flat, start, size = self.digits
+        base = 2 * len(self.a_bytes)
+        first_a, first_b = np.zeros(len(a) + 1, bool), np.zeros(len(b) + 1, bool)
+        first_a[np.concatenate([[0], a_group])] = True
+        first_b[np.concatenate([[0], b_group])] = True
+        entry = np.concatenate([a + np.where(first_a[:-1], 0, len(self.a_bytes)),
+                                b + base + np.where(first_b[:-1], 0, len(self.b_bytes))])
+        # Every token's group, a before b.
+        group = np.concatenate([2 * np.cumsum(first_a[:-1]), 2 * np.cumsum(first_b[:-1]) + 1])
+        return spread_out(flat, start, size, entry[np.argsort(group, kind="stable")], a_text + b_text)
 
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
@@ -245,6 +270,24 @@ def to_workers(spark: SparkSession, aligner: Aligner) -> Callable[[], Aligner]:
     return own
 
 
+COLUMNS = ["block", "a", "b", "keys", "counts"]
+
+
+def packed_ids(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids of each text as bytes: two for each, four if any text of the column has larger ids."""
+    narrow = not len(ids) or ids.max() < 1 << 16
+    # The first byte tells the width.
+    data, width = ids.astype(np.uint16 if narrow else np.int32).tobytes(), 2 if narrow else 4
+    places = (ends * width).tolist()
+    return pa.array([bytes([width]) + data[a:b] for a, b in zip([0, *places], places)], pa.binary())
+
+
+def unpacked_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, end of each text in them)."""
+    lists = [np.frombuffer(x, np.uint16 if x[0] == 2 else np.int32, offset=1) for x in column.to_pylist()]
+    return np.concatenate(lists).astype(np.int32), np.cumsum([len(x) for x in lists])
+
+
 class PairTotals:
     """Counts of pairs met in a block, merged now and then."""
 
@@ -267,7 +310,7 @@ class PairTotals:
 
 
 def dealt_texts(rows: DataFrame, built: Callable[[], Aligner], block_chars: int) -> DataFrame:
-    """The rows with the block each is dealt to, and rows that list the pairs a block has met.
+    """The ids of each row with the block it is dealt to, and rows that list the pairs a block has met.
 
     A block is a stretch of one input partition, so dealing moves nothing and a group of copies
     is spread over as many blocks as the partitions and sizes give.
@@ -283,18 +326,20 @@ def dealt_texts(rows: DataFrame, built: Callable[[], Aligner], block_chars: int)
             for at in range(0, len(keys), LISTED_PAIRS):
                 part = slice(at, at + LISTED_PAIRS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, id_type), pa.array([block], pa.int64()), pa.nulls(1, pa.string()),
+                    [pa.nulls(1, id_type), pa.array([block], pa.int64()), *[pa.nulls(1, pa.binary())] * 2,
                      pa.array([keys[part].tobytes()], pa.binary()), pa.array([counts[part].tobytes()], pa.binary())],
-                    ["doc_id", "block", "text", "keys", "counts"])
+                    ["doc_id", *COLUMNS])
 
         for batch in batches:
             id_type, at = batch.column(0).type, 0
             for texts in slices((t.as_py() for t in batch.column(1)), SLICE):
-                totals.add(*built().pair_counts(texts))
-                part, none = batch.slice(at, len(texts)), pa.nulls(len(texts), pa.binary())
+                tokens, keys, counts = built().encoded(texts)
+                totals.add(keys, counts)
+                none = pa.nulls(len(texts), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(len(texts), block)), pa.array(texts, pa.string()), none, none],
-                    ["doc_id", "block", "text", "keys", "counts"])
+                    [batch.column(0).slice(at, len(texts)), pa.array(np.full(len(texts), block)),
+                     packed_ids(tokens.a, tokens.a_ends), packed_ids(tokens.b, tokens.b_ends), none, none],
+                    ["doc_id", *COLUMNS])
                 at += len(texts)
                 size += sum(map(len, texts))
                 if size >= block_chars:
@@ -345,31 +390,37 @@ def repacked(values: DataFrame) -> DataFrame:
 
 
 def measured_blocks(together: DataFrame, built: Callable[[], Aligner], kind: str) -> DataFrame:
-    """Measures of the texts of every block; a block's pairs sort before its texts."""
+    """Measures of the texts of every block; a block's pairs sort before its ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, keys, values = None, [], None, None
         for batch in batches:
-            block, is_list = batch.column(1).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            block, is_list = batch.column(1).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
             change = np.flatnonzero((block[1:] != block[:-1]) | (is_list[1:] != is_list[:-1])) + 1
             for start, end in zip([0, *change], [*change, len(block)]):
                 if block[start] != current:
                     current, parts, keys = block[start], [], None
                 part = batch.slice(start, end - start)
                 if is_list[start]:
-                    parts += zip(part.column(3).to_pylist(), part.column(4).to_pylist())
+                    parts += zip(part.column(4).to_pylist(), part.column(5).to_pylist())
                     continue
                 if keys is None:
                     keys, values = (np.concatenate([np.empty(0, np.int64), *(np.frombuffer(p[n], np.int64) for p in parts)])
                                     for n in (0, 1))
                     order = np.argsort(keys)
                     keys, values, parts = keys[order], values[order], []
+                size = np.cumsum(pc.binary_length(part.column(2)).to_numpy())
                 at = 0
-                for texts in slices((t.as_py() for t in part.column(2)), SLICE):
+                while at < len(part):
+                    # Some ids at a time, or one text.
+                    before = size[at - 1] if at else 0
+                    end = max(at + 1, int(np.searchsorted(size, before + SLICE // 2, "right")))
+                    some = part.slice(at, end - at)
+                    tokens = Tokens(*unpacked_ids(some.column(2)), *unpacked_ids(some.column(3)))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).slice(at, len(texts)), *built().measured(texts, keys, values)], ["doc_id", *MEASURES])
-                    at += len(texts)
+                        [some.column(0), *built().measured(tokens, keys, values)], ["doc_id", *MEASURES])
+                    at = end
 
-    return together.select("doc_id", "block", "text", "keys", "counts").mapInArrow(
+    return together.select("doc_id", *COLUMNS).mapInArrow(
         run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
@@ -404,7 +455,7 @@ def aligned_texts(df: DataFrame, aligner: Aligner, id_col: str = "doc_id", text_
     # More tasks than blocks, so that few of them get two blocks.
     tasks = max(1, 4 * blocks)
     texts = dealt.where("keys IS NULL")
-    none = {"doc_id": F.lit(None).cast(kind), "text": F.lit(None).cast("string")}
+    none = {"doc_id": F.lit(None).cast(kind), "a": F.lit(None).cast("binary"), "b": F.lit(None).cast("binary")}
     together = texts.unionByName(needed.withColumns(none)).repartition(tasks, "block").sortWithinPartitions(
         "block", F.col("keys").isNull())
     return measured_blocks(together, built, kind)
