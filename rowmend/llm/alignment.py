@@ -21,7 +21,6 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +36,12 @@ from rowmend.llm.pretokens import (
 from rowmend.sources.workspace import written
 
 BLOCK_CHARS = 1 << 25
-SLICE = 3 << 18
+SLICE = 1 << 19
 # Spans whose alignment a worker remembers; forgetting costs time only.
-REMEMBERED_SPANS = 250_000
+REMEMBERED_SPANS = 200_000
 # Pairs in one row of a block's list.
 LISTED_PAIRS = 200_000
-DEALT = "block long, a binary, b binary, keys binary, counts binary"
+DEALT = ["block", "ids", "a", "a_sizes", "b", "b_sizes", "keys", "counts"]
 
 
 def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,22 +269,20 @@ def to_workers(spark: SparkSession, aligner: Aligner) -> Callable[[], Aligner]:
     return own
 
 
-COLUMNS = ["block", "a", "b", "keys", "counts"]
+def squeezer() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
 
 
-def packed_ids(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Ids of each text as bytes: two for each, four if any text of the column has larger ids."""
-    narrow = not len(ids) or ids.max() < 1 << 16
-    # The first byte tells the width.
-    data, width = ids.astype(np.uint16 if narrow else np.int32).tobytes(), 2 if narrow else 4
-    places = (ends * width).tolist()
-    return pa.array([bytes([width]) + data[a:b] for a, b in zip([0, *places], places)], pa.binary())
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, in two bytes each where they all fit."""
+    kind = np.dtype(np.uint16) if not len(numbers) or 0 <= numbers.min() and numbers.max() < 1 << 16 else np.dtype(np.int64)
+    data = numbers.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + len(data).to_bytes(8, "little") + squeezer().compress(data, asbytes=True)
 
 
-def unpacked_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, end of each text in them)."""
-    lists = [np.frombuffer(x, np.uint16 if x[0] == 2 else np.int32, offset=1) for x in column.to_pylist()]
-    return np.concatenate(lists).astype(np.int32), np.cumsum([len(x) for x in lists])
+def unsqueezed(data: bytes) -> np.ndarray:
+    kind = np.uint16 if data[0] == 2 else np.int64
+    return np.frombuffer(squeezer().decompress(data[9:], int.from_bytes(data[1:9], "little"), asbytes=True), kind)
 
 
 class PairTotals:
@@ -310,7 +307,7 @@ class PairTotals:
 
 
 def dealt_texts(rows: DataFrame, built: Callable[[], Aligner], block_chars: int) -> DataFrame:
-    """The ids of each row with the block it is dealt to, and rows that list the pairs a block has met.
+    """Rows of slices, with the ids of their texts, and rows that list the pairs a block has met.
 
     A block is a stretch of one input partition, so dealing moves nothing and a group of copies
     is spread over as many blocks as the partitions and sizes give.
@@ -321,25 +318,26 @@ def dealt_texts(rows: DataFrame, built: Callable[[], Aligner], block_chars: int)
         block, size, totals = TaskContext.get().partitionId() << 32, 0, PairTotals()
         id_type = None
 
+        def row(ids: pa.Array | None, tokens: list[bytes | None], lists: list[bytes | None]) -> pa.RecordBatch:
+            held = pa.nulls(1, pa.list_(id_type)) if ids is None else pa.ListArray.from_arrays(
+                pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), held, *(pa.array([x], pa.binary()) for x in (*tokens, *lists))], DEALT)
+
         def listed() -> Iterator[pa.RecordBatch]:
             keys, counts = totals.merge()
             for at in range(0, len(keys), LISTED_PAIRS):
                 part = slice(at, at + LISTED_PAIRS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, id_type), pa.array([block], pa.int64()), *[pa.nulls(1, pa.binary())] * 2,
-                     pa.array([keys[part].tobytes()], pa.binary()), pa.array([counts[part].tobytes()], pa.binary())],
-                    ["doc_id", *COLUMNS])
+                yield row(None, [None] * 4, [keys[part].tobytes(), counts[part].tobytes()])
 
         for batch in batches:
             id_type, at = batch.column(0).type, 0
             for texts in slices((t.as_py() for t in batch.column(1)), SLICE):
                 tokens, keys, counts = built().encoded(texts)
                 totals.add(keys, counts)
-                none = pa.nulls(len(texts), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(np.full(len(texts), block)),
-                     packed_ids(tokens.a, tokens.a_ends), packed_ids(tokens.b, tokens.b_ends), none, none],
-                    ["doc_id", *COLUMNS])
+                sizes = [np.diff(x, prepend=0) for x in (tokens.a_ends, tokens.b_ends)]
+                yield row(batch.column(0).slice(at, len(texts)), [*map(squeezed, (tokens.a, sizes[0], tokens.b, sizes[1]))],
+                          [None, None])
                 at += len(texts)
                 size += sum(map(len, texts))
                 if size >= block_chars:
@@ -348,7 +346,7 @@ def dealt_texts(rows: DataFrame, built: Callable[[], Aligner], block_chars: int)
         if id_type is not None:
             yield from listed()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {DEALT}")
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, {', '.join(f'{c} binary' for c in DEALT[2:])}")
 
 
 def unpacked(lists: DataFrame) -> DataFrame:
@@ -390,37 +388,30 @@ def repacked(values: DataFrame) -> DataFrame:
 
 
 def measured_blocks(together: DataFrame, built: Callable[[], Aligner], kind: str) -> DataFrame:
-    """Measures of the texts of every block; a block's pairs sort before its ids."""
+    """Measures of the texts of every block; a block's pairs sort before its slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, keys, values = None, [], None, None
+        # Spans are not needed any more.
+        built().remembered.clear()
         for batch in batches:
-            block, is_list = batch.column(1).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-            change = np.flatnonzero((block[1:] != block[:-1]) | (is_list[1:] != is_list[:-1])) + 1
-            for start, end in zip([0, *change], [*change, len(block)]):
-                if block[start] != current:
-                    current, parts, keys = block[start], [], None
-                part = batch.slice(start, end - start)
-                if is_list[start]:
-                    parts += zip(part.column(4).to_pylist(), part.column(5).to_pylist())
+            for n, block in enumerate(batch.column(0).to_pylist()):
+                if block != current:
+                    current, parts, keys = block, [], None
+                *tokens, listed_keys, listed_values = (batch.column(c)[n].as_py() for c in range(2, 8))
+                if listed_keys is not None:
+                    parts.append((listed_keys, listed_values))
                     continue
                 if keys is None:
-                    keys, values = (np.concatenate([np.empty(0, np.int64), *(np.frombuffer(p[n], np.int64) for p in parts)])
-                                    for n in (0, 1))
+                    keys, values = (np.concatenate([np.empty(0, np.int64), *(np.frombuffer(p[side], np.int64) for p in parts)])
+                                    for side in (0, 1))
                     order = np.argsort(keys)
                     keys, values, parts = keys[order], values[order], []
-                size = np.cumsum(pc.binary_length(part.column(2)).to_numpy())
-                at = 0
-                while at < len(part):
-                    # Some ids at a time, or one text.
-                    before = size[at - 1] if at else 0
-                    end = max(at + 1, int(np.searchsorted(size, before + SLICE // 2, "right")))
-                    some = part.slice(at, end - at)
-                    tokens = Tokens(*unpacked_ids(some.column(2)), *unpacked_ids(some.column(3)))
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(0), *built().measured(tokens, keys, values)], ["doc_id", *MEASURES])
-                    at = end
-
-    return together.select("doc_id", *COLUMNS).mapInArrow(
+                a, a_sizes, b, b_sizes = map(unsqueezed, tokens)
+                found = Tokens(a.astype(np.int32), np.cumsum(a_sizes), b.astype(np.int32), np.cumsum(b_sizes))
+                ids = batch.column(1).slice(n, 1).flatten()
+                yield pa.RecordBatch.from_arrays([ids, *built().measured(found, keys, values)], ["doc_id", *MEASURES])
+
+    return together.select(*DEALT).mapInArrow(
         run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
@@ -455,7 +446,6 @@ def aligned_texts(df: DataFrame, aligner: Aligner, id_col: str = "doc_id", text_
     # More tasks than blocks, so that few of them get two blocks.
     tasks = max(1, 4 * blocks)
     texts = dealt.where("keys IS NULL")
-    none = {"doc_id": F.lit(None).cast(kind), "a": F.lit(None).cast("binary"), "b": F.lit(None).cast("binary")}
-    together = texts.unionByName(needed.withColumns(none)).repartition(tasks, "block").sortWithinPartitions(
+    together = texts.unionByName(needed, allowMissingColumns=True).repartition(tasks, "block").sortWithinPartitions(
         "block", F.col("keys").isNull())
     return measured_blocks(together, built, kind)
