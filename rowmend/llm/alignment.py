@@ -25,7 +25,6 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from rowmend.llm.bpe import Bpe
 from rowmend.llm.common import pick, slices
@@ -38,10 +37,12 @@ from rowmend.sources.workspace import written
 BLOCK_CHARS = 1 << 25
 SLICE = 1 << 19
 # Spans whose alignment a worker remembers; forgetting costs time only.
-REMEMBERED_SPANS = 200_000
+REMEMBERED_SPANS = 100_000
+# In remembered ids: a group ends here.
+MARK = 1 << 30
 # Pairs in one row of a block's list.
 LISTED_PAIRS = 200_000
-DEALT = ["block", "ids", "a", "a_sizes", "b", "b_sizes", "keys", "counts"]
+DEALT = ["block", "ids", "a", "a_sizes", "a_marks", "b", "b_sizes", "b_marks", "keys", "counts"]
 
 
 def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +67,14 @@ def expanded_links(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.
 
 
 class Tokens(NamedTuple):
-    """Ids of some texts one after another, with the end of each text in them."""
+    """Ids of some texts one after another, the end of each text in them, and whether a group ends at each id."""
 
     a: np.ndarray
     a_ends: np.ndarray
+    a_marks: np.ndarray
     b: np.ndarray
     b_ends: np.ndarray
+    b_marks: np.ndarray
 
 
 def digits_table(size: int, first: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,17 +89,20 @@ class Aligner:
 
     def __init__(self, definition: str, model: bytes, classes: np.ndarray):
         self.definition, self.model, self.classes = definition, model, classes
-        self.a = Tokenizer.from_str(definition)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.a = Bpe(definition, classes)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.a_bytes = Bpe(definition).pieces
+        self.a_bytes = self.a.pieces
         self.b_bytes = [self.piece_bytes(n) for n in range(self.b.vocab_size())]
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         # Ids of both encodings of a span; nothing where they do not give it back.
         self.remembered: dict[bytes, tuple[bytes, bytes]] = {}
 
+    def forget(self) -> None:
+        """Let go of what only encoding needs."""
+        self.remembered.clear()
+        self.a.words.clear()
+        self.a.known_pairs.clear()
+
     def piece_bytes(self, number: int) -> bytes:
         if self.b.is_byte(number):
             return bytes([int(self.b.id_to_piece(number)[3:-1], 16)])
@@ -104,7 +110,7 @@ class Aligner:
 
     def checked(self) -> Aligner:
         """Refuse vocabularies that do not begin anew at a lone space."""
-        _ = Bpe(self.definition).spec
+        _ = self.a.spec
         pieces = (self.b.id_to_piece(n) for n in range(self.b.vocab_size()))
         plain = "a  ﬁ Ａ\té "
         if any("▁" in p.lstrip("▁") for p in pieces) or self.b.normalize(plain) != "▁" + plain.replace(" ", "▁"):
@@ -126,26 +132,31 @@ class Aligner:
                 for x, n in ((self.a_bytes, self.a_size), (self.b_bytes, self.b_size))]
 
     def learn(self, spans: list[bytes]) -> None:
-        words = [s.decode() for s in spans]
-        encode, data = self.a.encode, b"".join(spans)
-        found, given_back = [], []
-        span_ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
-        for lists, flat in zip(([encode(w, add_special_tokens=False).ids for w in words],
-                                self.b.encode([w[1:] for w in words], num_threads=1)), self.flat_bytes):
-            ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-            ids = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1] if len(ends) else 0)
+        """Encode spans, and mark the ids at whose ends both encodings meet."""
+        words, data = [s.decode() for s in spans], b"".join(spans)
+        a, a_ends = self.a.plain(words)
+        lists = self.b.encode([w[1:] for w in words], num_threads=1)
+        b_ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        b = np.fromiter(chain.from_iterable(lists), np.int32, b_ends[-1])
+        size = np.fromiter(map(len, spans), np.int64, len(spans))
+        sound = np.ones(len(spans), bool)
+        for ids, ends, flat in ((a, a_ends, self.flat_bytes[0]), (b, b_ends, self.flat_bytes[1])):
             back, back_ends = spread_out(*flat, ids, ends)
             back = back.tobytes()
-            given_back.append(np.array_equal(back_ends, span_ends) and back == data or [
-                back[x:y] == s for x, y, s in zip([0, *back_ends.tolist()], back_ends.tolist(), spans)])
-            places, ids = (ends * 4).tolist(), ids.tobytes()
-            found.append([ids[x:y] for x, y in zip([0, *places], places)])
-        if given_back == [True, True]:
-            self.remembered.update(zip(spans, zip(*found)))
-            return
-        one, two = ([True] * len(spans) if x is True else x for x in given_back)
-        for span, a, b, x, y in zip(spans, *found, one, two):
-            self.remembered[span] = (a, b) if x and y else (b"", b"")
+            if back != data or (np.diff(back_ends, prepend=0) != size).any():
+                places = [0, *back_ends.tolist()]
+                sound &= [back[x:y] == s for x, y, s in zip(places, places[1:], spans)]
+        parts = []
+        for ids, ends in ((a, a_ends), (b, b_ends)):
+            count = np.where(sound, np.diff(ends, prepend=0), 0)
+            parts.append((ids[np.repeat(sound, np.diff(ends, prepend=0))].astype(np.int32), np.cumsum(count)))
+        byte_ends = [np.cumsum(n[ids]) for (ids, _), n in zip(parts, (self.a_size, self.b_size))]
+        found = []
+        for (ids, ends), groups in zip(parts, common_ends(*byte_ends)):
+            ids[groups - 1] |= MARK
+            places, ids = [0, *(ends * 4).tolist()], ids.tobytes()
+            found.append([ids[x:y] for x, y in zip(places, places[1:])])
+        self.remembered.update(zip(spans, zip(*found)))
 
     def spans(self, texts: list[str]) -> tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]:
         """(both encodings of the distinct spans, the span at each place, where each text's spans end).
@@ -170,7 +181,9 @@ class Aligner:
         distinct, index = distinct_values(data, edges)
         if len(self.remembered) > REMEMBERED_SPANS:
             self.remembered.clear()
-        self.learn([s for s in distinct if s not in self.remembered])
+        fresh = [s for s in distinct if s not in self.remembered]
+        if fresh:
+            self.learn(fresh)
         return [*map(self.remembered.__getitem__, distinct)], index, np.searchsorted(places, ends)
 
     def encoded(self, texts: list[str]) -> tuple[Tokens, np.ndarray, np.ndarray]:
@@ -202,21 +215,21 @@ class Aligner:
                 flat[side].append(ids)
                 np.add.at(sizes[side], owner, np.diff(ends, prepend=0))
                 parts.append((np.frombuffer(b"".join(encodings), np.int32), np.fromiter(map(len, encodings), np.int64, len(records)) >> 2))
-            (a, _), (b, b_count) = parts
+            (a, _), (b, b_count) = ((ids & ~MARK, count) for ids, count in parts)
             pairs, right = expanded_links(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
             times = np.bincount(index, minlength=len(records))
             keys.append(pairs)
             counts.append(np.repeat(times, b_count)[right])
         a, b = map(np.concatenate, flat)
         a_ends, b_ends = np.cumsum(sizes, axis=1)
-        return Tokens(a, a_ends, b, b_ends), np.concatenate(keys), np.concatenate(counts)
+        tokens = Tokens(a & ~MARK, a_ends, a >= MARK, b & ~MARK, b_ends, b >= MARK)
+        return tokens, np.concatenate(keys), np.concatenate(counts)
 
     def measured(self, tokens: Tokens, keys: np.ndarray, values: np.ndarray) -> list[pa.Array]:
         """Columns of MEASURES for some texts; `values` are twice the counts of `keys`, plus one for the best."""
-        a, a_text, b, b_text = tokens
-        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        a_group, b_group = common_ends(a_ends, b_ends)
-        pairs, right = expanded_links(a, b, a_ends, b_ends)
+        a, a_text, a_marks, b, b_text, b_marks = tokens
+        a_group, b_group = np.flatnonzero(a_marks) + 1, np.flatnonzero(b_marks) + 1
+        pairs, right = expanded_links(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
         value = values[np.searchsorted(keys, pairs)]
         link_text = np.searchsorted(right, b_text)
 
@@ -274,15 +287,31 @@ def squeezer() -> pa.Codec:
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, in two bytes each where they all fit."""
-    kind = np.dtype(np.uint16) if not len(numbers) or 0 <= numbers.min() and numbers.max() < 1 << 16 else np.dtype(np.int64)
+    """Numbers that are not negative as compressed bytes: in one, two or eight bytes each, as all of them fit."""
+    most = int(numbers.max(initial=0))
+    kind = np.dtype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
     data = numbers.astype(kind).tobytes()
     return bytes([kind.itemsize]) + len(data).to_bytes(8, "little") + squeezer().compress(data, asbytes=True)
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
-    kind = np.uint16 if data[0] == 2 else np.int64
-    return np.frombuffer(squeezer().decompress(data[9:], int.from_bytes(data[1:9], "little"), asbytes=True), kind)
+    kind = {1: np.uint8, 2: np.uint16, 8: np.int64}[data[0]]
+    numbers = np.frombuffer(squeezer().decompress(data[9:], int.from_bytes(data[1:9], "little"), asbytes=True), kind)
+    return numbers.astype(np.int64)
+
+
+def squeezed_tokens(tokens: Tokens) -> list[bytes]:
+    """The columns of DEALT for the ids of a slice; marks are single bits."""
+    return [x for ids, ends, marks in (tokens[:3], tokens[3:])
+            for x in (squeezed(ids), squeezed(np.diff(ends, prepend=0)), squeezed(np.packbits(marks)))]
+
+
+def unsqueezed_tokens(columns: list[bytes]) -> Tokens:
+    found = []
+    for ids, sizes, marks in (columns[:3], columns[3:]):
+        ids = unsqueezed(ids)
+        found += [ids, np.cumsum(unsqueezed(sizes)), np.unpackbits(unsqueezed(marks).astype(np.uint8), count=len(ids)).astype(bool)]
+    return Tokens(*found)
 
 
 class PairTotals:
@@ -328,16 +357,14 @@ def dealt_texts(rows: DataFrame, built: Callable[[], Aligner], block_chars: int)
             keys, counts = totals.merge()
             for at in range(0, len(keys), LISTED_PAIRS):
                 part = slice(at, at + LISTED_PAIRS)
-                yield row(None, [None] * 4, [keys[part].tobytes(), counts[part].tobytes()])
+                yield row(None, [None] * 6, [keys[part].tobytes(), counts[part].tobytes()])
 
         for batch in batches:
             id_type, at = batch.column(0).type, 0
             for texts in slices((t.as_py() for t in batch.column(1)), SLICE):
                 tokens, keys, counts = built().encoded(texts)
                 totals.add(keys, counts)
-                sizes = [np.diff(x, prepend=0) for x in (tokens.a_ends, tokens.b_ends)]
-                yield row(batch.column(0).slice(at, len(texts)), [*map(squeezed, (tokens.a, sizes[0], tokens.b, sizes[1]))],
-                          [None, None])
+                yield row(batch.column(0).slice(at, len(texts)), squeezed_tokens(tokens), [None, None])
                 at += len(texts)
                 size += sum(map(len, texts))
                 if size >= block_chars:
@@ -391,13 +418,12 @@ def measured_blocks(together: DataFrame, built: Callable[[], Aligner], kind: str
     """Measures of the texts of every block; a block's pairs sort before its slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, keys, values = None, [], None, None
-        # Spans are not needed any more.
-        built().remembered.clear()
+        built().forget()
         for batch in batches:
             for n, block in enumerate(batch.column(0).to_pylist()):
                 if block != current:
                     current, parts, keys = block, [], None
-                *tokens, listed_keys, listed_values = (batch.column(c)[n].as_py() for c in range(2, 8))
+                *tokens, listed_keys, listed_values = (column[n].as_py() for column in batch.columns[2:])
                 if listed_keys is not None:
                     parts.append((listed_keys, listed_values))
                     continue
@@ -406,10 +432,9 @@ def measured_blocks(together: DataFrame, built: Callable[[], Aligner], kind: str
                                     for side in (0, 1))
                     order = np.argsort(keys)
                     keys, values, parts = keys[order], values[order], []
-                a, a_sizes, b, b_sizes = map(unsqueezed, tokens)
-                found = Tokens(a.astype(np.int32), np.cumsum(a_sizes), b.astype(np.int32), np.cumsum(b_sizes))
                 ids = batch.column(1).slice(n, 1).flatten()
-                yield pa.RecordBatch.from_arrays([ids, *built().measured(found, keys, values)], ["doc_id", *MEASURES])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *built().measured(unsqueezed_tokens(tokens), keys, values)], ["doc_id", *MEASURES])
 
     return together.select(*DEALT).mapInArrow(
         run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
