@@ -7,6 +7,7 @@ one narrow stage and needs no shuffle. Rules naming absent columns are skipped.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rowmend.columns import named, unique
 from rowmend.functions.text import NUMERIC, no_nan, to_number
-from rowmend.sources.files import write_csv
+from rowmend.sources.files import preview, write_csv
 from rowmend.specs import CleanSpec
 
 Rule = dict[str, Any]
@@ -181,9 +182,9 @@ def clean(df: DataFrame, spec: CleanSpec) -> DataFrame:
     )
 
 
-def dry_run(df: DataFrame, spec: CleanSpec, rows: int = 500) -> DataFrame:
-    """The job on the first rows only, to look at a rule set before running it."""
-    return clean(df.limit(rows), spec)
+def dry_run(df: DataFrame, spec: CleanSpec, rows: int = 500, order_by: Sequence[str] = ()) -> DataFrame:
+    """The job on the first rows only, in the given order or else any, to look at a rule set before running it."""
+    return clean(preview(df, rows, order_by), spec)
 
 
 def clean_counts(df: DataFrame, spec: CleanSpec) -> DataFrame:

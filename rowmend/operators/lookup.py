@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from rowmend.columns import named
 from rowmend.functions.text import normal_key, strip
 from rowmend.sources.files import (
-    conform, csv_scan, files_by_header, list_lookup_files, write_csv, write_report,
+    conform, csv_scan, files_by_header, list_lookup_files, plain_path, write_csv, write_report,
 )
 from rowmend.sources.workspace import written
 from rowmend.specs import LookupSource, LookupSpec, Mapping
 
 KEY, SALT = "norm_key", "__salt"
+# Where a row stands: the folder's turn, the file's name, the split, the place within it.
+FILE_PLACE = "struct<folder:int,file:string,block:bigint,pos:bigint>"
 SALTS = 64
 PREFIX = "__lookup_"
 INVALID, NO_MATCH = "INVALID_OR_BLANK_KEY", "NO_MATCH_FOUND"
@@ -64,11 +66,13 @@ def stage_source(source: LookupSource, spec: LookupSpec, ordinal: int) -> DataFr
             cell = F.coalesce(named(m.lookup_column).cast("string"), F.lit(""))
             usable = usable & (strip(cell) != "")
     order = named(source.row_order).cast("long") if source.row_order else F.lit(0).cast("long")
+    place = named(source.file_order) if source.file_order else F.lit(None)
     return source.frame.filter(usable).select(
         normal_key(named(key), spec.key_type).alias(KEY),
         F.struct(
             F.lit(PRIORITY[source.kind]).alias("priority"),
             F.lit(ordinal).alias("ordinal"),
+            place.cast(FILE_PLACE).alias("file_order"),
             order.alias("row_order"),
             *[value(t).alias(t) for t in spec.targets],
             F.lit(source.kind).alias("source_type"),
@@ -77,12 +81,13 @@ def stage_source(source: LookupSource, spec: LookupSpec, ordinal: int) -> DataFr
 
 
 def build_index(sources: Sequence[LookupSource], spec: LookupSpec) -> DataFrame:
-    """One row per key: best priority, then source order, row order, row content.
+    """One row per key: best priority, then source order or file order, row order, row content.
 
     The whole row wins; blanks in it are not filled from lower-priority rows. Content as
     the last criterion makes the pick the same on every run and after every retry.
     """
-    staged = [stage_source(s, spec, i) for i, s in enumerate(sources)]
+    filed = next((i for i, s in enumerate(sources) if s.file_order), 0)
+    staged = [stage_source(s, spec, filed if s.file_order else i) for i, s in enumerate(sources)]
     staged = [s for s in staged if s is not None]
     if not staged:
         raise ValueError("no lookup source has the key column")
@@ -197,12 +202,18 @@ def enrich(df: DataFrame, sources: Sequence[LookupSource], spec: LookupSpec) ->
     return matched(df, written(build_index(sources, spec), "index"), spec)
 
 
-def matched(df: DataFrame, index: DataFrame, spec: LookupSpec, size: IndexSize | None = None) -> DataFrame:
-    """Match against a written index, by broadcast where its measured size allows."""
+def matched(df: DataFrame, index: DataFrame, spec: LookupSpec, size: IndexSize | None = None,
+            hot_keys: Sequence[str] | None = None) -> DataFrame:
+    """Match against a written index, by broadcast where its measured size allows.
+
+    Hot keys are looked for beside a large index unless they are given. A stream cannot be
+    looked through, so give those of an earlier run.
+    """
     small = (size or measure_index(index)).text_bytes <= BROADCAST_BYTES
-    keys = df.select(normal_key(named(spec.input_key), spec.key_type).alias(KEY))
-    hot = [] if small or df.isStreaming else frequent_keys(keys)
-    return match(df, index, spec, hot, small_index=small)
+    if hot_keys is None:
+        keys = df.select(normal_key(named(spec.input_key), spec.key_type).alias(KEY))
+        hot_keys = [] if small or df.isStreaming else frequent_keys(keys)
+    return match(df, index, spec, hot_keys, small_index=small)
 
 
 def route(consolidated: DataFrame, spec: LookupSpec) -> dict[str, DataFrame]:
@@ -220,18 +231,22 @@ def _keyed(df: DataFrame, spec: LookupSpec) -> DataFrame:
     return df.withColumn(KEY, normal_key(named(spec.input_key), spec.key_type))
 
 
+def by_partner(df: DataFrame, index: DataFrame, spec: LookupSpec, how: str) -> DataFrame:
+    """Semi or anti join with the keys of the index, which are written and measured first."""
+    rows, keys = _keyed(df, spec), written(index.select(KEY), "keys")
+    if measure_index(keys).text_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keys), KEY, how).drop(KEY)
+    return join_keys(rows, keys, how, frequent_keys(rows.select(KEY))).drop(KEY)
+
+
 def with_partner(df: DataFrame, index: DataFrame, spec: LookupSpec) -> DataFrame:
     """Input rows whose key is in the index, nothing fetched."""
-    rows = _keyed(df, spec)
-    hot = frequent_keys(rows.select(KEY))
-    return join_keys(rows, index.select(KEY), "left_semi", hot).drop(KEY)
+    return by_partner(df, index, spec, "left_semi")
 
 
 def without_partner(df: DataFrame, index: DataFrame, spec: LookupSpec) -> DataFrame:
     """Input rows whose key is blank or not in the index."""
-    rows = _keyed(df, spec)
-    hot = frequent_keys(rows.select(KEY))
-    return join_keys(rows, index.select(KEY), "left_anti", hot).drop(KEY)
+    return by_partner(df, index, spec, "left_anti")
 
 
 def _counters() -> list[Column]:
@@ -274,16 +289,26 @@ def run_lookup(df: DataFrame, sources: Sequence[LookupSource], spec: LookupSpec,
 
 def folder_sources(spark: SparkSession, folders: Sequence[str], special_file: str = "",
                    **options) -> list[LookupSource]:
-    """Sources from CSV folders, and an optional override file. Files that share a header
-    are one scan."""
+    """Sources from CSV folders, and an optional override file.
+
+    Files that share a header are one scan. Of rows with one key the first wins: by folder in
+    the given order, file name and place in the file, whatever headers the files have.
+    """
     found = [special_source(csv_scan(spark, special_file, **options))] if special_file else []
+    turns = F.lit(len(folders))
+    for turn, folder in reversed(list(enumerate(folders))):
+        within = F.startswith(F.col("__place.path"), F.lit(plain_path(folder).rstrip("/") + "/"))
+        turns = F.when(within, turn).otherwise(turns)
+    place = F.struct(turns.alias("folder"), F.regexp_extract("__place.path", "[^/]*$", 0).alias("file"),
+                     F.col("__place.block").alias("block"), F.col("__place.pos").alias("pos"))
     for header, paths in files_by_header(spark, list_lookup_files(spark, folders)).items():
-        found.append(main_source(csv_scan(spark, paths, list(header), **options)))
+        rows = csv_scan(spark, paths, list(header), place_column="__place", **options)
+        found.append(main_source(rows.withColumn("__place", place), file_order="__place"))
     return found
 
 
-def main_source(frame: DataFrame, row_order: str = "") -> LookupSource:
-    return LookupSource(frame, "main_lookup", row_order)
+def main_source(frame: DataFrame, row_order: str = "", file_order: str = "") -> LookupSource:
+    return LookupSource(frame, "main_lookup", row_order, file_order)
 
 
 def special_source(frame: DataFrame, row_order: str = "") -> LookupSource:
@@ -291,7 +316,7 @@ def special_source(frame: DataFrame, row_order: str = "") -> LookupSource:
 
 
 __all__ = [
-    "LookupSource", "LookupSpec", "Mapping", "build_index", "enrich", "folder_sources",
+    "LookupSource", "LookupSpec", "Mapping", "build_index", "by_partner", "enrich", "folder_sources",
     "frequent_keys", "main_source", "match", "measure_index", "observed", "route", "run_lookup",
     "run_statistics", "special_source", "with_partner", "without_partner",
 ]

@@ -92,9 +92,19 @@ def files_by_header(spark: SparkSession, paths: list[str],
     return groups
 
 
+def decoded_path(file: Column) -> Column:
+    """A path of the metadata, where a plus sign stands for itself."""
+    return F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+
+
 def file_name(file: Column) -> Column:
-    """Name of a file from its path in the metadata, where a plus sign stands for itself."""
-    return F.url_decode(F.replace(F.regexp_extract(file, "[^/]*$", 0), F.lit("+"), F.lit("%2B")))
+    return decoded_path(F.regexp_extract(file, "[^/]*$", 0))
+
+
+def place_of(file: Column, block: Column, pos: Column) -> Column:
+    """Where a row stands: the file's path without scheme and host, its split, and its place there."""
+    path = decoded_path(F.regexp_replace(file, r"^[^/:]+:(//[^/]*)?", ""))
+    return F.struct(path.alias("path"), block.alias("block"), pos.alias("pos"))
 
 
 def field_count(record: Column) -> Column:
@@ -104,13 +114,15 @@ def field_count(record: Column) -> Column:
 
 def csv_scan(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None,
              blank_nulls: bool = True, missing: Iterable[str] = MISSING_TEXTS,
-             multi_line: bool = True, file_column: str | None = None) -> DataFrame:
+             multi_line: bool = True, file_column: str | None = None,
+             place_column: str | None = None) -> DataFrame:
     """All-string CSV scan: short rows are padded, over-long rows skipped.
 
     Records end in a line feed, with or without a carriage return. `multi_line` keeps quoted
     line breaks whole: the files are indexed by split first, and if there is such a break, all
     splits are cut into records in parallel. Without any, and with `multi_line` off, Spark's own
     scan reads the splits, and only records it flags as malformed have their fields counted.
+    `place_column` tells where a row stands: file path, split and place within it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     columns = columns or header_of(spark, paths[0])
@@ -119,10 +131,12 @@ def csv_scan(spark: SparkSession, paths: str | list[str], columns: list[str] | N
     if index is not None and index.breaks:
         rows = csv_records(index).where(~F.col("first"))
         kept = rows.where(record_width(F.col("record")) <= len(columns)).select(
-            "file", record_cells(F.col("record"), len(columns)).alias("cells"))
+            "file", "block", "pos", record_cells(F.col("record"), len(columns)).alias("cells"))
         out = [absent_as(F.col("cells")[i], missing, filler).alias(c) for i, c in enumerate(columns)]
         if file_column:
             out.append(file_name(F.col("file")).alias(file_column))
+        if place_column:
+            out.append(place_of(F.col("file"), F.col("block"), F.col("pos")).alias(place_column))
         return kept.select(out)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
     raw = (
@@ -135,6 +149,9 @@ def csv_scan(spark: SparkSession, paths: str | list[str], columns: list[str] | N
     out = [absent_as(named(c), missing, filler).alias(c) for c in columns]
     if file_column:
         out.append(F.col("_metadata.file_name").alias(file_column))
+    if place_column:
+        out.append(place_of(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                            F.monotonically_increasing_id()).alias(place_column))
     return kept.select(out)
 
 
@@ -163,15 +180,27 @@ def preview(df: DataFrame, rows: int = 1000, order_by: Iterable[str] = ()) -> Da
     return (df.orderBy(order) if order else df).limit(rows)
 
 
+def without_broken_bytes(text: Column) -> Column:
+    """A text without the bytes that are no UTF-8; replacement characters of its own stay."""
+    mark, own, broken = "\ue000", "\ue000\ue001", "\ufffd"
+    kept = F.replace(F.replace(text, F.lit(mark), F.lit(own)), F.lit(broken), F.lit("\ue000\ue002"))
+    valid = F.replace(F.make_valid_utf8(kept), F.lit(broken), F.lit(""))
+    back = F.replace(F.replace(valid, F.lit("\ue000\ue002"), F.lit(broken)), F.lit(own), F.lit(mark))
+    return F.when(F.is_valid_utf8(text), text).otherwise(back)
+
+
 def whole_texts(spark: SparkSession, folder: str, ending: str = "txt") -> DataFrame:
-    """One row per file, found recursively, undecodable bytes dropped: `path`, `content`."""
+    """One row per file, found recursively, undecodable bytes dropped: `path`, `content`.
+
+    Names that Spark would pass over are an error, as for tables.
+    """
+    list_files(spark, folder, [ending], recursive=True)
     files = (
         spark.read.format("binaryFile")
         .options(pathGlobFilter=f"*.{ending}", recursiveFileLookup="true")
         .load(folder)
     )
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", F.regexp_replace(text, "\ufffd", "").alias("content"))
+    return files.select("path", without_broken_bytes(F.col("content").cast("string")).alias("content"))
 
 
 def conform(df: DataFrame, headers: Iterable[str]) -> DataFrame:
@@ -180,8 +209,11 @@ def conform(df: DataFrame, headers: Iterable[str]) -> DataFrame:
     return df.select([named(h) if h in have else F.lit("").alias(h) for h in unique(headers)])
 
 
-def write_csv(df: DataFrame, path: str, headers: Iterable[str] | None = None) -> None:
+def write_csv(df: DataFrame, path: str, headers: Iterable[str] | None = None, byte_order_mark: bool = False) -> None:
+    """Write CSV files with headers; a byte-order mark, if wanted, begins each of them."""
     out = conform(df, headers) if headers is not None else df
+    if byte_order_mark and out.columns:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
     out.write.mode("errorifexists").options(
         header=True, quote='"', escape='"', emptyValue="", nullValue="", encoding="UTF-8",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,

@@ -36,11 +36,16 @@ class Mapping:
 
 @dataclass(frozen=True)
 class LookupSource:
-    """One lookup table; `row_order` names a whole-number column that orders its rows."""
+    """One lookup table; `row_order` names a whole-number column that orders its rows.
+
+    `file_order` names a column that tells where a row stands in a run of files; all sources of
+    a kind that have one are ordered by it together, whichever source a file is in.
+    """
 
     frame: DataFrame
     kind: str = "main_lookup"
     row_order: str = ""
+    file_order: str = ""
 
 
 @dataclass(frozen=True)

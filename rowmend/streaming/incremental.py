@@ -6,6 +6,8 @@ counters. Progress is in the checkpoint, so a stopped run goes on where it ended
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,13 +31,16 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
 
 
 def lookup_stream(stream: DataFrame, index: DataFrame, spec: LookupSpec,
-                  small_index: bool = False) -> DataFrame:
+                  small_index: bool = False, hot_keys: Sequence[str] = ()) -> DataFrame:
     """Stream-static left join; pass a written index so it is not rebuilt for every batch.
 
     The index is broadcast if the caller or its measured size says it is small. Otherwise
-    blank keys, which match nothing, are spread over the tasks.
+    blank keys, which match nothing, and the given hot keys are spread over the tasks;
+    `frequent_keys` finds those of rows that came before.
     """
-    return match(stream, index, spec, small_index=True) if small_index else matched(stream, index, spec)
+    if small_index:
+        return match(stream, index, spec, small_index=True)
+    return matched(stream, index, spec, hot_keys=hot_keys)
 
 
 def clean_stream(stream: DataFrame, spec: CleanSpec) -> DataFrame:

@@ -128,3 +128,10 @@ def test_filters_reach_the_scan(spark):
     plan = clean_filter_select(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThan(l_quantity,10.0)" in pushed and "IsNotNull(l_discount)" in pushed
+
+
+def test_dry_run_in_order(spark):
+    from rowmend.operators.clean import dry_run
+
+    rows = spark.range(50).selectExpr("CAST(99 - id AS STRING) AS a", "CAST(id AS STRING) AS b").repartition(5)
+    assert sorted(r["a"] for r in dry_run(rows, CleanSpec(), 3, ["a"]).collect()) == ["50", "51", "52"]

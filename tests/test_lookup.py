@@ -187,3 +187,27 @@ def test_routing_partitions_the_input(frame, sources, keys):
     parts = L.route(L.enrich(rows, sources, SPEC), SPEC)
     counts = {name: part.count() for name, part in parts.items()}
     assert counts["matched"] + counts["unmatched"] == counts["consolidated"] == len(keys)
+
+
+def test_file_order_breaks_ties_across_headers(spark, rows, tmp_path):
+    texts = {"m/b.csv": "k,city,zip\na,second,1\nb,B,1\nb,B2,1\n", "m/a.csv": "city,k\nfirst,a\n",
+             "n/0.csv": "k,city,zip\na,third,1\ne,\"E\nbroken\",2\n", "n/1.csv": "k,city,zip\ne,late,2\n"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = by_id(L.enrich(rows, L.folder_sources(spark, [f"{tmp_path}/{d}" for d in "mn"]), SPEC))
+    assert [got[i]["town"] for i in "124"] == ["first", "B", "E\nbroken"]
+    turned = by_id(L.enrich(rows, L.folder_sources(spark, [f"{tmp_path}/{d}" for d in "nm"]), SPEC))
+    assert [turned[i]["town"] for i in "124"] == ["third", "B", "E\nbroken"]
+
+
+def test_partner_joins_follow_the_measured_index(spark, rows, sources, monkeypatch):
+    index = L.build_index(sources, SPEC)
+    small = L.with_partner(rows, index, SPEC)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    asked = []
+    monkeypatch.setattr(L, "frequent_keys", lambda keys: asked.append(1) or ["a"])
+    assert sorted(r["id"] for r in L.with_partner(rows, index, SPEC).collect()) == sorted(r["id"] for r in small.collect())
+    assert sorted(r["id"] for r in L.without_partner(rows, index, SPEC).collect()) == list("567")
+    assert asked == [1, 1]

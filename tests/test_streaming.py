@@ -57,3 +57,19 @@ def test_a_second_run_without_new_input_adds_nothing(spark, folder, tmp_path):
     for _ in range(2):
         I.append_to(stream(spark, folder), out).awaitTermination()
     assert spark.read.parquet(out).count() == spark.read.parquet(folder).count()
+
+
+def test_streamed_lookup_spreads_given_hot_keys(spark, tmp_path, monkeypatch):
+    from rowmend.operators import lookup as L
+    from rowmend.specs import LookupSpec, Mapping
+
+    spec = LookupSpec(input_key="k", keep_columns=("id", "k"), key_type="text", main_key="k",
+                      main_mappings=(Mapping("city", new_column_name="city"),))
+    spark.createDataFrame([(n, "hot" if n % 4 else f"k{n}") for n in range(40)], "id int, k string").write.parquet(str(tmp_path / "in"))
+    index = written(L.build_index([L.main_source(spark.createDataFrame([("hot", "H"), ("k4", "F")], "k string, city string"))], spec), "index")
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    stream = I.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    matches = I.lookup_stream(stream, index, spec, hot_keys=["hot"])
+    I.append_to(matches, str(tmp_path / "out")).awaitTermination()
+    got = spark.read.schema(matches.schema).parquet(str(tmp_path / "out"))
+    assert got.count() == 40 and got.where("city = 'H'").count() == 30 and got.where("city = 'F'").count() == 1

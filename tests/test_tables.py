@@ -239,3 +239,23 @@ def test_minutes_go_beyond_an_integer(spark, monkeypatch):
     monkeypatch.setattr(prepare, "number_rows", lambda df, order, column, start: row)
     done = prepare.stagger_timestamps(row, ["k"], datetime(2024, 1, 1)).first()
     assert done["Initiation Date"] == "22-12-7727 08:00"
+
+
+def test_whole_texts_keep_replacement_characters_and_name_hidden_files(spark, tmp_path):
+    save(tmp_path / "x", "a.txt", "own �  mark".encode() + b"\xff\xc3 end")
+    save(tmp_path / "x", "b.txt", "plain � ".encode())
+    assert sorted(r.content for r in files.whole_texts(spark, str(tmp_path / "x")).collect()) == [
+        "own �  mark end", "plain � "]
+    save(tmp_path / "x", "_c.txt", b"lost")
+    with pytest.raises(ValueError, match="_c.txt"):
+        files.whole_texts(spark, str(tmp_path / "x"))
+
+
+def test_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("1", "ä")], "a string, b string")
+    files.write_csv(df.coalesce(1), str(tmp_path / "out"), ["a", "b", "c"], byte_order_mark=True)
+    path = files.list_files(spark, str(tmp_path / "out"))[-1]
+    with open(path.removeprefix("file:"), "rb") as file:
+        assert file.read() == b'\xef\xbb\xbfa,b,c\n1,\xc3\xa4,\n'
+    assert cells(files.csv_scan(spark, path)) == [("1", "ä", "")]
+    assert files.csv_scan(spark, path).columns == ["a", "b", "c"]
