@@ -36,7 +36,7 @@ BLOCK = 1 << 16
 # Copies share this much of their shingles of so many words.
 COPY_WIDTH, COPY_SHARE = 5, 0.8
 # Members and characters of a group that one task settles; larger groups lose a representative and its copies a round.
-GROUP_ROWS, GROUP_CHARS = 64, 8 << 20
+GROUP_ROWS, GROUP_CHARS = 1024, 8 << 20
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
