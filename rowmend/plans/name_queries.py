@@ -37,12 +37,14 @@ def _hits(words: list[str]) -> str:
     return f"len(list_filter(regexp_extract_all(lower(o), '[a-z]+'), lambda w: w IN {_listed(words)}))"
 
 
-NAMES_CTE = f"""
+def names_cte(contacts: str) -> str:
+    """Verdicts over the phone, response and state of some contacts."""
+    return f"""
     raw AS (
         SELECT trim(regexp_replace(phone, '\\s+', ' ', 'g')) AS mobile,
                trim(regexp_replace(coalesce(response, ''), '\\s+', ' ', 'g')) AS o,
                trim(regexp_replace(coalesce(state, ''), '\\s+', ' ', 'g')) AS status
-        FROM ({derived_sql('orders', CONTACTS)})),
+        FROM ({contacts})),
     letters AS (SELECT *, lower(trim(regexp_replace(strip_accents(o), '[^A-Za-z]+', ' ', 'g'))) AS l FROM raw),
     w1 AS (SELECT *, list_filter(string_split(l, ' '), lambda w: w <> '' AND w NOT IN {_listed(HONORIFICS)}) AS a
            FROM letters),
@@ -78,6 +80,9 @@ NAMES_CTE = f"""
         FROM judged)"""
 
 
+NAMES_CTE = names_cte(derived_sql("orders", CONTACTS))
+
+
 def consolidate(spark, sf_dir):
     contacts = derived(spark, sf_dir, "orders", CONTACTS, needs=["o_orderkey", "o_custkey", "o_orderpriority"])
     return categorise(contacts, "phone", "response", "state")
@@ -211,3 +216,26 @@ def name_soundex(spark, sf_dir):
         "p_partkey", simple_soundex(F.col("p_name")).alias("whole"),
         simple_soundex(F.col("p_type")).alias("kind"),
         simple_soundex(F.col("p_partkey").cast("string")).alias("digits"))
+
+
+# Names and lines that the tables hold themselves.
+GIVEN_SQL = """
+    SELECT CAST(p_partkey AS VARCHAR) AS phone, p_name AS response, p_brand AS state FROM part
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'Found' FROM customer
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name || ', ' || CAST(s_nationkey AS VARCHAR), 'not found' FROM supplier
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), unnest(string_split(text, chr(10))), source FROM documents WHERE lang = 'en'"""
+
+
+@query("names_of_given_texts", f"WITH {names_cte(GIVEN_SQL)} SELECT * FROM consolidate")
+def names_of_given_texts(spark, sf_dir):
+    """Names of parts, customers and suppliers, and every line of the English documents."""
+    names = [table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS STRING) AS phone", "p_name AS response", "p_brand AS state"),
+             table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING)", "c_name", "'Found'"),
+             table(spark, sf_dir, "supplier").selectExpr(
+                 "CAST(s_suppkey AS STRING)", "concat(s_name, ', ', CAST(s_nationkey AS STRING))", "'not found'"),
+             table(spark, sf_dir, "documents").where("lang = 'en'").select(
+                 F.col("doc_id").cast("string"), F.explode(F.split("text", "\n")), "source")]
+    contacts = names[0]
+    for more in names[1:]:
+        contacts = contacts.union(more)
+    return categorise(contacts, "phone", "response", "state")
