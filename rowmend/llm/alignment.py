@@ -36,8 +36,8 @@ from rowmend.sources.workspace import written
 
 BLOCK_CHARS = 1 << 25
 SLICE = 1 << 19
-# Spans whose alignment a worker remembers; forgetting costs time only.
-REMEMBERED_SPANS = 100_000
+# Spans and words whose ids a worker remembers; forgetting costs time only.
+REMEMBERED_SPANS, REMEMBERED_WORDS = 80_000, 120_000
 # In remembered ids: a group ends here.
 MARK = 1 << 30
 # Pairs in one row of a block's list.
@@ -97,6 +97,11 @@ class Aligner:
         # Ids of both encodings of a span; nothing where they do not give it back.
         self.remembered: dict[bytes, tuple[bytes, bytes]] = {}
 
+    def prepared(self) -> Aligner:
+        """With all tables built, and the parsed file let go."""
+        _ = self.digits, self.flat_bytes, self.a.prepared()
+        return self
+
     def forget(self) -> None:
         """Let go of what only encoding needs."""
         self.remembered.clear()
@@ -133,6 +138,8 @@ class Aligner:
 
     def learn(self, spans: list[bytes]) -> None:
         """Encode spans, and mark the ids at whose ends both encodings meet."""
+        if len(self.a.words) > REMEMBERED_WORDS:
+            self.a.words.clear()
         words, data = [s.decode() for s in spans], b"".join(spans)
         a, a_ends = self.a.plain(words)
         lists = self.b.encode([w[1:] for w in words], num_threads=1)
@@ -276,7 +283,7 @@ def to_workers(spark: SparkSession, aligner: Aligner) -> Callable[[], Aligner]:
     def own() -> Aligner:
         held: dict[str, Any] = shared.value
         if "built" not in held:
-            held["built"] = Aligner(held["definition"], held["model"], held["classes"])
+            held["built"] = Aligner(held["definition"], held["model"], held["classes"]).prepared()
         return held["built"]
 
     return own

@@ -130,19 +130,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "n_dropped")
 
 
-# A load under two tokenizers, one of them provisional; a revision of that one; a later clean-up.
+# A load under two tokenizers, one of them provisional, and its recount; short documents deleted and put back.
 ROLLUP_SQL = r"""
 WITH counted AS (
-  SELECT source, lang, text,
+  SELECT source, lang,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(coalesce(text, ''), '\p{L}+|[^\p{L}\x20\x09-\x0D]')) AS pieces,
-         CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS estimate
+         len(regexp_extract_all(coalesce(text, ''), '\p{L}+|[^\p{L}\x20\x09-\x0D]')) AS pieces
   FROM documents WHERE doc_id IS NOT NULL)
 SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, sum(words)::BIGINT AS n_tokens
-FROM counted WHERE words >= 20 GROUP BY source, lang
+FROM counted GROUP BY source, lang
 UNION ALL
-SELECT source, lang, 'pieces-1', count(*), sum(CASE WHEN lang = 'en' THEN estimate ELSE pieces END)::BIGINT
-FROM counted WHERE words >= 20 GROUP BY source, lang
+SELECT source, lang, 'pieces-1', count(*), sum(pieces)::BIGINT FROM counted GROUP BY source, lang
 """
 
 
@@ -152,13 +150,17 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     load = changes(docs, "insert", "words-1", word_count(text)).unionByName(
         changes(docs, "insert", "pieces-1", byte_estimate(text)))
-    recount = changes(docs.where(~F.col("lang").eqNullSafe("en")), "revise", "pieces-1", piece_count(text))
+    recount = changes(docs, "revise", "pieces-1", piece_count(text))
     short = docs.where(word_count(text) < 20)
     none = F.lit(None).cast("long")
     clean = changes(short, "delete", "words-1", none).unionByName(changes(short, "delete", "pieces-1", none))
+    # The clean-up went too far: what it deleted comes back, as an insert and as a revision.
+    restore = changes(short, "insert", "words-1", word_count(text)).unionByName(
+        changes(short, "revise", "pieces-1", piece_count(text)))
     rollup = Rollup(spark, new_path(spark, "rollup"))
-    for name, batch in (("load", load), ("recount", recount), ("clean", clean), ("recount", recount), ("load", load)):
-        rollup.commit(name, batch)
+    batches = {"load": load, "recount": recount, "clean": clean, "restore": restore}
+    for name in (*batches, "clean", "load"):
+        rollup.commit(name, batches[name])
     return rollup.totals()
 
 
