@@ -110,8 +110,10 @@ def with_references(pages: DataFrame, least_bytes: int) -> DataFrame:
     marked = marked.withColumn("record_id", F.md5(F.concat_ws(" ", "row", "page_id", "sha").cast("binary")))
     # Rows without an id come last, and the record id settles ties.
     order = F.struct(F.col("page_id").isNull(), "page_id", "record_id")
-    first = marked.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min(order).alias("first"))
-    joined = marked.join(first, ["sha", "size"], "left")
+    # Only payloads met more than once are looked up; written, for their number decides how they are joined.
+    first = marked.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(
+        F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = marked.join(written(first, "repeated"), ["sha", "size"], "left")
     other = F.col("first.record_id") != F.col("record_id")
     return joined.select("record_id", "page_id", "url", "html", "size", F.when(other, F.col("first.record_id")).alias("refers_to"))
 
