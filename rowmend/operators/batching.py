@@ -13,14 +13,15 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Row as FoundRow
 from pyspark.sql import functions as F
 
 from rowmend.columns import named
 from rowmend.operators.numbering import GROUP, PART, POS, Edge, partition_edges, place_rows
 from rowmend.sources.workspace import written
 
-SIZE, LEVEL, BATCHES = "__size", "__level", "__batches"
+SIZE, LEVEL, BATCHES, ROW = "__size", "__level", "__batches", "__row"
 SHORT_TABLE = 200
 
 
@@ -90,7 +91,7 @@ def exit_lookup(table: DataFrame, cap: int) -> Callable[[int, int], tuple[int, i
     totals = {r[PART]: r["sum"] for r in counts.collect()}
     # One row per partition: the broadcast is bounded by the partition count.
     short = table.join(F.broadcast(counts.filter(F.col("n") <= SHORT_TABLE).select(PART)), PART)
-    known: dict[int, list[Row]] = {}
+    known: dict[int, list[FoundRow]] = {}
     for row in short.orderBy(PART, F.desc("above")).toLocalIterator():
         known.setdefault(row[PART], []).append(row)
 
@@ -134,12 +135,15 @@ def size_batches(df: DataFrame, size: str, cap: int, order_by: Sequence[Column |
     spark, names = df.sparkSession, [c for c in df.columns if c != column]
     amount = F.coalesce(named(size).cast("long"), F.lit(0))
     too_big = amount > F.lit(cap)
-    fitting = df.filter(~too_big).withColumn(SIZE, amount)
-    placed = place_rows(fitting, order, [named(c) for c in group_by])
+    # Written with a number for every row, so that only keys, sizes and numbers are sorted.
+    fitting = written(df.filter(~too_big).withColumns({SIZE: amount, ROW: F.monotonically_increasing_id()}), "fitting")
+    keys = {f"__by{n}": c for n, c in enumerate(order)} | {f"__in{n}": named(c) for n, c in enumerate(group_by)}
+    thin = fitting.select(*[c.alias(k) for k, c in keys.items()], SIZE, ROW)
+    placed = place_rows(thin, [F.col(k) for k in keys if k.startswith("__by")], [F.col(k) for k in keys if k.startswith("__in")])
     edges = partition_edges(placed)
     continuing = [(b.part, b.first_rows) for a, b in zip(edges, edges[1:]) if a.last == b.first]
 
-    slim = placed.select(PART, GROUP, POS, SIZE)
+    slim = placed.select(PART, GROUP, POS, SIZE, ROW)
     tails = spark.createDataFrame([(e.part, e.last_rows) for e in edges], f"{PART} int, n long")
     ends = slim.groupBy(PART).agg(F.max(POS).alias("end"))
     last_segments = slim.join(F.broadcast(tails), PART).join(F.broadcast(ends), PART).filter(
@@ -167,13 +171,13 @@ def size_batches(df: DataFrame, size: str, cap: int, order_by: Sequence[Column |
         level = int(rows[LEVEL].iloc[0]) if entered else 0
         index, _ = fill(rows[SIZE].to_numpy(np.int64), cap, level)
         rows[column] = index + 1 + (int(rows[BATCHES].iloc[0]) if entered else 0)
-        return rows[[PART, POS, column]]
+        return rows[[ROW, column]]
 
     numbered = (
         slim.join(F.broadcast(states), PART).groupBy(PART, GROUP)
-        .applyInPandas(number, f"{PART} int, {POS} long, `{column}` long")
+        .applyInPandas(number, f"{ROW} long, `{column}` long")
     )
-    batched = placed.join(numbered, [PART, POS])
+    batched = fitting.select(*[named(c) for c in names], ROW).join(numbered, ROW)
     skipped = df.filter(too_big).withColumn(column, F.lit(None).cast("long"))
     out = [*[named(c) for c in names], named(column)]
     return batched.select(out).unionByName(skipped.select(out))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmend.columns import computed_once, named
+from rowmend.operators.lookup import BROADCAST_BYTES
 from rowmend.operators.numbering import number_rows
 from rowmend.sources.workspace import written
 
@@ -92,5 +93,8 @@ def name_payloads(decoded: DataFrame) -> DataFrame:
     placed = good.withColumns({ROW[0]: F.col("_metadata.file_path"), ROW[1]: F.col("_metadata.row_index")})
     numbered = number_rows(placed.select("path", "folder", "ext", *ROW), ["path", *ROW], ["folder", "ext"],
                            column="__nth", start=0)
-    names = unique_names(numbered).select(*ROW, "name")
-    return placed.join(names, ROW).select("path", "name", "ext", "content")
+    names = written(unique_names(numbered).select(*ROW, "name"), "names")
+    size = names.agg(F.coalesce(F.sum(F.octet_length(ROW[0]) + F.octet_length("name") + 16), F.lit(0))).first()[0]
+    # Names come to the contents, not contents to the names, as long as they fit a broadcast.
+    near = F.broadcast(names) if size <= BROADCAST_BYTES else names
+    return placed.join(near, ROW).select("path", "name", "ext", "content")
