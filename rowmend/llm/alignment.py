@@ -37,7 +37,7 @@ from rowmend.sources.workspace import written
 BLOCK_CHARS = 1 << 25
 SLICE = 1 << 19
 # Spans and words whose ids a worker remembers; forgetting costs time only.
-REMEMBERED_SPANS, REMEMBERED_WORDS = 80_000, 120_000
+REMEMBERED_SPANS, REMEMBERED_WORDS = 120_000, 200_000
 # In remembered ids: a group ends here.
 MARK = 1 << 30
 # Pairs in one row of a block's list.
@@ -103,10 +103,11 @@ class Aligner:
         return self
 
     def forget(self) -> None:
-        """Let go of what only encoding needs."""
+        """Let go of what is remembered of texts."""
         self.remembered.clear()
         self.a.words.clear()
         self.a.known_pairs.clear()
+        pa.default_memory_pool().release_unused()
 
     def piece_bytes(self, number: int) -> bytes:
         if self.b.is_byte(number):
@@ -379,6 +380,8 @@ def dealt_texts(rows: DataFrame, built: Callable[[], Aligner], block_chars: int)
                     block, size, totals = block + 1, 0, PairTotals()
         if id_type is not None:
             yield from listed()
+            # A worker that waits for its next task should hold little.
+            built().forget()
 
     return rows.mapInArrow(run, f"block long, ids array<{kind}>, {', '.join(f'{c} binary' for c in DEALT[2:])}")
 
@@ -425,7 +428,6 @@ def measured_blocks(together: DataFrame, built: Callable[[], Aligner], kind: str
     """Measures of the texts of every block; a block's pairs sort before its slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, keys, values = None, [], None, None
-        built().forget()
         for batch in batches:
             for n, block in enumerate(batch.column(0).to_pylist()):
                 if block != current:
