@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = set(entry_points.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
     assert "pipeline" in names and "pipeline" not in entry_points.oracle_sql()
 
 
