@@ -37,7 +37,7 @@ from rowmend.sources.workspace import written
 BLOCK_CHARS = 1 << 25
 SLICE = 1 << 19
 # Spans and words whose ids a worker remembers; forgetting costs time only.
-REMEMBERED_SPANS, REMEMBERED_WORDS = 80_000, 120_000
+REMEMBERED_SPANS, REMEMBERED_WORDS = 40_000, 60_000
 # In remembered ids: a group ends here.
 MARK = 1 << 30
 # Pairs in one row of a block's list.
