@@ -75,6 +75,25 @@ def cube_sets(keys: Sequence[str]) -> list[tuple[str, ...]]:
     return [kept for n in range(len(keys), -1, -1) for kept in combinations(keys, n)]
 
 
+def set_keys(sets: Sequence[Sequence[str]]) -> dict[str, str]:
+    """All keys of the sets by the names they have within."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    if not keys:
+        raise ValueError("no set has a key")
+    return {f"__key{n}": k for n, k in enumerate(keys)}
+
+
+def different_sets(sets: Sequence[Sequence[str]]) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(tuple(sorted(set(s))) for s in sets))
+
+
+def masked_keys(df: DataFrame, own: Mapping[str, str], kept: Sequence[str]) -> Column:
+    """The key of a row in one set: those left out are null, and have their bits in `level`."""
+    level = sum(1 << (len(own) - 1 - n) for n, k in enumerate(own.values()) if k not in kept)
+    values = [(F.col(c) if k in kept else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c, k in own.items()]
+    return F.struct(*values, F.lit(level).alias("level"))
+
+
 def grouped_by_sets(df: DataFrame, sets: Sequence[Sequence[str]], measures: Mapping[str, Measure],
                     level_col: str = "grouping_level") -> DataFrame:
     """One row for every group of every set: all keys, `level_col` and the measures.
@@ -83,36 +102,67 @@ def grouped_by_sets(df: DataFrame, sets: Sequence[Sequence[str]], measures: Mapp
     so a null that is a key's own value is told apart. Repeated sets count once. The empty set is a
     single row, also over an empty table; other sets are then empty.
     """
-    keys = list(dict.fromkeys(k for s in sets for k in s))
-    if not keys:
-        raise ValueError("no set has a key")
+    own = set_keys(sets)
     states = {f"__state{n}": m for n, m in enumerate(measures.values())}
-    own = {f"__key{n}": k for n, k in enumerate(keys)}
     base = written(df.groupBy(*[named(k).alias(c) for c, k in own.items()]).agg(
         *[m.of_rows.alias(c) for c, m in states.items()]), "states")
 
-    def masked(kept: Sequence[str]) -> Column:
-        level = sum(1 << (len(keys) - 1 - n) for n, k in enumerate(keys) if k not in kept)
-        values = [(F.col(c) if k in kept else F.lit(None).cast(base.schema[c].dataType)).alias(c) for c, k in own.items()]
-        return F.struct(*values, F.lit(level).alias("level"))
-
-    wanted = list(dict.fromkeys(tuple(sorted(set(s))) for s in sets))
+    wanted = different_sets(sets)
     several = [s for s in wanted if s]
     parts = []
     if several:
-        spread = base.withColumn("__set", F.explode(F.array(*map(masked, several))))
+        spread = base.withColumn("__set", F.explode(F.array(*[masked_keys(base, own, s) for s in several])))
         parts.append(spread.groupBy("__set").agg(*[m.merged(F.col(c)).alias(c) for c, m in states.items()]))
     if () in wanted:
         # Straight from the rows when there are none, so that sketches of nothing exist too.
         whole = df.agg(*[m.of_rows.alias(c) for c, m in states.items()]) if base.isEmpty() else base.agg(
             *[m.merged(F.col(c)).alias(c) for c, m in states.items()])
-        parts.append(whole.withColumn("__set", masked(())))
+        parts.append(whole.withColumn("__set", masked_keys(base, own, ())))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.select(
         *[F.col("__set").getField(c).alias(k) for c, k in own.items()], F.col("__set.level").alias(level_col),
         *[m.result(F.col(c)).alias(name) for name, (c, m) in zip(measures, states.items())])
 
 
+def between_quantiles(df: DataFrame, sets: Sequence[Sequence[str]], groups: DataFrame, value: str, column: str,
+                      low: float, high: float, result_col: str, level_col: str = "grouping_level") -> DataFrame:
+    """Rows that `grouped_by_sets` made of a table, with whether `value` lies between two exact quantiles of a column.
+
+    Quantiles are those of `percentile`: of the values as doubles without nulls, interpolated
+    between the rows next to the rank. How many rows lie below `value` and at most at it, and which
+    lie next to it, tells the same as the quantiles would. So each set of a row adds to a few counts
+    and extremes in its own task, and no values are gathered or sorted. The groups are broadcast: a
+    state was kept of each. Groups without rows are left out; a null `value` gives null, and so do
+    groups without values.
+    """
+    own = set_keys(sets)
+    rows = df.select(*[named(k).alias(c) for c, k in own.items()], named(column).cast("double").alias("__x"))
+    spread = rows.select("__x", F.explode(F.array(*[masked_keys(rows, own, s) for s in different_sets(sets)])).alias("__set"))
+    of = {name: f"__of{n}" for n, name in enumerate(groups.columns)}
+    same = F.col("__set.level") == F.col(of[level_col])
+    for c, k in own.items():
+        same = same & F.col("__set").getField(c).eqNullSafe(F.col(of[k]))
+    x, v = F.col("__x"), F.col(of[value]).cast("double")
+    told = spread.join(F.broadcast(groups.toDF(*of.values())), same).groupBy(*of.values()).agg(
+        F.count(x).alias("__n"), F.count_if(x < v).alias("__less"), F.count_if(x <= v).alias("__most"),
+        F.max(F.when(x < v, x)).alias("__before"), F.min(F.when(x >= v, x)).alias("__from"),
+        F.max(F.when(x <= v, x)).alias("__to"), F.min(F.when(x > v, x)).alias("__after"))
+
+    def side(share: float, count: str, one: str, two: str) -> tuple[Column, Column, Column]:
+        """Both rows next to a rank are among the first `count`, neither is, and else the quantile."""
+        place = F.lit(share) * (F.col("__n") - 1)
+        first, second = F.floor(place), F.ceil(place)
+        between = (second - place) * F.col(one) + (place - first) * F.col(two)
+        return second < F.col(count), first >= F.col(count), between
+
+    within, beyond, quantile_low = side(low, "__most", "__to", "__after")
+    above = F.when(within, True).when(beyond, False).otherwise(quantile_low <= v)
+    within, beyond, quantile_high = side(high, "__less", "__before", "__from")
+    below = F.when(beyond, True).when(within, False).otherwise(quantile_high >= v)
+    return told.select(*[F.col(c).alias(name) for name, c in of.items() if name != result_col],
+                       F.when(v.isNotNull() & (F.col("__n") > 0), above & below).alias(result_col))
+
+
 def first_of_groups(df: DataFrame, group_by: Sequence[str], order_by: Sequence[Column | str], count: int,
                     place_col: str = "place", ties: bool = False) -> DataFrame:
     """The first `count` rows of every group with their place; with `ties` all rows of the last place too.

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from rowmend.operators import grouping as G
 from rowmend.operators.json_fields import (
     JsonField, fields_of_type, json_fields, json_maps, key_statistics, with_json_columns,
@@ -69,6 +70,31 @@ def test_sketches_merge_within_their_errors(spark):
     assert all(abs(got[(a, None)].half - 30_000) <= 1200 for a in range(3))
 
 
+@pytest.mark.parametrize("low, high", [(0.48, 0.52), (0.25, 0.75), (0.0, 1.0), (0.5, 0.5)])
+def test_values_between_exact_quantiles(spark, low, high):
+    draw = random.Random(5)
+    data = [(draw.choice("aabc"), draw.choice([1, 2, None]), draw.choice([None, 0.5, 2.25, float("nan"), *range(12)])) for _ in range(60)]
+    rows = spark.createDataFrame([(k, n, None if x is None else float(x)) for k, n, x in [*data, ("none", 3, None)]],
+                                 "`a.b` string, n int, x double")
+    sets = G.cube_sets(["a.b", "n"])
+    exact = [(r["a.b"], r.n, r.level, r.around) for r in rows.cube("`a.b`", "n").agg(
+        F.grouping_id().alias("level"), F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("around")).collect()]
+    tried = [None, -1.0, 0.5, 3.0, 4.5, 5.0, 6.75, 11.0, float("nan")]
+    tried += sorted({y for *_, around in exact if around for y in around if y == y})
+    as_spark = lambda y: (y != y, 0 if y != y else y)
+    for v in tried:
+        groups = spark.createDataFrame([(k, n, level, v) for k, n, level, _ in exact], "`a.b` string, n int, level int, v double")
+        got = G.between_quantiles(rows, sets, groups, "v", "x", low, high, "ok", "level")
+        want = [(k, n, level, None if None in (around, v) else as_spark(around[0]) <= as_spark(v) <= as_spark(around[1]))
+                for k, n, level, around in exact]
+        assert sorted_rows(got.drop("v")) == sorted(want, key=str)
+
+
+def test_sketches_are_held_against_ranks_not_gathered_values(spark):
+    plan = entry_points.queries()["grouping_sketches"](spark, entry_points.SMALL)._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "__less" in plan
+
+
 def test_first_rows_with_a_hot_group(spark):
     data, rows = sales(spark)
     numbered = rows.withColumn("id", F.monotonically_increasing_id())
