@@ -34,10 +34,11 @@ from rowmend.llm.pretokens import (
 )
 from rowmend.sources.workspace import written
 
-BLOCK_CHARS = 1 << 25
+# A task of the second pass holds a block or a few at once, in an Arrow batch and in Spark's sort.
+BLOCK_CHARS = 1 << 23
 SLICE = 1 << 19
-# Spans and words whose ids a worker remembers; forgetting costs time only.
-REMEMBERED_SPANS, REMEMBERED_WORDS = 40_000, 60_000
+# Spans whose ids a worker remembers; forgetting costs time only.
+REMEMBERED_SPANS = 40_000
 # In remembered ids: a group ends here.
 MARK = 1 << 30
 # Pairs in one row of a block's list.
@@ -49,7 +50,7 @@ def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
     """Where each group ends in both id lists: indices of the byte ends that both share, in order."""
     a_index = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
     b_index = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
-    shared = sorted(a_index.keys() & b_index.keys())
+    shared = [*filter(b_index.__contains__, a_index)]
     take = (np.fromiter(map(index.__getitem__, shared), np.int64, len(shared)) for index in (a_index, b_index))
     return tuple(take)
 
@@ -98,14 +99,13 @@ class Aligner:
         self.remembered: dict[bytes, tuple[bytes, bytes]] = {}
 
     def prepared(self) -> Aligner:
-        """With all tables built, and the parsed file let go."""
-        _ = self.digits, self.flat_bytes, self.a.prepared()
+        """With all tables built that short words need, and the parsed file let go."""
+        _ = self.digits, self.flat_bytes, self.a.merging()
         return self
 
     def forget(self) -> None:
         """Let go of what is remembered of texts."""
         self.remembered.clear()
-        self.a.words.clear()
         self.a.known_pairs.clear()
         pa.default_memory_pool().release_unused()
 
@@ -139,10 +139,8 @@ class Aligner:
 
     def learn(self, spans: list[bytes]) -> None:
         """Encode spans, and mark the ids at whose ends both encodings meet."""
-        if len(self.a.words) > REMEMBERED_WORDS:
-            self.a.words.clear()
         words, data = [s.decode() for s in spans], b"".join(spans)
-        a, a_ends = self.a.plain(words)
+        a, a_ends = self.a.merged_texts(words)
         lists = self.b.encode([w[1:] for w in words], num_threads=1)
         b_ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
         b = np.fromiter(chain.from_iterable(lists), np.int32, b_ends[-1])
@@ -444,6 +442,7 @@ def measured_blocks(together: DataFrame, built: Callable[[], Aligner], kind: str
                 ids = batch.column(1).slice(n, 1).flatten()
                 yield pa.RecordBatch.from_arrays(
                     [ids, *built().measured(unsqueezed_tokens(tokens), keys, values)], ["doc_id", *MEASURES])
+        pa.default_memory_pool().release_unused()
 
     return together.select(*DEALT).mapInArrow(
         run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")

@@ -34,6 +34,8 @@ REMEMBERED_WORDS, REMEMBERED_PAIRS = 300_000, 200_000
 SLICE = 3 << 18
 # Longer texts are encoded in parts.
 LONG = 1 << 21
+# Words of up to so many bytes lie in one matrix when merged together, and how many words do; longer ones are walked.
+WIDTHS, MATRIX_WORDS = (4, 6, 8, 10, 12, 16, 24, 48), 1 << 13
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,6 +45,43 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class PairRanks:
+    """Ranks of pairs of ids, looked up for many pairs at once: an open hash table in arrays."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        ordered = sorted((rank, a, b, made) for (a, b), (rank, made) in merges.items())
+        _, a, b, made = np.array(ordered, np.uint64).reshape(-1, 4).T
+        self.none, self.made = len(ordered), made.astype(np.int32)
+        # No id reaches the last entry, which stands for an empty place.
+        self.keys = np.append(a << np.uint64(32) | b, np.uint64(2**64 - 1))
+        self.bits = max(4, self.none.bit_length() + 2)
+        self.table = np.full(1 << self.bits, self.none, np.int32)
+        left, place = np.arange(self.none), self.places(self.keys[:-1])
+        while len(left):
+            free = left[self.table[place[left]] == self.none]
+            self.table[place[free]] = free
+            left = left[self.table[place[left]] != left]
+            place[left] = self.after(place[left])
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def after(self, places: np.ndarray) -> np.ndarray:
+        return places + 1 & (1 << self.bits) - 1
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, `none` where it is not merged; a negative id is in no pair."""
+        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        place = self.places(keys)
+        found = self.table[place]
+        left = np.flatnonzero((self.keys[found] != keys) & (found != self.none))
+        while len(left):
+            place[left] = self.after(place[left])
+            found[left] = self.table[place[left]]
+            left = left[(self.keys[found[left]] != keys[left]) & (found[left] != self.none)]
+        return found
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizer file, with its trie walk."""
 
@@ -70,6 +109,12 @@ class Bpe:
         self.__dict__.pop("spec", None)
         return self
 
+    def merging(self) -> Bpe:
+        """With the tables of `merged_words` built, and the parsed file let go; longer words build the walk's."""
+        _ = self.pieces, self.single, self.ranks
+        self.__dict__.pop("spec", None)
+        return self
+
     @cached_property
     def pieces(self) -> list[bytes]:
         """Bytes of every token id."""
@@ -184,6 +229,81 @@ class Bpe:
             yield word, ids
             before = word
 
+    @cached_property
+    def ranks(self) -> PairRanks:
+        return PairRanks(self.merges)
+
+    def merged_rows(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their merged ids) of a matrix with a word's bytes in each row, filled up with -1.
+
+        In every round each row merges its pair of the lowest rank, the leftmost of equal ones,
+        and so loses a column; rows without such a pair are done.
+        """
+        ranks, rows = self.ranks, np.arange(len(ids))
+        rank = ranks.of(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        while rank.shape[1]:
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(rows)), at]
+            live = np.flatnonzero(best < ranks.none)
+            if len(live) < len(rows):
+                done = best == ranks.none
+                yield rows[done], ids[done]
+                rows, at, best = rows[live], at[live], best[live]
+            if not len(live):
+                return
+            # All that is right of the pair moves one to the left.
+            width = ids.shape[1]
+            column = np.arange(width - 1)
+            moved = column + (column > at[:, None])
+            moved += live[:, None] * width
+            ids = ids.ravel()[moved]
+            every = np.arange(len(rows))
+            ids[every, at] = ranks.made[best]
+            if width == 2:
+                break
+            moved = moved[:, :-1]
+            moved -= live[:, None]
+            rank = rank.ravel()[moved]
+            right = np.flatnonzero(at < width - 2)
+            rank[right, at[right]] = ranks.of(ids[right, at[right]], ids[right, at[right] + 1])
+            left = np.flatnonzero(at)
+            rank[left, at[left] - 1] = ranks.of(ids[left, at[left] - 1], ids[left, at[left]])
+        yield rows, ids
+
+    def merged_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, end of each word in them) by the merge rule, on many words at once."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        single = np.array(self.single, np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for least, most in zip((0, *WIDTHS), WIDTHS):
+            fitting = np.flatnonzero((size > least) & (size <= most))
+            column = np.arange(most)
+            for cut in range(0, len(fitting), MATRIX_WORDS):
+                own = fitting[cut:cut + MATRIX_WORDS]
+                place = np.minimum(start[own][:, None] + column, len(single) - 1)
+                ids = np.where(column < size[own][:, None], single[place], np.int32(-1))
+                parts += [(own[rows], merged) for rows, merged in self.merged_rows(ids)]
+        long = np.flatnonzero(size > WIDTHS[-1]).tolist()
+        for n, (_, ids) in zip(sorted(long, key=words.__getitem__), self.walk(sorted(words[n] for n in long))):
+            parts.append((np.array([n]), np.array([ids], np.int32)))
+        count = np.zeros(len(words), np.int64)
+        for rows, ids in parts:
+            count[rows] = (ids >= 0).sum(axis=1)
+        ends = np.cumsum(count)
+        flat = np.empty(int(count.sum()), np.int32)
+        for rows, ids in parts:
+            row, column = np.nonzero(ids >= 0)
+            flat[(ends - count)[rows][row] + column] = ids[row, column]
+        return flat, ends
+
+    def merged_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Like `plain`, for texts of which few words repeat: nothing is remembered."""
+        words = cut_words(texts, self.classes)
+        flat, ends = self.merged_words(words.distinct)
+        count = np.diff(ends, prepend=0)
+        return spread_out(flat, ends - count, count, words.index, words.ends)
+
     @cached_property
     def special(self) -> dict[str, int]:
         return {t["content"]: t["id"] for t in self.spec["added_tokens"]}

@@ -103,6 +103,16 @@ def test_spans_give_whole_text_encodings(aligner, both, texts):
         assert (*row[:4], row[6]) == (*want[:4], want[6]), repr(text)
 
 
+def test_spans_of_short_words_are_merged_together(aligner, both, monkeypatch):
+    draw, walked, walk = random.Random(3), [], aligner.a.walk
+    monkeypatch.setattr(aligner.a, "walk", lambda words: walk([walked.append(w) or w for w in words]))
+    text = " ".join("".join(draw.choice("aeknrstz") for _ in range(draw.randint(3, 14))) for _ in range(5000)) + " " + "xyz" * 90
+    tokens, _, _ = aligner.encoded([text])
+    assert tokens.a.tolist() == both[0].encode(" " + text, add_special_tokens=False).ids
+    # One by one, only the word that is too long for a matrix.
+    assert walked == [b" " + b"xyz" * 90]
+
+
 def test_counts_over_many_blocks(spark, aligner, both):
     draw = random.Random(4)
     words = ["alpha", "don't", "Straße", "4211", "漢字", "x.y", "\n", "naïve", "  ", "▁", "<|endoftext|>", "<s>", "😀!"]

@@ -37,6 +37,20 @@ def test_any_texts(texts):
     assert [x.tolist() for x in BPE.encode(texts)] == [library(t) for t in texts]
 
 
+def test_words_merged_together():
+    r = random.Random(11)
+    given = {bytes(r.randrange(256) for _ in range(r.randint(1, 60))) for _ in range(3000)}
+    given |= {w * n for w in (b"a", b"ab", b" the", "é漢".encode()) for n in range(1, 40)}
+    given |= {t[:n] for t in BPE.reachable for n in (len(t), 3)}
+    listed = r.sample(sorted(given), len(given))
+    flat, ends = BPE.merged_words(listed)
+    assert dict(zip(listed, (x.tolist() for x in np.split(flat, ends[:-1])))) == dict(BPE.walk(sorted(given)))
+    assert [len(x) for x in BPE.merged_words([])] == [0, 0]
+    texts = [t.replace(SPECIAL, "") for t in AWKWARD]
+    flat, ends = BPE.merged_texts(texts)
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == [library(t) for t in texts]
+
+
 def test_pairs_stay_apart_as_merging_says():
     r, tokens = random.Random(5), list(BPE.reachable.values())
     for _ in range(4000):
