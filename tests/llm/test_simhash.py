@@ -129,3 +129,26 @@ def test_only_verified_copies_go(spark, monkeypatch, rows_a_task):
     table = spark.createDataFrame([(c, (i is None, i), f"k{n}", " ".join(t)) for n, (c, i, t) in enumerate(data)],
                                   "component string, rank struct<none: boolean, id: long>, key string, text string")
     assert sorted(r["key"] for r in simhash.verified_copies(table).collect()) == ["k1", "k3", "k6"]
+
+
+def test_a_large_group_takes_rounds_by_parts_not_by_members(spark, monkeypatch):
+    """Variations of one text, about 0.8 alike, so that many stay; some are empty, some ids are missing."""
+    r = random.Random(12)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for n in range(120):
+        words = [f"v{r.randrange(9)}" if r.random() < 0.02 else w for w in base] if n % 20 else []
+        rows.append(("c", (n % 7 == 0, None if n % 7 == 0 else r.randrange(1000)), f"k{n:03}", " ".join(words) + " " * n))
+    rows += [("d", (False, 1), "x", "alone"), *[("e", (False, n), f"e{n}", f"unlike {n} " * 9) for n in range(3)]]
+    kept, want = {}, []
+    for component, rank, key, text in sorted(rows, key=lambda row: (row[0], row[1][0], row[1][1] or 0, row[2])):
+        own = simhash.shingle_set(text)
+        copy = any(len(np.intersect1d(own, k)) >= 0.8 * len(np.union1d(own, k)) for k in kept.setdefault(component, []))
+        want.append(key) if copy else kept[component].append(own)
+    assert len(want) > 20 and len(kept["c"]) > 40 and len(kept["e"]) == 3
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 30)
+    monkeypatch.setattr(simhash, "GROUP_CHARS", 30 << 10)
+    tables = []
+    monkeypatch.setattr(simhash, "written", lambda df, label, f=simhash.written: tables.append(label) or f(df, label))
+    table = spark.createDataFrame(rows, "component string, rank struct<none: boolean, id: long>, key string, text string")
+    assert sorted(row["key"] for row in simhash.verified_copies(table).collect()) == sorted(want)
+    assert 2 <= tables.count("settled") <= 8 and len(tables) < 45
